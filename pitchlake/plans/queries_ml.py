@@ -132,3 +132,94 @@ def _project_saved(spark, d):
     model.save(spark, path)
     loaded = sc.PcaModel.load(spark, path)
     return sc.transform(wide, loaded, "pca").select("vec_id", "label", "pca")
+
+
+# KNN inside cohorts: the cohort key is part of the block join ---------------------------
+register(
+    "knn_cohort",
+    f"""WITH {_E},
+p AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label, vec_id ORDER BY distance, neighbor_id) AS neighbor_rank FROM p)
+SELECT label, vec_id, neighbor_rank, neighbor_id, ROUND(distance, 9) AS distance FROM r WHERE neighbor_rank <= 5""",
+)(lambda spark, d: finalize(
+    knn_ops.knn(_emb(spark, d), id_col="vec_id", vec_col="v", k=5, cohort=["label"])
+    .select("label", "vec_id", F.col("neighbor_rank").cast("bigint").alias("neighbor_rank"), "neighbor_id", "distance"), 9))
+
+
+# M9 / M10 / M13 / M16-M19 / T-5 (rows only; checked against NumPy in the unit tests) -----
+def _emb_pca(spark, d, n_components=8):
+    wide, cols = _emb_features(spark, d)
+    model = sc.fit_pca(wide, cols, n_components)
+    return sc.transform(wide, model, "z").select("vec_id", "label", "z")
+
+
+register("gmm_assignments")(lambda spark, d: _gmm_assign(spark, d))
+
+
+def _gmm_assign(spark, d):
+    from ..operators import mixture as mx
+
+    z = _emb_pca(spark, d)
+    models = mx.fit_mixture(z, "z", 10, covariance_type="full", n_init=2, seed=42)
+    return mx.predict(z, "z", models).select("vec_id", "label", "cluster_id")
+
+
+def _grid(spark, d, method):
+    from ..operators import tuning as tn
+
+    wide, cols = _emb_features(spark, d)
+    return tn.grid_sweep(spark, wide, id_col="vec_id", feature_cols=cols, pca_sizes=[4, 8], k_min=2, k_max=5,
+                         method=method, seed=42, n_init=1)
+
+
+register("kmeans_sweep")(lambda spark, d: _grid(spark, d, "kmeans"))
+register("gmm_sweep")(lambda spark, d: _grid(spark, d, "gmm"))
+
+
+def _best_bic(spark, d):
+    from ..operators import tuning as tn
+
+    return tn.best_row(_grid(spark, d, "gmm"), "gmm_bic", ascending=True)
+
+
+register("best_by_bic")(_best_bic)
+
+
+# Full model chain on the pitch domain ---------------------------------------------------
+def _pitcher_gold(spark, d):
+    from ..operators import gold as gd
+    from .queries_gold import pitcher_silver
+
+    frames, _ = gd.preprocess_cohorts(pitcher_silver(spark, d), gd.GoldConfig())
+    return frames
+
+
+register("archetype_assignments")(lambda spark, d: _archetypes(spark, d))
+
+
+def _archetypes(spark, d):
+    from functools import reduce
+
+    from .clustering import ClusteringConfig, fit_cohort
+
+    out = []
+    for (role, year), frame in sorted(_pitcher_gold(spark, d).items()):
+        a, _, _ = fit_cohort(frame, role=role, year=year, config=ClusteringConfig(pca_n_components=3, n_clusters=3, n_init=1))
+        out.append(a.select("player_id", "role", "year", "cluster_id"))
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+register("similarity_neighbors")(lambda spark, d: _similarity(spark, d))
+
+
+def _similarity(spark, d):
+    from ..operators import gold as gd
+    from .queries_gold import pitcher_silver
+
+    silver = pitcher_silver(spark, d)
+    base, _, _ = gd.prepare(silver, gd.GoldConfig())
+    feats = sc.model_feature_columns(base)
+    model = sc.fit_pca(base, feats, 5, ["role", "year"])
+    proj = sc.transform(base, model, "pca")
+    return finalize(knn_ops.neighbor_table(proj, vec_col="pca", k=5, cohort=("role", "year"), name_col=None), 9)
