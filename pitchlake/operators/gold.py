@@ -4,8 +4,9 @@ All cohorts (role, year) are handled by the same few distributed jobs:
 
 1. one aggregate: per cohort row count, mean and population std of every numeric
    column, and distinct counts (A28);
-2. one aggregate over standardised values: every pairwise Pearson r (A29) as
-   ``avg(z_a * z_b)`` -- constant columns give NULL instead of raising;
+2. pairwise Pearson r (A29) from moment matrices reduced on executors over
+   per-cohort standardised values -- constant columns give NULL instead of
+   raising;
 3. the greedy pruning choice (M1/M2) on the driver over the small d x d matrix
    per cohort (never the data).
 
@@ -14,7 +15,6 @@ The per-cohort keep lists then become plain projections.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -148,26 +148,39 @@ def cohort_moments(df: DataFrame, cohort: Sequence[str], cols: Sequence[str]) ->
 
 
 def correlation_long(df: DataFrame, cohort: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """(cohort..., col_a, col_b, r) for every pair a < b (column order),
-    r NULL when a column is constant in the cohort."""
+    """(cohort..., col_a, col_b, r) for every pair a < b (column order).
+
+    Values are standardised per cohort first (one aggregate of means and
+    population stds, joined back on the cohort key), then pair-complete moment
+    matrices are reduced on executors (``moments.pairwise_moments``). r is the
+    exact pair-complete Pearson coefficient; NULL when a column is constant in
+    the cohort (ANSI ``corr`` would raise on those)."""
+    from .moments import pairwise_moments, pearson_from_moments
+
     cols = list(cols)
+    ck = list(cohort)
     if len(cols) < 2:
-        schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in cohort] + ["col_a string", "col_b string", "r double"])
+        schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck] + ["col_a string", "col_b string", "r double"])
         return df.sparkSession.createDataFrame([], schema)
-    mom = cohort_moments(df, cohort, cols)
+    mom = cohort_moments(df, ck, cols)
     z = []
     for i, c in enumerate(cols):
         sd = F.col(f"_s{i}")
-        z.append(F.when(sd > 0, (F.col(c).cast("double") - F.col(f"_m{i}")) / sd).alias(f"_z{i}"))
-    zdf = df.join(mom, list(cohort), "inner").select(*cohort, *z)
-    pairs = list(itertools.combinations(range(len(cols)), 2))
-    aggs = [F.avg(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_r{i}_{j}") for i, j in pairs]
-    wide = zdf.groupBy(*cohort).agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.col(f"_r{i}_{j}").alias("r"))
-        for i, j in pairs
-    ])).alias("_p")
-    return wide.select(*cohort, stack).select(*cohort, "_p.col_a", "_p.col_b", "_p.r")
+        z.append(F.when(sd > 0, (F.col(c).cast("double") - F.col(f"_m{i}")) / sd))
+    zdf = (df.join(mom, ck, "inner") if ck else _with_global(df, mom)).select(*ck, F.array(*z).alias("_z"))
+    m = pearson_from_moments(pairwise_moments(zdf, "_z", len(cols), ck))
+    names = F.array(*[F.lit(c) for c in cols])
+    return m.select(*ck, F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), "r")
+
+
+def _with_global(df: DataFrame, mom: DataFrame) -> DataFrame:
+    """Attach one-row global moments as literals (no join needed)."""
+    row = mom.first()
+    out = df
+    for k in row.asDict():
+        if k.startswith("_m") or k.startswith("_s"):
+            out = out.withColumn(k, F.lit(row[k]).cast("double"))
+    return out
 
 
 def distinct_stats(df: DataFrame, cohort: Sequence[str], cols: Sequence[str]) -> DataFrame:

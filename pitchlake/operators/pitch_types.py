@@ -105,6 +105,34 @@ def widen(
     return out
 
 
+def type_summary(df: DataFrame, id_col: str, type_col: str = "pitch_type") -> DataFrame:
+    """One pass over the pitches: per (id, year, raw type) the count and the sums /
+    counts of the physical measures. Everything else in the profile is derived
+    from this small table."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for m in PHYSICAL_MEASURES:
+        aggs += [F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_c_{m}")]
+    return df.groupBy(id_col, "year", F.col(type_col).alias("pitch_type")).agg(*aggs)
+
+
+def profile_from_summary(summary: DataFrame, id_col: str, *, min_pitches_per_type: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shares long, physical long, entropy) from ``type_summary``."""
+    keys = [id_col, "year"]
+    counts = summary.where(F.col("pitch_type").isNotNull()).select(*keys, "pitch_type", "n")
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    ent = entropy_from_shares(shares, keys).withColumnRenamed("entropy", "pitch_type_entropy")
+    pt = fl.pitch_type_clean("pitch_type")
+    aggs = [F.sum("n").alias("n")]
+    for m in PHYSICAL_MEASURES:
+        aggs.append((F.sum(f"_s_{m}") / F.sum(f"_c_{m}")).alias(f"{m}_mean"))
+    phys = (
+        summary.withColumn("_pt", pt).where(F.col("_pt").isNotNull())
+        .groupBy(*keys, F.col("_pt").alias("pitch_type")).agg(*aggs)
+        .where(F.col("n") >= min_pitches_per_type)
+    )
+    return shares, phys, ent
+
+
 def pitch_type_profile(
     df: DataFrame,
     id_col: str,
@@ -114,8 +142,14 @@ def pitch_type_profile(
     share_codes: Sequence[str] | None = None,
     physical_codes: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A17-A19 in wide form, keyed by (id, year)."""
-    shares = pitch_type_shares(df, id_col, type_col)
-    ent = entropy_from_shares(shares, (id_col, "year")).withColumnRenamed("entropy", "pitch_type_entropy")
-    phys = pitch_type_physical(df, id_col, min_pitches_per_type=min_pitches_per_type, type_col=type_col)
+    """A17-A19 in wide form, keyed by (id, year).
+
+    The pitches are aggregated once into ``type_summary`` (players x types rows,
+    small). When the code vocabularies are not given, that summary is cached so
+    finding the codes and pivoting re-read it instead of the pitches.
+    """
+    summary = type_summary(df, id_col, type_col)
+    if share_codes is None or physical_codes is None:
+        summary = summary.persist()
+    shares, phys, ent = profile_from_summary(summary, id_col, min_pitches_per_type=min_pitches_per_type)
     return widen(shares, phys, ent, id_col, share_codes=share_codes, physical_codes=physical_codes)

@@ -94,33 +94,13 @@ def standardize_population(df: DataFrame, cols: Sequence[str], cohort: Sequence[
 
 
 def gram_by_cohort(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
-    """Sum of outer products z z^T per cohort. Partial per partition (NumPy), merged by one grouped sum."""
+    """Sum of outer products z z^T per cohort (partials per partition in NumPy,
+    one grouped sum); only the d x d matrices reach the driver."""
+    from .moments import gram
+
     ckeys = list(cohort)
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ckeys] + ["i int", "j int", "v double"])
-
-    def partial(batches):
-        import pandas as pd
-
-        acc: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(ckeys, sort=False, dropna=False) if ckeys else [((), pdf)]
-            for key, g in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                z = np.vstack(g[vec_col].to_numpy()).astype(float)
-                m = z.T @ z
-                acc[key] = acc[key] + m if key in acc else m
-        for key, m in acc.items():
-            ii, jj = np.triu_indices(width)
-            data = {c: [key[n]] * len(ii) for n, c in enumerate(ckeys)}
-            data.update({"i": ii.astype("int32"), "j": jj.astype("int32"), "v": m[ii, jj]})
-            yield pd.DataFrame(data)
-
-    parts = df.select(*ckeys, vec_col).mapInPandas(partial, schema)
-    rows = parts.groupBy(*ckeys, "i", "j").agg(F.sum("v").alias("v")).collect()
     out: dict[tuple, np.ndarray] = {}
-    for r in rows:
+    for r in gram(df, vec_col, width, ckeys).collect():
         key = _key(r, ckeys)
         m = out.setdefault(key, np.zeros((width, width)))
         m[r["i"], r["j"]] = r["v"]
