@@ -20,33 +20,34 @@ def dedupe_last(
     """Keep one row per ``group_cols + key_cols``: the last by ``order_cols``.
 
     Only key columns present in ``df`` are used; with none present this is a
-    no-op. NULL keys compare equal (window partitioning semantics). Rows that
-    tie on every order column are resolved by input position (later wins), so
-    exactly one row survives per key.
+    no-op. NULL keys compare equal (window partitioning semantics). Rows tying
+    on every order column are ordered by a hash of the whole row, so exactly one
+    row survives and the choice is deterministic (byte-identical copies are
+    interchangeable).
 
     Plan: one hash exchange on the *full* key, so a player-year holding a third
     of all rows is still spread over many tasks (its pitches differ in
     ``game_pk``); the per-player aggregate after it shuffles only partial
-    aggregates. The survivor is found with ``max(struct(order...))`` over the
-    key partition rather than ``row_number() = 1``: the latter makes Spark add a
-    map-side ``WindowGroupLimit`` that sorts every input row before the shuffle,
-    which only pays off when duplicates are common (they are rare here).
+    aggregates. The survivor is numbered with a running ``count(*)`` over a
+    ROWS frame rather than ``row_number()``: a ``row_number() = 1`` filter makes
+    Spark add a map-side ``WindowGroupLimit`` that sorts every input row before
+    the shuffle, which only pays off when duplicates are common (measured 5.8 s
+    vs 3.5 s on 600k pitches). Everything is deterministic, so identical
+    subtrees in one plan share their exchange.
     """
     keys = [c for c in key_cols if c in df.columns]
     if not keys:
         return df
-    order = [c for c in order_cols if c in df.columns]
+    order = [F.col(c).desc_nulls_last() for c in order_cols if c in df.columns]
     if not order:
         raise ValueError("dedupe_last needs at least one order column present to define 'last'")
-    w = Window.partitionBy(*[F.col(c) for c in (*group_cols, *keys)])
-    rank_key = F.struct(*[F.col(c) for c in order], F.col("_pos"))
-    return (
-        df.withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_ord", rank_key)
-        .withColumn("_best", F.max("_ord").over(w))
-        .where(F.col("_ord") == F.col("_best"))
-        .drop("_pos", "_ord", "_best")
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    w = (
+        Window.partitionBy(*[F.col(c) for c in (*group_cols, *keys)])
+        .orderBy(*order, row_hash.desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    return df.withColumn("_rc", F.count(F.lit(1)).over(w)).where(F.col("_rc") == 1).drop("_rc")
 
 
 def last_wins(

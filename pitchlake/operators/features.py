@@ -287,9 +287,11 @@ def pitcher_features(
     out = out.where(F.col("n_pitches_total") >= params.min_pitches_pitcher)
     out = out.withColumnRenamed("pitcher", "player_id").withColumn("role", F.lit("pitcher"))
     if with_pitch_types:
-        from .pitch_types import pitch_type_profile
+        # Same deduplicated input in one plan: Spark reuses its exchange, so the
+        # pitches are scanned and deduplicated once for both aggregates.
+        from .pitch_types import pitch_type_maps
 
-        prof = pitch_type_profile(df, "pitcher", min_pitches_per_type=params.min_pitches_per_pitch_type)
+        prof = pitch_type_maps(df, "pitcher", min_pitches_per_type=params.min_pitches_per_pitch_type)
         prof = prof.withColumnRenamed("pitcher", "player_id")
         out = out.join(prof, ["player_id", "year"], "left")
     return out
