@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gold as gd
+from ..operators.pitch_types import widen_maps
 from ..sources import lake
 
 ROLE_FILTERS = ("batter", "pitcher", "all")
@@ -36,18 +37,26 @@ def build_silver_to_gold(
         roles = roles_for(role_filter)
     except ValueError as exc:
         return {"status": "error", "message": str(exc), "rows_written": 0, "role_years_processed": []}
-    silver = lake.read_partitioned(spark, silver_root).where(
-        F.col("role").isin(*roles) & F.col("year").between(start_year, end_year))
-    if silver.isEmpty():
+    rows_written, done, all_arts = 0, [], []
+    for role in roles:
+        silver = lake.read_role(spark, silver_root, role)
+        if silver is None:
+            continue
+        silver = silver.where(F.col("year").between(start_year, end_year))
+        if silver.isEmpty():
+            continue
+        # per-type map columns -> pitch_type_<PT>_share / pt_<PT>_* columns (small table)
+        silver = widen_maps(silver)
+        frames, arts = gd.preprocess_cohorts(silver, config)
+        for key, frame in sorted(frames.items()):
+            gd.assert_no_missing(frame, [c for c in gd.numeric_columns(frame) if c not in ("role", "year")])
+            lake.write_partitioned(frame, gold_root, ("role", "year"))
+            rows_written += arts[key].row_count
+            done.append({"role": key[0], "year": int(key[1]), "rows": arts[key].row_count})
+        all_arts.extend(arts.values())
+    if not done:
         return {"status": "no_data", "message": "no silver rows in range", "rows_written": 0, "role_years_processed": []}
-    frames, arts = gd.preprocess_cohorts(silver, config)
-    rows_written, done = 0, []
-    for key, frame in sorted(frames.items()):
-        gd.assert_no_missing(frame, [c for c in gd.numeric_columns(frame) if c not in ("role", "year")])
-        lake.write_partitioned(frame, gold_root, ("role", "year"))
-        rows_written += arts[key].row_count
-        done.append({"role": key[0], "year": int(key[1]), "rows": arts[key].row_count})
-    lake.write_metadata(spark, metadata_root, [a.to_dict() for a in arts.values()])
+    lake.write_metadata(spark, metadata_root, [a.to_dict() for a in all_arts])
     return {"status": "ok", "message": f"gold: {len(done)} cohorts, {rows_written} rows", "rows_written": rows_written,
             "role_years_processed": done}
 

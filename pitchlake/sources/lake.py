@@ -25,10 +25,6 @@ SPRINT_DATASET = "sprint_speed"
 DEFENCE_DATASETS = ("oaa", "outfield_catch_prob", "arm_strength", "catcher_poptime", "catcher_framing", "fielding")
 
 
-def _strip(p: str) -> str:
-    return p.strip("/") if "://" not in p else p.rstrip("/")
-
-
 def join_path(root: str, *parts: str) -> str:
     root = root.rstrip("/")
     return "/".join([root, *[p.strip("/") for p in parts if p]])
@@ -68,6 +64,15 @@ def read_partitioned(spark: SparkSession, root: str, schema=None) -> DataFrame:
     return reader.parquet(root)
 
 
+def read_role(spark: SparkSession, root: str, role: str) -> DataFrame | None:
+    """One role's partition tree of a ``role=/year=`` table. Roles carry different
+    feature columns, so each is read with its own schema (``role`` re-added)."""
+    path = join_path(root, f"role={role}")
+    if not _exists(spark, path):
+        return None
+    return spark.read.option("basePath", path).parquet(path).withColumn("role", F.lit(role))
+
+
 def read_bronze_range(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame | None:
     """All bronze days in [start, end]; missing days simply contribute nothing.
 
@@ -103,17 +108,19 @@ def write_partitioned(
     compression: str = "snappy",
     fmt: str = "parquet",
 ) -> None:
-    """Dynamic partition overwrite, one file set per partition.
+    """Dynamic partition overwrite.
 
-    Rows are clustered by the partition columns first so each output partition
-    is written by few tasks (no small-file explosion at scale).
+    Rows are clustered by the partition columns with the ``rebalance`` hint: each
+    output partition is written by few tasks (no small-file explosion), and AQE
+    splits a skewed one (a day or season holding a large share of the rows)
+    over several tasks instead of funnelling it through one.
     """
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         (
-            df.repartition(*[F.col(c) for c in partition_cols])
+            df.hint("rebalance", *partition_cols)
             .write.mode("overwrite")
             .option("compression", compression)
             .partitionBy(*partition_cols)
