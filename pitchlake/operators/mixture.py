@@ -80,6 +80,32 @@ class Mixture:
         return out
 
 
+def save_mixtures(spark, path: str, models: dict[tuple, Mixture], cohort: Sequence[str] = ()) -> None:
+    """Parameter table (one row per cohort) written as Parquet (the model sink)."""
+    import json
+
+    rows = [(json.dumps(list(key), default=str), m.covariance_type, [float(w) for w in m.weights],
+             [[float(v) for v in row] for row in m.means], [float(v) for v in np.ravel(m.covariances)],
+             [int(v) for v in np.shape(m.covariances)], float(m.lower_bound), int(m.n_iter), bool(m.converged))
+            for key, m in models.items()]
+    schema = ("cohort_key string, covariance_type string, weights array<double>, means array<array<double>>, "
+              "covariances array<double>, covariance_shape array<int>, lower_bound double, n_iter int, converged boolean")
+    df = spark.createDataFrame(rows, schema).withColumn("cohort_columns", F.lit(json.dumps(list(cohort))))
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_mixtures(spark, path: str) -> dict[tuple, Mixture]:
+    """Model source: the parameter table back into ``Mixture`` objects."""
+    import json
+
+    out = {}
+    for r in spark.read.parquet(path).collect():
+        cov = np.array(r["covariances"], dtype=float).reshape(tuple(r["covariance_shape"]))
+        out[tuple(json.loads(r["cohort_key"]))] = Mixture(r["covariance_type"], np.array(r["weights"]), np.array(r["means"]),
+                                                           cov, r["lower_bound"], r["n_iter"], r["converged"])
+    return out
+
+
 def _logsumexp(a: np.ndarray) -> np.ndarray:
     m = a.max(axis=1, keepdims=True)
     return (m + np.log(np.exp(a - m).sum(axis=1, keepdims=True)))[:, 0]

@@ -57,8 +57,10 @@ def read_parquet_or_none(spark: SparkSession, path: str, schema=None) -> DataFra
     return reader.parquet(path)
 
 
-def read_partitioned(spark: SparkSession, root: str, schema=None) -> DataFrame:
-    reader = spark.read.option("basePath", root)
+def read_partitioned(spark: SparkSession, root: str, schema=None, *, merge_schema: bool = False) -> DataFrame:
+    """Partitioned read; ``merge_schema`` unions the file schemas (cohorts whose
+    feature columns differ, e.g. assignments of several role-years)."""
+    reader = spark.read.option("basePath", root).option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(root)
@@ -164,7 +166,7 @@ def load_serving_tables(
     a literal ``role`` column is added when a source lacks it."""
     out = []
     for root in (archetypes_root, neighbors_root):
-        df = read_partitioned(spark, root)
+        df = read_partitioned(spark, root, merge_schema=True)
         if year is not None:
             df = df.where(F.col("year") == int(year))
         if "role" not in df.columns:

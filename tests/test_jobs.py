@@ -136,3 +136,20 @@ def test_bronze_stream_available_now(spark, tmp_path):
     q.awaitTermination(120)
     out = lake.read_partitioned(spark, str(tmp_path / "bronze"))
     assert out.count() == src.select("game_pk", "at_bat_number", "pitch_number").distinct().count()
+
+
+def test_serving_tables_from_job_outputs(spark, lake_root):
+    from pitchlake.operators import mixture as mx
+    from pitchlake.plans import serving as sv
+
+    a, n = lake.load_serving_tables(spark, archetypes_root=str(lake_root / "clusters" / "assignments"),
+                                    neighbors_root=str(lake_root / "similar" / "neighbors"), year=1996)
+    assert {r["role"] for r in a.select("role").distinct().collect()} == {"batter", "pitcher"}
+    payload = sv.clusters_payload(a).collect()
+    assert sum(r["n_players"] for r in payload) == a.count()
+    pid = n.first()["player_id"]
+    role = n.where(F.col("player_id") == pid).first()["role"]
+    assert sv.neighbors_for_player(n, player_id=pid, role=role.upper()).count() >= 1
+    assert sv.player_name_lookup(a, player_id=-1, role="batter") is None
+    gmm = mx.load_mixtures(spark, str(lake_root / "clusters" / "models" / "role=batter" / "year=1996" / "gmm"))
+    assert gmm[()].k == 2
