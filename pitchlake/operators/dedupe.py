@@ -28,12 +28,14 @@ def dedupe_last(
     Plan: one hash exchange on the *full* key, so a player-year holding a third
     of all rows is still spread over many tasks (its pitches differ in
     ``game_pk``); the per-player aggregate after it shuffles only partial
-    aggregates. The survivor is numbered with a running ``count(*)`` over a
-    ROWS frame rather than ``row_number()``: a ``row_number() = 1`` filter makes
-    Spark add a map-side ``WindowGroupLimit`` that sorts every input row before
-    the shuffle, which only pays off when duplicates are common (measured 5.8 s
-    vs 3.5 s on 600k pitches). Everything is deterministic, so identical
-    subtrees in one plan share their exchange.
+    aggregates. ``row_number() = 1`` makes Spark plan a partial
+    ``WindowGroupLimit`` *before* the shuffle: every map task keeps at most one
+    row per key, so even a file landed a thousand times (one key group holding a
+    large share of the rows) is collapsed map-side and never funnels into one
+    reducer. It costs one map-side sort (measured 5.8 s vs 3.5 s without it on
+    600k rows with rare duplicates) -- paid deliberately for skew safety.
+    Everything is deterministic, so identical subtrees in one plan can share
+    their exchange.
     """
     keys = [c for c in key_cols if c in df.columns]
     if not keys:
@@ -42,12 +44,8 @@ def dedupe_last(
     if not order:
         raise ValueError("dedupe_last needs at least one order column present to define 'last'")
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    w = (
-        Window.partitionBy(*[F.col(c) for c in (*group_cols, *keys)])
-        .orderBy(*order, row_hash.desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumn("_rc", F.count(F.lit(1)).over(w)).where(F.col("_rc") == 1).drop("_rc")
+    w = Window.partitionBy(*[F.col(c) for c in (*group_cols, *keys)]).orderBy(*order, row_hash.desc())
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def last_wins(

@@ -63,6 +63,18 @@ def test_silver_plan_has_no_python_udf_and_one_dedupe_exchange(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert plan.count("Exchange hashpartitioning(pitcher") == 2  # dedupe key, then partial aggregates
+    assert "WindowGroupLimit" in plan  # copies of a pitch are collapsed map-side, before the shuffle
+
+
+def test_hot_duplicate_group_collapses(spark):
+    from pitchlake.operators.dedupe import dedupe_last
+
+    src = fx.pitches(spark, SF0001)
+    one = src.limit(1)
+    copies = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(20000)))).drop("_copy").repartition(16)
+    df = src.unionByName(copies)
+    out = dedupe_last(df, ("pitcher", "year"))
+    assert out.count() == dedupe_last(src, ("pitcher", "year")).count()
 
 
 def test_silver_gold_cluster_similarity_jobs(spark, lake_root):
