@@ -44,11 +44,35 @@ def _pairwise(q: np.ndarray, c: np.ndarray, metric: str, p: float) -> np.ndarray
     return out
 
 
+def top_k_per_row(dist: np.ndarray, cand_ids: np.ndarray, k: int):
+    """Vectorised exact top-k of every row of a distance matrix, ties ordered by
+    candidate id; infinite distances (self) are never returned.
+    Returns (row index, column index, distance) arrays sorted by row then rank."""
+    nq, nc = dist.shape
+    take = min(k, nc)
+    if take < nc:
+        kth = np.partition(dist, take - 1, axis=1)[:, take - 1]
+    else:
+        kth = np.full(nq, np.inf)
+    mask = (dist <= kth[:, None]) & np.isfinite(dist)  # keeps every candidate tied with the k-th
+    r, c = np.nonzero(mask)
+    d = dist[r, c]
+    order = np.lexsort((cand_ids[c], d, r))
+    r, c, d = r[order], c[order], d[order]
+    if len(r) == 0:
+        return r, c, d
+    starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+    lengths = np.diff(np.r_[starts, len(r)])
+    rank = np.arange(len(r)) - np.repeat(starts, lengths)
+    keep = rank < take
+    return r[keep], c[keep], d[keep]
+
+
 def block_pairs(
     base: DataFrame,
     ck: Sequence[str],
     *,
-    query_block: int = 512,
+    query_block: int = 1024,
     candidate_block: int = 4096,
     payload: Sequence[str] = ("_id", "_v"),
 ) -> DataFrame:
@@ -90,7 +114,7 @@ def knn(
     metric: str = "minkowski",
     p: float = 2.0,
     cohort: Sequence[str] = (),
-    query_block: int = 512,
+    query_block: int = 1024,
     candidate_block: int = 4096,
 ) -> DataFrame:
     """(cohort..., id, neighbor_rank, neighbor_id, distance) with k_eff = min(k, n-1) rows per id."""
@@ -123,25 +147,10 @@ def knn(
                 cv = np.array([x["_v"] for x in cs], dtype=float)
                 dist = _pairwise(qv, cv, met, pp)
                 dist[qid[:, None] == cid[None, :]] = np.inf  # self by row id
-                take = min(kk, len(cid))
-                rec_q, rec_n, rec_d = [], [], []
-                for i in range(len(qid)):
-                    di = dist[i]
-                    if take < len(cid):
-                        cand = np.argpartition(di, take - 1)[:take]
-                        # include every candidate tied with the k-th distance (exact tie order by id)
-                        kth = di[cand].max()
-                        cand = np.nonzero(di <= kth)[0]
-                    else:
-                        cand = np.arange(len(cid))
-                    cand = cand[np.isfinite(di[cand])]
-                    order = np.lexsort((cid[cand], di[cand]))[:take]
-                    sel = cand[order]
-                    rec_q.extend([qid[i]] * len(sel))
-                    rec_n.extend(cid[sel].tolist())
-                    rec_d.extend(di[sel].tolist())
-                if not rec_q:
+                rows_i, cols_i, dd = top_k_per_row(dist, cid, kk)
+                if len(rows_i) == 0:
                     continue
+                rec_q, rec_n, rec_d = qid[rows_i].tolist(), cid[cols_i].tolist(), dd.tolist()
                 data = {c: [row[c]] * len(rec_q) for c in ck}
                 data.update({id_col: rec_q, "neighbor_id": rec_n, "distance": rec_d})
                 yield pd.DataFrame(data)

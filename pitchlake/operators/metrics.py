@@ -71,7 +71,7 @@ def silhouette(
     vec_col: str,
     label_col: str,
     cohort: Sequence[str] = (),
-    query_block: int = 512,
+    query_block: int = 1024,
     candidate_block: int = 4096,
 ) -> DataFrame:
     """(cohort..., silhouette, n_rows, n_clusters): mean Euclidean silhouette; singleton

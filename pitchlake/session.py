@@ -32,6 +32,9 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # block-pair rows of the KNN / silhouette operators carry whole vector
+        # blocks: cap Arrow batches by bytes, not only by record count
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.driver.memory", "16g")
     )
     for k, v in (extra_conf or {}).items():

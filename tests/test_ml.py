@@ -192,3 +192,11 @@ def test_sweeps_and_best(spark):
     best = tn.best_row(grid, "silhouette", ascending=False).first()
     assert best["silhouette"] == max(r["silhouette"] for r in grid.collect())
     assert tn.top_by(grid, "inertia", n=2).count() == 2
+
+
+def test_top_k_ties_ordered_by_id():
+    d = np.array([[1.0, 0.5, 0.5, 0.5, np.inf], [np.inf, 2.0, 1.0, 3.0, 1.0]])
+    ids = np.array([10, 13, 11, 12, 9])
+    r, c, dd = knn_ops.top_k_per_row(d, ids, 2)
+    assert r.tolist() == [0, 0, 1, 1]
+    assert ids[c].tolist() == [11, 12, 9, 11] and dd.tolist() == [0.5, 0.5, 1.0, 1.0]
