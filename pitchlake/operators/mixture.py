@@ -11,8 +11,11 @@ Covariance types: full, tied, diag, spherical. All cohorts and all restarts
   k*(1+d+d^2) numbers per cohort and restart.
 * M-step on the driver (tiny matrices), regularised by ``reg_covar`` on the
   diagonal. Stop when the mean log-likelihood changes by less than ``tol``.
-* Initialisation: K-means (``pyspark.ml.clustering.KMeans``, seeded per
-  restart) or k rows drawn per cohort by a seeded hash (``random_from_data``).
+* Initialisation: K-means -- k-means++ seeding on a bounded seeded sample per
+  cohort, refined by Lloyd iterations over all rows run jointly in the same
+  machinery -- then the
+  M-step of the hard K-means responsibilities (``pyspark.ml`` K-means and plain
+  sampled means are options). Several k can be fitted in the same jobs.
 
 The input is checkpointed into ``spark.checkpoint.dir`` first, so iterations
 re-read a short lineage and survive executor loss.
@@ -150,24 +153,79 @@ def _prepare(df: DataFrame, vec_col: str, cohort: Sequence[str], checkpoint: boo
         from ..session import cut_lineage
 
         base = cut_lineage(base)
-    return base
-
-
-def _init_random_from_data(base: DataFrame, ck, k: int, seed: int, restart: int, id_hash) -> dict[tuple, np.ndarray]:
-    w = Window.partitionBy(*ck).orderBy(F.col("_h"))
-    picked = (
-        base.withColumn("_h", F.xxhash64(F.to_json(F.col("_x")), F.lit(seed + restart)))
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= k)
-        .collect()
-    )
+    # re-read every iteration: keep it in memory too (the checkpoint stays the
+    # recovery copy if an executor holding cached blocks is lost)
+    return base.persist()
+
+
+def _seed_rows(base: DataFrame, ck, m: int, seed: int) -> dict[tuple, np.ndarray]:
+    """Per cohort the ``m`` rows with the smallest seeded hash (a deterministic
+    random sample). With cohorts, ``row_number() <= m`` is planned with a
+    partial group limit before the shuffle; without, a top-k ``limit``."""
+    h = base.withColumn("_h", F.xxhash64(F.col("_x"), F.lit(seed)))
+    if ck:
+        w = Window.partitionBy(*ck).orderBy(F.col("_h"), F.col("_x").cast("string"))
+        picked = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m).orderBy(*ck, "_rn").collect()
+    else:
+        picked = h.orderBy(F.col("_h"), F.col("_x").cast("string")).limit(m).collect()
     out: dict[tuple, list] = {}
     for r in picked:
         out.setdefault(tuple(r[c] for c in ck), []).append(r["_x"])
     return {key: np.array(v, dtype=float) for key, v in out.items()}
 
 
-def _init_kmeans(base: DataFrame, ck, keys, k: int, seed: int) -> dict[tuple, np.ndarray]:
+def _kmeans_pp(sample: np.ndarray, k: int, rng: np.random.Generator, iters: int = 20) -> np.ndarray:
+    """k-means++ seeding then a few Lloyd steps on a bounded sample (driver side,
+    sample size is a parameter, independent of the data size)."""
+    n = sample.shape[0]
+    centers = [sample[rng.integers(n)]]
+    d2 = ((sample - centers[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = d2.sum()
+        idx = rng.integers(n) if total <= 0 else rng.choice(n, p=d2 / total)
+        centers.append(sample[idx])
+        d2 = np.minimum(d2, ((sample - sample[idx]) ** 2).sum(axis=1))
+    c = np.array(centers, dtype=float)
+    for _ in range(iters):
+        lab = ((sample[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for j in range(k):
+            if np.any(lab == j):
+                c[j] = sample[lab == j].mean(axis=0)
+    return c
+
+
+def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int, tol: float = 1e-4) -> dict[tuple, float]:
+    """Joint Lloyd iterations for every run (one job per iteration). A run stops
+    when its total squared centre shift is at most ``tol`` times the mean
+    per-feature variance of its cohort. Returns the inertia of the final centres."""
+    inertia: dict[tuple, float] = {}
+    var_mean: dict[tuple, float] = {}
+    for _ in range(max_iter + 1):
+        if not any(r.active for r in runs.values()):
+            break
+        stats = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)
+        for kk, (vec, n) in stats.items():
+            run = runs[kk]
+            k = run.model.k
+            nk = vec[:k]
+            s1 = vec[k:k + k * d].reshape(k, d)
+            if kk not in var_mean:
+                s2 = vec[k + k * d:k + 2 * k * d].reshape(k, d)
+                mu = s1.sum(axis=0) / n
+                var_mean[kk] = float(np.mean(s2.sum(axis=0) / n - mu ** 2))
+            inertia[kk] = float(vec[-1])
+            new = np.where(nk[:, None] > 0, s1 / np.maximum(nk, 1)[:, None], run.model.means)
+            shift = float(((new - run.model.means) ** 2).sum())
+            run.model.means = new
+            if shift <= tol * max(var_mean[kk], 0.0):
+                run.active = False
+    for run in runs.values():
+        run.active = True
+    return inertia
+
+
+def _init_spark_kmeans(base: DataFrame, ck, keys, k: int, seed: int) -> dict[tuple, np.ndarray]:
+    """Alternative initialisation: ``pyspark.ml`` K-means (k-means||) per cohort."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -182,13 +240,13 @@ def _init_kmeans(base: DataFrame, ck, keys, k: int, seed: int) -> dict[tuple, np
     return out
 
 
-def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], k: int, d: int, cov: str, hard_centers: bool):
-    """One distributed pass: per (cohort, restart) summed sufficient statistics."""
-    width = _stats_width(k, d, cov)
+def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: str, hard_centers: bool):
+    """One distributed pass over the data for every active run: per (cohort, run)
+    summed sufficient statistics. Runs may differ in k."""
     snapshot = {key: run.model for key, run in runs.items() if run.active}
     by_cohort: dict[tuple, list[tuple[int, Mixture]]] = {}
-    for (ckey, restart), m in snapshot.items():
-        by_cohort.setdefault(ckey, []).append((restart, m))
+    for (ckey, run_id), m in snapshot.items():
+        by_cohort.setdefault(ckey, []).append((run_id, m))
     schema = ", ".join([f"{c} {base.schema[c].dataType.simpleString()}" for c in ck] + ["_r int", "_j int", "_v double", "_n long"])
     second_full = cov in ("full", "tied")
 
@@ -207,12 +265,14 @@ def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], k: int, d: int,
                 if not models:
                     continue
                 x = np.vstack(g["_x"].to_numpy()).astype(float)
-                for restart, m in models:
+                for run_id, m in models:
+                    k = m.k
+                    width = _stats_width(k, d, cov)
                     if hard_centers:  # K-means responsibilities: nearest centre, one-hot
                         dist = ((x[:, None, :] - m.means[None, :, :]) ** 2).sum(axis=2)
                         resp = np.zeros((x.shape[0], k))
                         resp[np.arange(x.shape[0]), dist.argmin(axis=1)] = 1.0
-                        ll = 0.0
+                        ll = float(dist.min(axis=1).sum())  # inertia
                     else:
                         lw = m.log_weighted(x)
                         norm = _logsumexp(lw)
@@ -227,29 +287,48 @@ def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], k: int, d: int,
                         s2 = resp.T @ (x * x)
                     vec[k + k * d:width - 1] = s2.ravel()
                     vec[width - 1] = ll
-                    kk = (*key, restart)
+                    kk = (*key, run_id)
                     acc[kk] = acc[kk] + vec if kk in acc else vec
                     cnt[kk] = cnt.get(kk, 0) + x.shape[0]
         for kk, vec in acc.items():
+            width = len(vec)
             data = {c: [kk[i]] * width for i, c in enumerate(ck)}
             data.update({"_r": [kk[-1]] * width, "_j": np.arange(width, dtype="int32"), "_v": vec,
                          "_n": [cnt[kk]] + [0] * (width - 1)})
             yield pd.DataFrame(data)
 
-    rows = base.mapInPandas(estep, schema).groupBy(*ck, "_r", "_j").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n")).collect()
+    partials = base.mapInPandas(estep, schema)
+    if _num_partitions(base) <= DIRECT_COLLECT_PARTITIONS:
+        # few partitions: the partial statistics are small and bounded
+        # (partitions x runs x width); summing them here saves a shuffle stage
+        rows = partials.collect()
+    else:
+        rows = partials.groupBy(*ck, "_r", "_j").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n")).collect()
     out: dict[tuple, tuple[np.ndarray, int]] = {}
     for r in rows:
         kk = (tuple(r[c] for c in ck), int(r["_r"]))
+        width = _stats_width(snapshot[kk].k, d, cov)
         vec, n = out.get(kk, (np.zeros(width), 0))
-        vec[int(r["_j"])] = r["_v"]
+        vec[int(r["_j"])] += r["_v"]
         out[kk] = (vec, n + int(r["_n"]))
     return out
 
 
-def fit_mixture(
+DIRECT_COLLECT_PARTITIONS = 32
+_NPART_CACHE: dict[int, int] = {}
+
+
+def _num_partitions(df: DataFrame) -> int:
+    key = id(df)
+    if key not in _NPART_CACHE:
+        _NPART_CACHE[key] = df.rdd.getNumPartitions()
+    return _NPART_CACHE[key]
+
+
+def fit_mixtures(
     df: DataFrame,
     vec_col: str,
-    k: int,
+    ks: Sequence[int],
     *,
     covariance_type: str = "full",
     cohort: Sequence[str] = (),
@@ -259,12 +338,24 @@ def fit_mixture(
     max_iter: int = 100,
     reg_covar: float = 1e-6,
     init: str = "kmeans",
+    kmeans_max_iter: int = 100,
+    init_sample: int = 512,
     checkpoint: bool = True,
 ) -> dict[tuple, Mixture]:
-    """Best-of-``n_init`` mixture per cohort (highest final mean log-likelihood)."""
+    """Best-of-``n_init`` mixture per (cohort, k) for several k at once.
+
+    Every (cohort, k, restart) run advances in the same Spark job per
+    iteration, so a sweep over k costs about as many jobs as its slowest run.
+    ``init``: ``kmeans`` (default; k-means++ seeding on a bounded seeded sample of
+    ``init_sample`` rows per cohort -- the oversample-then-recluster idea of
+    k-means|| -- refined by Lloyd iterations over all rows, run jointly in the
+    same machinery, then the initial M-step from the hard K-means
+    responsibilities), ``kmeans_spark`` (``pyspark.ml`` K-means per
+    cohort) or ``random_from_data`` (the sampled rows as means)."""
     if covariance_type not in COVARIANCE_TYPES:
         raise ValueError(f"covariance_type must be one of {sorted(COVARIANCE_TYPES)}; got {covariance_type!r}")
-    if k < 1:
+    ks = [int(k) for k in ks]
+    if not ks or min(ks) < 1:
         raise ValueError("k must be >= 1")
     ck = list(cohort)
     base = _prepare(df, vec_col, ck, checkpoint)
@@ -275,30 +366,45 @@ def fit_mixture(
     sizes = {tuple(r[c] for c in ck): int(r["_n"]) for r in (
         base.groupBy(*ck).agg(F.count(F.lit(1)).alias("_n")) if ck else base.agg(F.count(F.lit(1)).alias("_n"))).collect()}
     for key, n in sizes.items():
-        if k > n:
-            raise ValueError(f"n_clusters ({k}) cannot exceed n_samples ({n}) for cohort {key}")
+        if max(ks) > n:
+            raise ValueError(f"n_clusters ({max(ks)}) cannot exceed n_samples ({n}) for cohort {key}")
 
     runs: dict[tuple, _Run] = {}
+    run_k: dict[int, int] = {}
     for restart in range(n_init):
-        if init == "kmeans":
-            centers = _init_kmeans(base, ck, list(sizes), k, seed + restart)
-        else:
-            centers = _init_random_from_data(base, ck, k, seed, restart, None)
-        for key, c in centers.items():
-            runs[(key, restart)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), c, np.zeros(1)))
+        if init == "kmeans_spark":
+            for k in ks:
+                rid = len(run_k)
+                run_k[rid] = k
+                for key, c in _init_spark_kmeans(base, ck, list(sizes), k, seed + restart).items():
+                    runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), c, np.zeros(1)))
+            continue
+        m = max(ks) if init == "random_from_data" else max(init_sample, 10 * max(ks))
+        sample = _seed_rows(base, ck, m, seed + restart)
+        for k in ks:
+            rid = len(run_k)
+            run_k[rid] = k
+            for key, rows in sample.items():
+                if init == "random_from_data":
+                    centres = rows[:k].copy()
+                else:
+                    centres = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
+                runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), centres, np.zeros(1)))
+    if init == "kmeans":  # joint Lloyd iterations
+        _lloyd(base, ck, runs, d, kmeans_max_iter)
     # initial M-step from hard K-means responsibilities
-    stats = _collect_stats(base, ck, runs, k, d, covariance_type, hard_centers=True)
+    stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=True)
     for kk, (vec, n) in stats.items():
-        runs[kk].model = _m_step(vec, k, d, n, covariance_type, reg_covar)
+        runs[kk].model = _m_step(vec, runs[kk].model.k, d, n, covariance_type, reg_covar)
 
     for it in range(1, max_iter + 1):
         if not any(r.active for r in runs.values()):
             break
-        stats = _collect_stats(base, ck, runs, k, d, covariance_type, hard_centers=False)
+        stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=False)
         for kk, (vec, n) in stats.items():
             run = runs[kk]
             lb = vec[-1] / n
-            run.model = _m_step(vec, k, d, n, covariance_type, reg_covar)
+            run.model = _m_step(vec, run.model.k, d, n, covariance_type, reg_covar)
             run.model.lower_bound = lb
             run.model.n_iter = it
             run.history.append(lb)
@@ -307,12 +413,20 @@ def fit_mixture(
                 run.model.converged = True
             run.prev_lb = lb
     best: dict[tuple, Mixture] = {}
-    for (key, _restart), run in sorted(runs.items(), key=lambda kv: kv[0][1]):
-        if key not in best or run.model.lower_bound > best[key].lower_bound:
-            best[key] = run.model
+    for (key, rid), run in sorted(runs.items(), key=lambda kv: kv[0][1]):
+        bk = (key, run_k[rid])
+        if bk not in best or run.model.lower_bound > best[bk].lower_bound:
+            best[bk] = run.model
     return best
 
 
+def fit_mixture(df: DataFrame, vec_col: str, k: int, **kwargs) -> dict[tuple, Mixture]:
+    """Best-of-``n_init`` mixture per cohort for one k (see ``fit_mixtures``)."""
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    return {key: m for (key, _k), m in fit_mixtures(df, vec_col, [k], **kwargs).items()}
+
+
 def score(df: DataFrame, vec_col: str, models: dict[tuple, Mixture], cohort: Sequence[str] = ()) -> DataFrame:
     """(cohort..., n, mean_log_likelihood, aic, bic) under the final parameters (one pass)."""
     ck = list(cohort)
@@ -384,8 +498,76 @@ def predict(df: DataFrame, vec_col: str, models: dict[tuple, Mixture], cohort: S
 # ------------------------------------------------------------------ K-means
 
 
+def fit_kmeans(
+    df: DataFrame,
+    vec_col: str,
+    ks: Sequence[int],
+    *,
+    cohort: Sequence[str] = (),
+    n_init: int = 1,
+    seed: int = 42,
+    max_iter: int = 300,
+    init_sample: int = 512,
+    checkpoint: bool = True,
+) -> dict[tuple, tuple[np.ndarray, float]]:
+    """K-means for several k (and cohorts, restarts) in the same jobs: k-means++
+    on a bounded seeded sample, then joint Lloyd iterations over all rows.
+    Returns {(cohort_key, k): (centres, inertia)} keeping the lowest inertia."""
+    ks = [int(k) for k in ks]
+    ck = list(cohort)
+    base = _prepare(df, vec_col, ck, checkpoint)
+    first = base.select("_x").first()
+    if first is None:
+        raise ValueError("Empty dataframe for K-means.")
+    d = len(first["_x"])
+    runs: dict[tuple, _Run] = {}
+    run_k: dict[int, int] = {}
+    for restart in range(n_init):
+        sample = _seed_rows(base, ck, max(init_sample, 10 * max(ks)), seed + restart)
+        for k in ks:
+            rid = len(run_k)
+            run_k[rid] = k
+            for key, rows in sample.items():
+                c = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
+                runs[(key, rid)] = _Run(Mixture("spherical", np.full(k, 1.0 / k), c, np.ones(k)))
+    _lloyd(base, ck, runs, d, max_iter)
+    final = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)
+    inertia = {kk: float(vec[-1]) for kk, (vec, _n) in final.items()}
+    best: dict[tuple, tuple[np.ndarray, float]] = {}
+    for (key, rid), run in sorted(runs.items(), key=lambda kv: kv[0][1]):
+        bk = (key, run_k[rid])
+        val = inertia.get((key, rid), float("inf"))
+        if bk not in best or val < best[bk][1]:
+            best[bk] = (run.model.means, val)
+    return best
+
+
+def assign_nearest(df: DataFrame, vec_col: str, centres: dict[tuple, np.ndarray], cohort: Sequence[str] = (),
+                   out_col: str = "cluster_id") -> DataFrame:
+    """Nearest centre per row (row-parallel, no shuffle)."""
+    ck = list(cohort)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{out_col} long"])
+
+    def label(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.copy()
+            res = np.zeros(len(pdf), dtype=np.int64)
+            groups = pdf.groupby(ck, sort=False, dropna=False).indices.items() if ck else [((), np.arange(len(pdf)))]
+            for key, idx in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                c = centres[key]
+                x = np.vstack(pdf[vec_col].to_numpy()[idx]).astype(float)
+                res[idx] = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            pdf[out_col] = res
+            yield pdf
+
+    return df.mapInPandas(label, schema)
+
+
 def kmeans_fit(df: DataFrame, vec_col: str, k: int, *, seed: int = 42, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4):
-    """Spark ML K-means, best of ``n_init`` seeds by training cost (inertia)."""
+    """``pyspark.ml`` K-means, best of ``n_init`` seeds by training cost (inertia)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

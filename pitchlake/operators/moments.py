@@ -83,9 +83,12 @@ def pearson_from_moments(m: DataFrame) -> DataFrame:
     return m.withColumn("r", F.when(r.isNull(), r).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
 
 
-def gram(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) -> DataFrame:
+def gram(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = (),
+         standardize: dict[tuple, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """Sum of outer products per cohort, upper triangle incl. diagonal:
-    (cohort..., i, j, v, n) -- ``n`` (row count) is carried on the (0, 0) entry only."""
+    (cohort..., i, j, v, n) -- ``n`` (row count) is carried on the (0, 0) entry only.
+    With ``standardize`` ({cohort: (mean, scale)}), rows are standardised in
+    NumPy first (parameters travel in the closure, not as generated code)."""
     ck = list(cohort)
     schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck] + ["i int", "j int", "v double", "n long"])
     iu, ju = np.triu_indices(width)
@@ -100,6 +103,9 @@ def gram(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) ->
                 continue
             for key, g in _groups(pdf, ck):
                 z = np.vstack(g[vec_col].to_numpy()).astype(float)
+                if standardize is not None:
+                    mean, scale = standardize[key]
+                    z = (z - mean) / scale
                 acc[key] = acc[key] + z.T @ z if key in acc else z.T @ z
                 cnt[key] = cnt.get(key, 0) + z.shape[0]
         for key, mat in acc.items():
@@ -111,3 +117,56 @@ def gram(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) ->
 
     parts = df.select(*ck, vec_col).mapInPandas(partial, schema)
     return parts.groupBy(*ck, "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+
+
+def column_moments(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) -> dict[tuple, dict]:
+    """Per cohort: n, mean and population std of every vector element (NULL/NaN
+    elements skipped), in two NumPy passes -- sums, then squares centred on the
+    global means (numerically stable). Only 2 x d numbers per cohort and
+    partition leave the executors."""
+    ck = list(cohort)
+    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck] + ["i int", "n double", "s double"])
+
+    def pass_fn(means):
+        def partial(batches):
+            import pandas as pd
+
+            acc: dict[tuple, list[np.ndarray]] = {}
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                for key, g in _groups(pdf, ck):
+                    x = _matrix(g, vec_col, width)
+                    ok = ~np.isnan(x)
+                    if means is None:
+                        v = np.where(ok, x, 0.0)
+                    else:
+                        v = np.where(ok, x - means[key], 0.0) ** 2
+                    part = [ok.sum(axis=0).astype(float), v.sum(axis=0)]
+                    acc[key] = [a + b for a, b in zip(acc[key], part)] if key in acc else part
+            for key, (n, ssum) in acc.items():
+                data = {c: [key[t]] * width for t, c in enumerate(ck)}
+                data.update({"i": np.arange(width, dtype="int32"), "n": n, "s": ssum})
+                yield pd.DataFrame(data)
+        return partial
+
+    src = df.select(*ck, vec_col)
+
+    def run(means):
+        rows = src.mapInPandas(pass_fn(means), schema).groupBy(*ck, "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+        out: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for r in rows:
+            key = tuple(r[c] for c in ck)
+            n, s_ = out.setdefault(key, (np.zeros(width), np.zeros(width)))
+            n[r["i"]] = r["n"]
+            s_[r["i"]] = r["s"]
+        return out
+
+    first = run(None)
+    means = {k: np.where(n > 0, s_ / np.maximum(n, 1), np.nan) for k, (n, s_) in first.items()}
+    second = run(means)
+    res = {}
+    for key, (n, ss) in second.items():
+        sd = np.sqrt(np.where(n > 0, ss / np.maximum(n, 1), np.nan))
+        res[key] = {"n": int(first[key][0].max()), "count": first[key][0], "mean": means[key], "std": sd}
+    return res

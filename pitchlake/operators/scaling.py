@@ -48,18 +48,17 @@ def _key(row, cohort):
 
 
 def fit_standardizer(df: DataFrame, cols: Sequence[str], cohort: Sequence[str] = ()) -> dict[tuple, dict]:
-    """Per cohort: n, mean and population std (one aggregate, driver gets cohorts x d numbers)."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"_m{i}"), F.stddev_pop(x).alias(f"_s{i}")]
-    rows = (df.groupBy(*cohort).agg(*aggs) if cohort else df.agg(*aggs)).collect()
+    """Per cohort: n, mean and population std of each column (two NumPy moment
+    passes on executors; the driver gets cohorts x d numbers). Zero or undefined
+    std -> scale 1."""
+    from .moments import column_moments
+
+    vec = df.select(*cohort, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
     out = {}
-    for r in rows:
-        means = np.array([r[f"_m{i}"] for i in range(len(cols))], dtype=float)
-        sds = np.array([r[f"_s{i}"] for i in range(len(cols))], dtype=float)
+    for key, m in column_moments(vec, "_x", len(cols), cohort).items():
+        sds = m["std"]
         scale = np.where((sds > 0) & np.isfinite(sds), sds, 1.0)
-        out[_key(r, cohort)] = {"n": int(r["_n"]), "mean": means, "scale": scale}
+        out[key] = {"n": m["n"], "mean": m["mean"], "scale": scale}
     return out
 
 
@@ -93,14 +92,15 @@ def standardize_population(df: DataFrame, cols: Sequence[str], cohort: Sequence[
 # ------------------------------------------------------------------ Gram matrix on executors
 
 
-def gram_by_cohort(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
+def gram_by_cohort(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = (),
+                   standardize: dict[tuple, tuple[np.ndarray, np.ndarray]] | None = None) -> dict[tuple, np.ndarray]:
     """Sum of outer products z z^T per cohort (partials per partition in NumPy,
     one grouped sum); only the d x d matrices reach the driver."""
     from .moments import gram
 
     ckeys = list(cohort)
     out: dict[tuple, np.ndarray] = {}
-    for r in gram(df, vec_col, width, ckeys).collect():
+    for r in gram(df, vec_col, width, ckeys, standardize).collect():
         key = _key(r, ckeys)
         m = out.setdefault(key, np.zeros((width, width)))
         m[r["i"], r["j"]] = r["v"]
@@ -152,10 +152,6 @@ class PcaModel:
         return m
 
 
-def _standardized_array(cols: Sequence[str], mean, scale) -> Column:
-    return F.array(*standardize_exprs(cols, mean, scale, prefix="_zz_"))
-
-
 def fit_pca(
     df: DataFrame,
     cols: Sequence[str],
@@ -171,9 +167,8 @@ def fit_pca(
         raise ValueError("No numeric feature columns.")
     st = fit_standardizer(df, cols, cohort)
     model = PcaModel(cols, list(cohort))
-    # standardised vectors for every cohort, through an equi-join on the cohort key
-    zdf = with_standardized_vector(df, model_from_scaler(cols, cohort, st), "_z")
-    grams = gram_by_cohort(zdf, "_z", len(cols), cohort)
+    vec = df.select(*cohort, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    grams = gram_by_cohort(vec, "_x", len(cols), cohort, {k: (v["mean"], v["scale"]) for k, v in st.items()})
     d = len(cols)
     for key, s in st.items():
         n = s["n"]
@@ -204,20 +199,6 @@ def model_from_scaler(cols, cohort, st) -> PcaModel:
     return m
 
 
-def _params_frame(spark: SparkSession, model: PcaModel, with_components: bool) -> tuple[DataFrame, int]:
-    d = len(model.feature_columns)
-    k = max(model.n_components(key) for key in model.params) if with_components else 0
-    rows = []
-    for key, p in model.params.items():
-        vals = list(key) + [float(p["components"].shape[0])] + [float(x) for x in p["mean"]] + [float(x) for x in p["scale"]]
-        if with_components:
-            comps = np.zeros((k, d))
-            comps[: p["components"].shape[0]] = p["components"]
-            vals += [float(x) for x in comps.ravel()]
-        rows.append(tuple(vals))
-    return rows, k
-
-
 def with_standardized_vector(df: DataFrame, model: PcaModel, out_col: str) -> DataFrame:
     """Append the standardised feature vector (array<double>) using the model's scaler."""
     return _apply(df, model, out_col, project=False)
@@ -233,37 +214,42 @@ def transform(df: DataFrame, model: PcaModel, out_col: str = "pca") -> DataFrame
 
 
 def _apply(df: DataFrame, model: PcaModel, out_col: str, project: bool) -> DataFrame:
-    cols = model.feature_columns
-    d = len(cols)
-    spark = df.sparkSession
-    if not model.cohort_columns:
-        p = model.params[()]
-        z = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(cols, p["mean"], p["scale"])]
-        if not project:
-            return df.withColumn(out_col, F.array(*z))
-        comps = p["components"]
-        pcs = []
-        for r in range(comps.shape[0]):
-            terms = [zi * F.lit(float(comps[r, i])) for i, zi in enumerate(z) if comps[r, i] != 0.0]
-            pcs.append(sum(terms[1:], terms[0]) if terms else F.lit(0.0))
-        return df.withColumn(out_col, F.array(*pcs))
-    ck = model.cohort_columns
-    rows, k = _params_frame(spark, model, project)
-    names = ["_pk"] + [f"_pm{i}" for i in range(d)] + [f"_ps{i}" for i in range(d)]
-    if project:
-        names += [f"_pc{r}_{i}" for r in range(k) for i in range(d)]
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck] + [f"{n} double" for n in names])
-    params = spark.createDataFrame(rows, schema)
-    j = df.join(params, ck, "inner")
-    z = [(F.col(c).cast("double") - F.col(f"_pm{i}")) / F.col(f"_ps{i}") for i, c in enumerate(cols)]
-    if not project:
-        return j.select(*df.columns, F.array(*z).alias(out_col))
-    pcs = []
-    for r in range(k):
-        terms = [z[i] * F.col(f"_pc{r}_{i}") for i in range(d)]
-        pcs.append(sum(terms[1:], terms[0]))
-    # a cohort with fewer components keeps only its own leading k entries
-    return j.select(*df.columns, F.slice(F.array(*pcs), F.lit(1), F.col("_pk").cast("int")).alias(out_col))
+    """Row-parallel NumPy projection over Arrow batches (no shuffle). The scaler and
+    loadings (d x k per cohort, bounded) travel in the closure: as literals in
+    generated code they would force a fresh compile for every fitted model."""
+    cols = list(model.feature_columns)
+    ck = list(model.cohort_columns)
+    params = {key: (np.asarray(p["mean"], float), np.asarray(p["scale"], float),
+                    np.asarray(p["components"], float) if project else None) for key, p in model.params.items()}
+    inner = df.select("*", F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{out_col}` array<double>"])
+    keep = df.columns
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            res = [None] * len(pdf)
+            groups = pdf.groupby(ck, sort=False, dropna=False).indices.items() if ck else [((), np.arange(len(pdf)))]
+            xs = pdf["_x"].to_numpy()
+            for key, idx in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in params:
+                    continue
+                mean, scale, comps = params[key]
+                x = np.vstack([xs[i] for i in idx]).astype(float)
+                z = (x - mean) / scale
+                out = z @ comps.T if comps is not None else z
+                for j, i in enumerate(idx):
+                    res[i] = out[j]
+            out_pdf = pdf[keep].copy()
+            out_pdf[out_col] = res
+            yield out_pdf
+
+    out = inner.mapInPandas(run, schema)
+    if ck:  # rows of cohorts without a model are dropped (as an inner join would)
+        out = out.where(F.col(out_col).isNotNull())
+    return out
 
 
 def explained_variance_table(spark: SparkSession, model: PcaModel) -> DataFrame:

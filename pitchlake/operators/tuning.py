@@ -29,17 +29,21 @@ def _quality(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[
 
 
 def kmeans_sweep(df: DataFrame, *, id_col: str, vec_col: str, k_min: int, k_max: int, seed: int = 42, n_init: int = 1) -> list[dict]:
-    """Inertia, silhouette, Davies-Bouldin per k (k_max clamped to n-1, at least k_min)."""
-    data = df.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")).persist()
+    """Inertia, silhouette, Davies-Bouldin per k (k_max clamped to n-1, at
+    least k_min). All k are fitted together (``mixture.fit_kmeans``)."""
+    from ..session import cut_lineage
+
+    data = cut_lineage(df.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")))
     n = data.count()
+    ks = list(_clamp_k(k_min, k_max, n))
+    fits = mx.fit_kmeans(data, "_v", ks, n_init=n_init, seed=seed, checkpoint=False)
     out = []
-    for k in _clamp_k(k_min, k_max, n):
-        model, cost = mx.kmeans_fit(data, "_v", k, seed=seed, n_init=n_init)
-        lab = mx.kmeans_assign(data, "_v", model, "_cluster").persist()
+    for k in ks:
+        centres, inertia = fits[((), k)]
+        lab = mx.assign_nearest(data, "_v", {(): centres}, out_col="_cluster").persist()
         sil, db = _quality(lab, id_col, "_v", "_cluster") if k >= 2 and n > k else (None, None)
         lab.unpersist()
-        out.append({"k": k, "inertia": float(cost), "silhouette": sil, "davies_bouldin": db})
-    data.unpersist()
+        out.append({"k": k, "inertia": float(inertia), "silhouette": sil, "davies_bouldin": db})
     return out
 
 
@@ -47,15 +51,17 @@ def gmm_sweep(
     df: DataFrame, *, id_col: str, vec_col: str, k_min: int, k_max: int, seed: int = 42, n_init: int = 1,
     covariance_type: str = "full",
 ) -> list[dict]:
-    """AIC, BIC, lower bound, silhouette, Davies-Bouldin per number of components."""
-    data = df.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"))
+    """AIC, BIC, lower bound, silhouette, Davies-Bouldin per number of
+    components. All k are fitted together (``mixture.fit_mixtures``)."""
     from ..session import cut_lineage
 
-    data = cut_lineage(data)
+    data = cut_lineage(df.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")))
     n = data.count()
+    ks = list(_clamp_k(k_min, k_max, n))
+    fits = mx.fit_mixtures(data, "_v", ks, covariance_type=covariance_type, n_init=n_init, seed=seed, checkpoint=False)
     out = []
-    for k in _clamp_k(k_min, k_max, n):
-        models = mx.fit_mixture(data, "_v", k, covariance_type=covariance_type, n_init=n_init, seed=seed, checkpoint=False)
+    for k in ks:
+        models = {(): fits[((), k)]}
         lab = mx.predict(data, "_v", models, out_col="_cluster").persist()
         s = mx.score(data, "_v", models).first()
         sil, db = _quality(lab, id_col, "_v", "_cluster") if k >= 2 and n > k else (None, None)

@@ -200,3 +200,15 @@ def test_top_k_ties_ordered_by_id():
     r, c, dd = knn_ops.top_k_per_row(d, ids, 2)
     assert r.tolist() == [0, 0, 1, 1]
     assert ids[c].tolist() == [11, 12, 9, 11] and dd.tolist() == [0.5, 0.5, 1.0, 1.0]
+
+
+def test_joint_kmeans_recovers_blobs_and_inertia(spark):
+    x, truth = _blobs(n_per=30, centres=3, d=3)
+    df = _frame(spark, x).withColumn("v", F.array("f0", "f1", "f2"))
+    fits = mx.fit_kmeans(df, "v", [2, 3, 4], n_init=2, seed=1)
+    centres, inertia = fits[((), 3)]
+    lab = np.array([r["cluster_id"] for r in mx.assign_nearest(df, "v", {(): centres}).orderBy("player_id").collect()])
+    assert all(len(set(lab[truth == t])) == 1 for t in range(3))
+    ref = sum(((x[lab == j] - x[lab == j].mean(0)) ** 2).sum() for j in range(3))
+    assert inertia == pytest.approx(ref, rel=1e-9)
+    assert fits[((), 2)][1] > inertia > fits[((), 4)][1]
