@@ -4,9 +4,9 @@ All cohorts (role, year) are handled by the same few distributed jobs:
 
 1. one aggregate: per cohort row count, mean and population std of every numeric
    column, and distinct counts (A28);
-2. pairwise Pearson r (A29) from moment matrices reduced on executors over
-   per-cohort standardised values -- constant columns give NULL instead of
-   raising;
+2. pairwise Pearson r (A29) from moment matrices reduced on executors
+   (NumPy partials; standardisation parameters travel in the closure) --
+   constant columns give NULL instead of raising;
 3. the greedy pruning choice (M1/M2) on the driver over the small d x d matrix
    per cohort (never the data).
 
@@ -19,6 +19,7 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,27 +163,19 @@ def correlation_long(df: DataFrame, cohort: Sequence[str], cols: Sequence[str])
     if len(cols) < 2:
         schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck] + ["col_a string", "col_b string", "r double"])
         return df.sparkSession.createDataFrame([], schema)
-    mom = cohort_moments(df, ck, cols)
-    z = []
-    for i, c in enumerate(cols):
-        sd = F.col(f"_s{i}")
-        z.append(F.when(sd > 0, (F.col(c).cast("double") - F.col(f"_m{i}")) / sd))
-    zdf = (df.join(mom, ck, "inner") if ck else _with_global(df, mom)).select(*ck, F.array(*z).alias("_z"))
-    m = pearson_from_moments(pairwise_moments(zdf, "_z", len(cols), ck))
+    from .moments import column_moments
+
+    vec = df.select(*ck, F.array(*[F.col(c).cast("double") for c in cols]).alias("_z"))
+    mom = column_moments(vec, "_z", len(cols), ck)
+    std = {}
+    for key, m in mom.items():
+        sd = m["std"]
+        std[key] = (np.nan_to_num(m["mean"]), np.where((sd > 0) & np.isfinite(sd), sd, 1.0))
+    m = pearson_from_moments(pairwise_moments(vec, "_z", len(cols), ck, std))
     names = F.array(*[F.lit(c) for c in cols])
     return m.select(*ck, F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), "r")
 
 
-def _with_global(df: DataFrame, mom: DataFrame) -> DataFrame:
-    """Attach one-row global moments as literals (no join needed)."""
-    row = mom.first()
-    out = df
-    for k in row.asDict():
-        if k.startswith("_m") or k.startswith("_s"):
-            out = out.withColumn(k, F.lit(row[k]).cast("double"))
-    return out
-
-
 def distinct_stats(df: DataFrame, cohort: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Per cohort and column, row count and distinct values counting missing as one value."""
     if not cols:
@@ -249,7 +242,10 @@ def preprocess_cohorts(
     num = [c for c in numeric_columns(base) if c not in cohort]
     corr_rows = correlation_long(base, cohort, num).where(F.col("r").isNotNull()).collect()
     dist_rows = distinct_stats(base, cohort, num).collect()
-    sizes = {tuple(r[c] for c in cohort): int(r["_n"]) for r in base.groupBy(*cohort).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    if num:
+        sizes = {tuple(r[c] for c in cohort): int(r["n_rows"]) for r in dist_rows}
+    else:
+        sizes = {tuple(r[c] for c in cohort): int(r["_n"]) for r in base.groupBy(*cohort).agg(F.count(F.lit(1)).alias("_n")).collect()}
     corr: dict[tuple, dict[tuple[str, str], float]] = {}
     for r in corr_rows:
         corr.setdefault(tuple(r[c] for c in cohort), {})[(r["col_a"], r["col_b"])] = float(r["r"])

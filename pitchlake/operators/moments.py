@@ -36,10 +36,13 @@ def _matrix(g, vec_col: str, width: int) -> np.ndarray:
     return x
 
 
-def pairwise_moments(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = ()) -> DataFrame:
+def pairwise_moments(df: DataFrame, vec_col: str, width: int, cohort: Sequence[str] = (),
+                     standardize: dict[tuple, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """Pair-complete sums for every pair i < j:
     (cohort..., i, j, n, sx, sy, sxx, syy, sxy), where the sums run over rows in
-    which both elements are present (NULL / NaN elements are missing)."""
+    which both elements are present (NULL / NaN elements are missing). With
+    ``standardize`` ({cohort: (mean, scale)}) values are standardised first
+    (Pearson r is unchanged; the sums stay well conditioned)."""
     ck = list(cohort)
     schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck]
                        + ["i int", "j int", "n double", "sx double", "sy double", "sxx double", "syy double", "sxy double"])
@@ -54,6 +57,9 @@ def pairwise_moments(df: DataFrame, vec_col: str, width: int, cohort: Sequence[s
                 continue
             for key, g in _groups(pdf, ck):
                 x = _matrix(g, vec_col, width)
+                if standardize is not None:
+                    mean, scale = standardize[key]
+                    x = (x - mean) / scale
                 m = (~np.isnan(x)).astype(float)
                 z = np.where(m > 0, x, 0.0)
                 mats = [m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z]  # N, Sx[i|j], Sxx[i|j], Sxy
