@@ -194,7 +194,8 @@ def _kmeans_pp(sample: np.ndarray, k: int, rng: np.random.Generator, iters: int
     return c
 
 
-def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int, tol: float = 1e-4) -> dict[tuple, float]:
+def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int, tol: float = 1e-4,
+           direct: bool = False) -> dict[tuple, float]:
     """Joint Lloyd iterations for every run (one job per iteration). A run stops
     when its total squared centre shift is at most ``tol`` times the mean
     per-feature variance of its cohort. Returns the inertia of the final centres."""
@@ -203,7 +204,7 @@ def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int,
     for _ in range(max_iter + 1):
         if not any(r.active for r in runs.values()):
             break
-        stats = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)
+        stats = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True, direct=direct)
         for kk, (vec, n) in stats.items():
             run = runs[kk]
             k = run.model.k
@@ -240,7 +241,8 @@ def _init_spark_kmeans(base: DataFrame, ck, keys, k: int, seed: int) -> dict[tup
     return out
 
 
-def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: str, hard_centers: bool):
+def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: str, hard_centers: bool,
+                   direct: bool = False):
     """One distributed pass over the data for every active run: per (cohort, run)
     summed sufficient statistics. Runs may differ in k."""
     snapshot = {key: run.model for key, run in runs.items() if run.active}
@@ -298,7 +300,7 @@ def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: st
             yield pd.DataFrame(data)
 
     partials = base.mapInPandas(estep, schema)
-    if _num_partitions(base) <= DIRECT_COLLECT_PARTITIONS:
+    if direct:
         # few partitions: the partial statistics are small and bounded
         # (partitions x runs x width); summing them here saves a shuffle stage
         rows = partials.collect()
@@ -315,14 +317,11 @@ def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: st
 
 
 DIRECT_COLLECT_PARTITIONS = 32
-_NPART_CACHE: dict[int, int] = {}
 
 
-def _num_partitions(df: DataFrame) -> int:
-    key = id(df)
-    if key not in _NPART_CACHE:
-        _NPART_CACHE[key] = df.rdd.getNumPartitions()
-    return _NPART_CACHE[key]
+def _direct(base: DataFrame) -> bool:
+    """Few input partitions: collect per-partition partials instead of a reduce stage."""
+    return base.rdd.getNumPartitions() <= DIRECT_COLLECT_PARTITIONS
 
 
 def fit_mixtures(
@@ -363,6 +362,7 @@ def fit_mixtures(
     if first is None:
         raise ValueError("Empty dataframe for mixture fitting.")
     d = len(first["_x"])
+    direct = _direct(base)
     sizes = {tuple(r[c] for c in ck): int(r["_n"]) for r in (
         base.groupBy(*ck).agg(F.count(F.lit(1)).alias("_n")) if ck else base.agg(F.count(F.lit(1)).alias("_n"))).collect()}
     for key, n in sizes.items():
@@ -391,16 +391,16 @@ def fit_mixtures(
                     centres = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
                 runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), centres, np.zeros(1)))
     if init == "kmeans":  # joint Lloyd iterations
-        _lloyd(base, ck, runs, d, kmeans_max_iter)
+        _lloyd(base, ck, runs, d, kmeans_max_iter, direct=direct)
     # initial M-step from hard K-means responsibilities
-    stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=True)
+    stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=True, direct=direct)
     for kk, (vec, n) in stats.items():
         runs[kk].model = _m_step(vec, runs[kk].model.k, d, n, covariance_type, reg_covar)
 
     for it in range(1, max_iter + 1):
         if not any(r.active for r in runs.values()):
             break
-        stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=False)
+        stats = _collect_stats(base, ck, runs, d, covariance_type, hard_centers=False, direct=direct)
         for kk, (vec, n) in stats.items():
             run = runs[kk]
             lb = vec[-1] / n
@@ -530,8 +530,9 @@ def fit_kmeans(
             for key, rows in sample.items():
                 c = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
                 runs[(key, rid)] = _Run(Mixture("spherical", np.full(k, 1.0 / k), c, np.ones(k)))
-    _lloyd(base, ck, runs, d, max_iter)
-    final = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)
+    direct = _direct(base)
+    _lloyd(base, ck, runs, d, max_iter, direct=direct)
+    final = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True, direct=direct)
     inertia = {kk: float(vec[-1]) for kk, (vec, _n) in final.items()}
     best: dict[tuple, tuple[np.ndarray, float]] = {}
     for (key, rid), run in sorted(runs.items(), key=lambda kv: kv[0][1]):

@@ -104,6 +104,26 @@ def fit_cohort(df: DataFrame, *, role: str, year: int, config: ClusteringConfig,
     return assignments, meta, (pca, models[()])
 
 
+def fit_cohorts(frames: dict[tuple, DataFrame], configs: dict[tuple, ClusteringConfig], *, max_workers: int = 4):
+    """``fit_cohort`` for many (role, year) cohorts. The fits are independent, so
+    they are submitted from a small driver thread pool and Spark runs their
+    (small) jobs concurrently. Returns {key: result or exception}."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(key):
+        try:
+            role, year = key
+            return key, fit_cohort(frames[key], role=role, year=year, config=configs[key])
+        except Exception as exc:  # recorded per cohort
+            return key, exc
+
+    keys = sorted(frames)
+    if len(keys) <= 1 or max_workers <= 1:
+        return dict(one(k) for k in keys)
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(keys))) as pool:
+        return dict(pool.map(one, keys))
+
+
 def build_clustering(
     spark: SparkSession,
     *,
@@ -113,6 +133,7 @@ def build_clustering(
     role_filter: str = "all",
     config: ClusteringConfig | None = None,
     configs_by_role: ClusteringConfigsByRole | None = None,
+    max_workers: int = 4,
 ) -> dict:
     """Every cohort found; per-cohort failures are collected, the rest continue."""
     roles = roles_for(role_filter)
@@ -120,12 +141,20 @@ def build_clustering(
     keys = [(r["role"], int(r["year"])) for r in gold.where(F.col("role").isin(*roles) & F.col("year").isin(*list(years)))
             .select("role", "year").distinct().collect()]
     errors, done, metas = [], [], []
+    frames, configs = {}, {}
     for role, year in sorted(keys):
         try:
-            cfg = config_for_role(role, default=config, by_role=configs_by_role)
+            configs[(role, year)] = config_for_role(role, default=config, by_role=configs_by_role)
             cohort = lake.read_parquet_or_none(spark, lake.role_year_path(gold_root, role, year))
-            cohort = cohort.withColumn("role", F.lit(role)).withColumn("year", F.lit(year))
-            assignments, meta, (pca, gmm) = fit_cohort(cohort, role=role, year=year, config=cfg)
+            frames[(role, year)] = cohort.withColumn("role", F.lit(role)).withColumn("year", F.lit(year))
+        except Exception as exc:
+            errors.append({"role": role, "year": year, "error": str(exc)})
+    for (role, year), res in sorted(fit_cohorts(frames, configs, max_workers=max_workers).items()):
+        if isinstance(res, Exception):
+            errors.append({"role": role, "year": year, "error": str(res)})
+            continue
+        try:
+            assignments, meta, (pca, gmm) = res
             lake.write_partitioned(assignments, lake.join_path(out_root, "assignments"), ("role", "year"))
             pca.save(spark, lake.join_path(out_root, "models", f"role={role}", f"year={year}", "pca"))
             mx.save_mixtures(spark, lake.join_path(out_root, "models", f"role={role}", f"year={year}", "gmm"), {(): gmm})

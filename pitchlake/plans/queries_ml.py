@@ -201,12 +201,16 @@ register("archetype_assignments")(lambda spark, d: _archetypes(spark, d))
 def _archetypes(spark, d):
     from functools import reduce
 
-    from .clustering import ClusteringConfig, fit_cohort
+    from .clustering import ClusteringConfig, fit_cohorts
 
+    frames = _pitcher_gold(spark, d)
+    cfg = ClusteringConfig(pca_n_components=3, n_clusters=3, n_init=1)
+    results = fit_cohorts(frames, {k: cfg for k in frames})
     out = []
-    for (role, year), frame in sorted(_pitcher_gold(spark, d).items()):
-        a, _, _ = fit_cohort(frame, role=role, year=year, config=ClusteringConfig(pca_n_components=3, n_clusters=3, n_init=1))
-        out.append(a.select("player_id", "role", "year", "cluster_id"))
+    for key, res in sorted(results.items()):
+        if isinstance(res, Exception):
+            raise res
+        out.append(res[0].select("player_id", "role", "year", "cluster_id"))
     return reduce(lambda x, y: x.unionByName(y), out)
 
 

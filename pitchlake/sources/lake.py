@@ -117,20 +117,15 @@ def write_partitioned(
     splits a skewed one (a day or season holding a large share of the rows)
     over several tasks instead of funnelling it through one.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (
-            df.hint("rebalance", *partition_cols)
-            .write.mode("overwrite")
-            .option("compression", compression)
-            .partitionBy(*partition_cols)
-            .format(fmt)
-            .save(root)
-        )
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (
+        df.hint("rebalance", *partition_cols)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")  # per write: safe with concurrent jobs
+        .option("compression", compression)
+        .partitionBy(*partition_cols)
+        .format(fmt)
+        .save(root)
+    )
 
 
 def drop_file_partition_columns(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
