@@ -51,7 +51,11 @@ def _check(df: DataFrame, need=REQUIRED) -> None:
 
 
 def clusters_payload(archetypes: DataFrame) -> DataFrame:
-    """Q3: one row per (role, cluster_id): label and the name-sorted player list."""
+    """Q3: one row per (role, cluster_id): label and the name-sorted player list.
+
+    The nested list is the API payload for one season's assignments table, so a
+    list holds at most one season's roster of a role; over many seasons, filter
+    by ``year`` first or use ``with_cluster_label`` (long form, no collection)."""
     _check(archetypes)
     grouped = archetypes.groupBy("role", "cluster_id").agg(
         F.count(F.lit(1)).alias("n_players"),
