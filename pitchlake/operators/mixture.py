@@ -412,6 +412,7 @@ def fit_mixtures(
                 run.active = False
                 run.model.converged = True
             run.prev_lb = lb
+    base.unpersist()
     best: dict[tuple, Mixture] = {}
     for (key, rid), run in sorted(runs.items(), key=lambda kv: kv[0][1]):
         bk = (key, run_k[rid])
@@ -534,6 +535,7 @@ def fit_kmeans(
     _lloyd(base, ck, runs, d, max_iter, direct=direct)
     final = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True, direct=direct)
     inertia = {kk: float(vec[-1]) for kk, (vec, _n) in final.items()}
+    base.unpersist()
     best: dict[tuple, tuple[np.ndarray, float]] = {}
     for (key, rid), run in sorted(runs.items(), key=lambda kv: kv[0][1]):
         bk = (key, run_k[rid])
