@@ -48,21 +48,3 @@ def dedupe_last(
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def last_wins(
-    df: DataFrame,
-    key_cols: Sequence[str],
-    order_cols: Sequence[str],
-    *,
-    value_filter=None,
-) -> DataFrame:
-    """One row per key: the row with the greatest ``order_cols`` (file order, dates ...).
-
-    ``value_filter`` (a Column) restricts candidates first, e.g. "value present".
-    Implemented as an aggregate (``max_by`` on a struct), so it combines
-    map-side and never gathers a key's rows into one sort.
-    """
-    src = df if value_filter is None else df.where(value_filter)
-    others = [c for c in src.columns if c not in key_cols]
-    order = F.struct(*[F.col(c) for c in order_cols])
-    picked = F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_last")
-    return src.groupBy(*key_cols).agg(picked).select(*key_cols, "_last.*")

@@ -569,24 +569,3 @@ def assign_nearest(df: DataFrame, vec_col: str, centres: dict[tuple, np.ndarray]
     return df.mapInPandas(label, schema)
 
 
-def kmeans_fit(df: DataFrame, vec_col: str, k: int, *, seed: int = 42, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4):
-    """``pyspark.ml`` K-means, best of ``n_init`` seeds by training cost (inertia)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    feats = df.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    best = None
-    for r in range(n_init):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="_features",
-                       predictionCol="_kmeans_pred").fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
-
-
-def kmeans_assign(df: DataFrame, vec_col: str, model, out_col: str = "cluster_id") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    feats = df.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    return model.transform(feats).withColumn(out_col, F.col("_kmeans_pred").cast("long")).drop("_features", "_kmeans_pred")

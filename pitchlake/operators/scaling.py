@@ -191,14 +191,6 @@ def fit_pca(
     return model
 
 
-def model_from_scaler(cols, cohort, st) -> PcaModel:
-    m = PcaModel(list(cols), list(cohort))
-    for key, s in st.items():
-        m.params[key] = {"n": s["n"], "mean": s["mean"], "scale": s["scale"], "components": np.eye(len(cols)),
-                         "evr": np.zeros(len(cols)), "ev": np.zeros(len(cols))}
-    return m
-
-
 def with_standardized_vector(df: DataFrame, model: PcaModel, out_col: str) -> DataFrame:
     """Append the standardised feature vector (array<double>) using the model's scaler."""
     return _apply(df, model, out_col, project=False)

@@ -3,7 +3,6 @@ their artifacts recorded as JSON metadata next to the data."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +60,3 @@ def build_silver_to_gold(
             "role_years_processed": done}
 
 
-def cohort_keys(spark: SparkSession, root: str, roles: Sequence[str], years: Sequence[int]) -> list[tuple[str, int]]:
-    """Distinct (role, year) present (partition values only)."""
-    df = lake.read_partitioned(spark, root).where(F.col("role").isin(*roles) & F.col("year").isin(*years))
-    return [(r["role"], int(r["year"])) for r in df.select("role", "year").distinct().collect()]

@@ -26,11 +26,6 @@ def pitcher_silver(spark, d):
         ft.pitcher_features(fx.pitches(spark, d), PARAMS, with_pitch_types=False), "pitcher"))
 
 
-def _num_cols(spark, d):
-    df = pitcher_silver(spark, d)
-    return [c for c in gd.numeric_columns(df) if c not in ("role", "year")]
-
-
 PITCHER_NUMERIC = ["n_pitches_total", *ft.PITCHER_FEATURE_ORDER]
 
 # Per rate column, how many rows were checked and how many lie outside [0, 1]
