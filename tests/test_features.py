@@ -143,3 +143,36 @@ def test_entropy_single_type_is_zero_and_widen(spark):
                                "pitcher long, year int, pitch_type string")
     ent = {r["pitcher"]: r["pitch_type_entropy"] for r in ptm.pitch_type_entropy(df, "pitcher").collect()}
     assert ent[1] == 0.0 and ent[2] == pytest.approx(math.log(2))
+
+
+def test_normalize_bronze_nan_to_null_and_ids(spark):
+    from pitchlake.functions.clean import normalize_bronze
+
+    df = spark.createDataFrame([("7", "x", dt.date(2024, 5, 1), float("nan")), ("8.0", "9", dt.date(2024, 5, 2), 99.0)],
+                               "pitcher string, batter string, date date, release_speed double")
+    out = normalize_bronze(df).orderBy("game_date").collect()
+    assert out[0]["release_speed"] is None and out[0]["batter"] is None and out[0]["pitcher"] == 7
+    assert out[1]["pitcher"] == 8 and out[1]["year"] == 2024 and "game_date" in out[0].asDict()
+    # NaN would otherwise satisfy ">= 98" in Spark and poison avg/max
+    nan_df = spark.createDataFrame([(float("nan"),), (50.0,)], "launch_speed double")
+    assert normalize_bronze(nan_df.withColumn("game_date", F.lit(dt.date(2024, 1, 1)))).agg(F.max("launch_speed")).first()[0] == 50.0
+
+
+def test_empty_domains_give_null_not_errors(spark):
+    # ANSI mode is on: every rate divides by its own domain size and must be NULL, never raise
+    df = spark.createDataFrame([(1, None, None, None, "R", None, None, None)],
+                               "g int, launch_speed double, launch_angle double, bb_type string, stand string, hc_x double, hc_y double, zone int")
+    params = ft.FeatureParams()
+    r = df.groupBy("g").agg(*ft.contact_quality_family(params)(df), *ft.batted_ball_family("")(df),
+                           *ft.spray_family(params)(df), F.lit(0).alias("_")).first()
+    assert all(r[c] is None for c in ("barrel_rate", "hard_hit_rate", "sweet_spot_percent", "gb_percent", "pull_percent"))
+
+
+def test_rates_stay_in_unit_interval_on_fixture(spark):
+    from pitchlake import fixtures as fx
+    from pitchlake.plans.silver import rate_violations
+
+    p = fx.pitches(spark, "/root/testdata/sf0.001")
+    bat = ft.batter_features(p, ft.FeatureParams(min_pitches_batter=1, min_batted_ball_batter=0))
+    pit = ft.pitcher_features(p, ft.FeatureParams(min_pitches_pitcher=1), with_pitch_types=False)
+    assert rate_violations(bat, "batter").count() == 0 and rate_violations(pit, "pitcher").count() == 0
