@@ -171,11 +171,13 @@ def union_positions(board):
 
 
 # P12 ---------------------------------------------------------------------------------
+# Compared at 9 decimals: atan2 differs by an ulp between the JVM and DuckDB's libm,
+# which can straddle a 10th-decimal rounding boundary (degrees of magnitude ~100).
 register(
     "spray_angle",
     f"""{fx.oracle_ctes('pitches')}
-SELECT game_pk, pitch_number, pitcher, {r('DEGREES(ATAN2(hc_x - 125.42, 198.27 - hc_y))')} AS spray_angle_deg FROM pitches""",
-)(lambda spark, d: finalize(fx.pitches(spark, d).select("game_pk", "pitch_number", "pitcher", fl.spray_angle().alias("spray_angle_deg"))))
+SELECT game_pk, pitch_number, pitcher, {r('DEGREES(ATAN2(hc_x - 125.42, 198.27 - hc_y))', 9)} AS spray_angle_deg FROM pitches""",
+)(lambda spark, d: finalize(fx.pitches(spark, d).select("game_pk", "pitch_number", "pitcher", fl.spray_angle().alias("spray_angle_deg")), 9))
 
 # Q1-shaped batter rows: features + sprint + names + fielding ------------------------------
 register(
