@@ -165,3 +165,17 @@ def test_serving_tables_from_job_outputs(spark, lake_root):
     assert sv.player_name_lookup(a, player_id=-1, role="batter") is None
     gmm = mx.load_mixtures(spark, str(lake_root / "clusters" / "models" / "role=batter" / "year=1996" / "gmm"))
     assert gmm[()].k == 2
+
+
+def test_streaming_windowed_counts(spark, tmp_path):
+    from pitchlake.streaming.bronze_stream import windowed_counts
+
+    ev = fx.table(spark, SF0001, "events")
+    src = tmp_path / "events"
+    ev.write.parquet(str(src))
+    stream = spark.readStream.schema(ev.schema).parquet(str(src))
+    q = (windowed_counts(stream, ts_col="ts", window="1 day", watermark="1 day", keys=("event_type",))
+         .writeStream.outputMode("complete").format("memory").queryName("wc_test").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.sql("SELECT SUM(n_rows) AS n FROM wc_test").first()["n"]
+    assert got == ev.count()
