@@ -283,17 +283,23 @@ def pitcher_features(
     """Q2 for role ``pitcher``: one row per (pitcher, year) with >= min pitches."""
     require_columns(pitches, PITCHER_REQUIRED, "pitcher input")
     df = prepare_role_pitches(pitches, "pitcher", order_cols=order_cols)
-    out = aggregate_families(df, ("pitcher", "year"), pitcher_families())
+    fams = pitcher_families()
+    vocab = None
+    if with_pitch_types:
+        # The type vocabulary (a handful of codes) comes from a one-column distinct;
+        # per-type counts and means then ride in the same aggregate as every other
+        # feature, so the pitches are scanned and deduplicated once.
+        from .pitch_types import type_code_aggregates, type_vocabulary
+
+        vocab = type_vocabulary(pitches)
+        fams = [*fams, lambda d: type_code_aggregates(vocab)]
+    out = aggregate_families(df, ("pitcher", "year"), fams)
     out = out.where(F.col("n_pitches_total") >= params.min_pitches_pitcher)
     out = out.withColumnRenamed("pitcher", "player_id").withColumn("role", F.lit("pitcher"))
     if with_pitch_types:
-        # Same deduplicated input in one plan: Spark reuses its exchange, so the
-        # pitches are scanned and deduplicated once for both aggregates.
-        from .pitch_types import pitch_type_maps
+        from .pitch_types import maps_from_code_aggregates
 
-        prof = pitch_type_maps(df, "pitcher", min_pitches_per_type=params.min_pitches_per_pitch_type)
-        prof = prof.withColumnRenamed("pitcher", "player_id")
-        out = out.join(prof, ["player_id", "year"], "left")
+        out = maps_from_code_aggregates(out, vocab, min_pitches_per_type=params.min_pitches_per_pitch_type)
     return out
 
 

@@ -178,6 +178,70 @@ def pitch_type_maps(df: DataFrame, id_col: str, *, min_pitches_per_type: int, ty
     )
 
 
+def type_vocabulary(df: DataFrame, type_col: str = "pitch_type") -> list[tuple[str, str | None]]:
+    """(raw code, cleaned code or None) for every non-null raw type: one
+    single-column distinct (column-pruned scan, partial aggregation). The
+    result is the code vocabulary -- a handful of values, never data rows."""
+    rows = (
+        df.where(F.col(type_col).isNotNull())
+        .select(F.col(type_col).alias("raw"), fl.pitch_type_clean(type_col).alias("clean"))
+        .distinct()
+        .collect()
+    )
+    return sorted((r["raw"], r["clean"]) for r in rows)
+
+
+def type_code_aggregates(vocab: Sequence[tuple[str, str | None]], type_col: str = "pitch_type") -> list:
+    """Conditional aggregates per raw code (counts) and per cleaned code (count and
+    measure means), to be evaluated inside the player-year aggregate."""
+    raw = F.col(type_col)
+    clean = fl.pitch_type_clean(type_col)
+    out = [F.count(F.when(raw == F.lit(r), 1)).alias(f"_ptn_{i}") for i, (r, _c) in enumerate(vocab)]
+    for j, c in enumerate(sorted({c for _r, c in vocab if c is not None})):
+        out.append(F.count(F.when(clean == F.lit(c), 1)).alias(f"_pcn_{j}"))
+        for m in PHYSICAL_MEASURES:
+            out.append(F.avg(F.when(clean == F.lit(c), F.col(m))).alias(f"_pcm_{j}_{m}"))
+    return out
+
+
+def maps_from_code_aggregates(df: DataFrame, vocab: Sequence[tuple[str, str | None]], *, min_pitches_per_type: int) -> DataFrame:
+    """Turn the conditional aggregates into ``pitch_type_entropy``, ``pitch_type_shares``
+    and ``pitch_type_means`` (same contract as ``pitch_type_maps``)."""
+    raws = [r for r, _c in vocab]
+    cleans = sorted({c for _r, c in vocab if c is not None})
+    helper = [c for c in df.columns if c.startswith(("_ptn_", "_pcn_", "_pcm_"))]
+    if not raws:
+        nul = F.lit(None)
+        return df.select(*[c for c in df.columns if c not in helper], nul.cast("double").alias("pitch_type_entropy"),
+                         nul.cast("map<string,double>").alias("pitch_type_shares"),
+                         nul.cast("map<string,struct<n:bigint,release_speed_mean:double,release_spin_rate_mean:double,pfx_x_mean:double>>")
+                         .alias("pitch_type_means"))
+    counts = F.array(*[F.struct(F.lit(r).alias("k"), F.col(f"_ptn_{i}").alias("n")) for i, r in enumerate(raws)])
+    typed = F.filter(counts, lambda e: e["n"] > 0)
+    total = F.aggregate(typed, F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    shares = F.transform(typed, lambda e: F.struct(e["k"].alias("k"), (e["n"] / total).alias("v")))
+    ent_sum = F.aggregate(shares, F.lit(0.0), lambda a, e: a + e["v"] * F.ln(e["v"]))
+    entropy = F.when(F.size(typed) > 1, -ent_sum).when(F.size(typed) == 1, F.lit(0.0))
+    if cleans:
+        stats = F.array(*[
+            F.struct(F.lit(c).alias("k"), F.struct(
+                F.col(f"_pcn_{j}").alias("n"), *[F.col(f"_pcm_{j}_{m}").alias(f"{m}_mean") for m in PHYSICAL_MEASURES]
+            ).alias("v"))
+            for j, c in enumerate(cleans)
+        ])
+        means = F.filter(stats, lambda e: e["v"]["n"] >= min_pitches_per_type)
+        means_col = F.when(F.size(means) > 0, F.map_from_entries(means))
+    else:
+        means_col = F.lit(None).cast(
+            "map<string,struct<n:bigint,release_speed_mean:double,release_spin_rate_mean:double,pfx_x_mean:double>>")
+    return df.select(
+        *[c for c in df.columns if c not in helper],
+        entropy.alias("pitch_type_entropy"),
+        F.when(F.size(typed) > 0, F.map_from_entries(shares)).alias("pitch_type_shares"),
+        means_col.alias("pitch_type_means"),
+    )
+
+
 def widen_maps(silver: DataFrame, *, share_codes: Sequence[str] | None = None,
                physical_codes: Sequence[str] | None = None, drop_maps: bool = True) -> DataFrame:
     """Pivot the map columns of a silver table into ``pitch_type_<PT>_share`` and
