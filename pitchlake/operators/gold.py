@@ -277,15 +277,14 @@ def preprocess_cohorts(
     return frames, arts
 
 
-def missing_value_report(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, int]:
-    """One aggregate counting NULL/NaN per numeric column; only non-zero entries returned."""
+def missing_value_report(df: DataFrame, cols: Sequence[str] | None = None, *, with_count: bool = False):
+    """One aggregate counting NULL/NaN per numeric column; only non-zero entries
+    returned. ``with_count`` also returns the row count from the same job."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if not cols:
-        return {}
-    row = df.agg(*[
-        F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long")).alias(c) for c in cols
-    ]).first()
-    return {c: int(row[c] or 0) for c in cols if row[c]}
+    aggs = [F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long")).alias(c) for c in cols]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
+    report = {c: int(row[c] or 0) for c in cols if row[c]}
+    return (report, int(row["_rows"])) if with_count else report
 
 
 def assert_no_missing(df: DataFrame, cols: Sequence[str] | None = None, what: str = "gold features") -> None:

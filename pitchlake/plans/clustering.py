@@ -18,7 +18,7 @@ from ..operators import knn as knn_ops
 from ..operators import metrics as mt
 from ..operators import mixture as mx
 from ..operators import scaling as sc
-from ..operators.gold import assert_no_missing
+from ..operators.gold import assert_no_missing, missing_value_report
 from ..sources import lake
 from .gold import roles_for
 
@@ -68,8 +68,9 @@ def fit_cohort(df: DataFrame, *, role: str, year: int, config: ClusteringConfig,
     feats = sc.model_feature_columns(df)
     if not feats:
         raise ValueError("No numeric feature columns after exclusions.")
-    assert_no_missing(df, feats, "feature matrix")
-    n = df.count()
+    missing, n = missing_value_report(df, feats, with_count=True)
+    if missing:
+        raise ValueError(f"NaN values remain in numeric feature matrix: {sorted(missing)}")
     if n == 0:
         raise ValueError("Empty dataframe for archetype clustering.")
     if n < MIN_SAMPLES:
