@@ -179,3 +179,10 @@ def test_streaming_windowed_counts(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT SUM(n_rows) AS n FROM wc_test").first()["n"]
     assert got == ev.count()
+
+
+def test_pitcher_features_with_profile_scan_pitches_once(spark):
+    df = ft.pitcher_features(fx.pitches(spark, SF0001), ft.FeatureParams(min_pitches_pitcher=10))
+    plan = df._jdf.queryExecution().executedPlan().toString()  # before execution: initial plan only
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
