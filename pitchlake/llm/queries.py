@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, idfiles, packing, quality
+from . import bytebpe, html, idfiles, merkle, minhash, packing, pii, quality, repeats
 from .common import scratch_path
 
 
@@ -24,10 +24,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -41,10 +54,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idfiles.write(_table(spark, sf_dir, "documents"), scratch_path(spark, "idfiles"), _tokenizer("word_bpe_49k.json"))
     return idfiles.digests(idfiles.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op6_byte_bpe, op9_token_files)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_suffix_dedup, op3_packing, op4_html_extraction, op5_fingerprints,
+        op6_byte_bpe, op8_minhash_near_dedup, op9_token_files, op10_pii,
+    )
+}
+#: a trained verdict, suffix order, packing, tag paths, BPE merges and set links have no SQL; tests/llm holds them
+#: against brute force, exact round trips and held-out labels instead
 ORACLE: dict[str, str] = {}
