@@ -36,9 +36,10 @@ FROM (SELECT *, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS x FROM {lineitem
 """
 
 SPRINT_BOARD_SQL = """
-SELECT CAST(1995 + p_partkey % 7 AS INT) AS year, p_partkey % 40 AS player_id, 23 + CAST(p_size AS DOUBLE) / 10 AS sprint_speed,
+SELECT CASE WHEN p_partkey % 7 <> 6 THEN CAST(1995 + p_partkey % 7 AS INT) END AS year,
+  CASE WHEN p_partkey % 40 <> 13 THEN p_partkey % 40 END AS player_id, 23 + CAST(p_size AS DOUBLE) / 10 AS sprint_speed,
   CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS opportunities, p_partkey AS file_order
-FROM {part} WHERE p_partkey % 7 <> 6 AND p_partkey % 40 <> 13
+FROM {part}
 """
 
 FIELD_BOARD_SQL = """
@@ -57,7 +58,7 @@ FROM {part}
 REGISTER_SQL = """
 SELECT CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey END AS key_mlbam, c_custkey + 5000 AS key_fangraphs,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS name_last,
-  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN ' ' ELSE c_mktsegment END AS name_first
+  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN ' ' ELSE c_mktsegment END AS name_first, c_custkey AS file_order
 FROM {customer}
 """
 

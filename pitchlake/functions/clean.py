@@ -30,8 +30,9 @@ def finite_or_null(c: str | Column) -> Column:
 
 
 def to_long_id(c: str | Column) -> Column:
-    """Player ids: coerce any text/float id to BIGINT, bad -> NULL."""
-    return col_(c).try_cast("double").try_cast("bigint")
+    """Player ids: integers and integer text exactly, other numbers cut to BIGINT, bad -> NULL."""
+    x = col_(c)
+    return F.coalesce(x.try_cast("bigint"), x.cast("string").try_cast("decimal(38,10)").try_cast("bigint"))
 
 
 def lower_text(c: str | Column) -> Column:

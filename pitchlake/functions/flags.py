@@ -57,6 +57,8 @@ def contact(description: str | Column = "description") -> Column:
 def in_zone(zone="zone", plate_z="plate_z", sz_bot="sz_bot", sz_top="sz_top") -> Column:
     """Zone 1..9 when zone is known, else plate_z within [sz_bot, sz_top], else false."""
     z = col_(zone).try_cast("double")
+    if plate_z is None or sz_bot is None or sz_top is None:  # an input without these columns
+        return F.coalesce(z.between(1, 9), F.lit(False))
     geom = (col_(plate_z) >= col_(sz_bot)) & (col_(plate_z) <= col_(sz_top))
     return F.coalesce(z.between(1, 9), geom, F.lit(False))
 

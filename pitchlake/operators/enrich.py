@@ -32,17 +32,16 @@ DEFENCE_METRICS = (
 STAR_TIERS = tuple((f"n_fieldout_{s}stars", f"n_opp_{s}stars") for s in (5, 4, 3, 2, 1))
 
 
-def _last_by(df: DataFrame, keys: Sequence[str], value: str, order_col: str | None) -> DataFrame:
-    """One value per key: the one on the row with the greatest ``order_col``."""
-    if order_col is None:
-        return df.groupBy(*keys).agg(F.last(value).alias(value))
+def _last_by(df: DataFrame, keys: Sequence[str], value: str, order_col: str) -> DataFrame:
+    """One value per key: the one on the row with the greatest ``order_col``
+    (``lake.with_file_order`` gives load order)."""
     return df.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order_col)).alias(value))
 
 
 # -------------------------------------------------------------- sprint
 
 
-def sprint_lookup(board: DataFrame, *, min_opportunities: int = 10, order_col: str | None = "file_order") -> DataFrame:
+def sprint_lookup(board: DataFrame, *, min_opportunities: int = 10, order_col: str = "file_order") -> DataFrame:
     """(year, player_id, sprint_speed): filtered board, last row per player and year."""
     pid = find_column(board, "player_id", "mlbam_id", "mlbamid", "id")
     ss = find_column(board, "sprint_speed", "sprint_speed_ft_per_sec")
@@ -54,7 +53,7 @@ def sprint_lookup(board: DataFrame, *, min_opportunities: int = 10, order_col: s
         to_long_id(pid).alias("player_id"),
         to_double(ss).alias("sprint_speed"),
         (to_double(opp) if opp else F.lit(None).cast("double")).alias("_opp"),
-        *([F.col(order_col)] if order_col else []),
+        F.col(order_col),
     ).where(F.col("player_id").isNotNull() & F.col("sprint_speed").isNotNull())
     df = df.where(F.col("_opp").isNull() | (F.col("_opp") >= min_opportunities))
     return _last_by(df, ("year", "player_id"), "sprint_speed", order_col)
@@ -66,7 +65,7 @@ def attach_sprint(
     *,
     min_opportunities: int = 10,
     pitch_mean_col: str = "_pitch_sprint_mean",
-    order_col: str | None = "file_order",
+    order_col: str = "file_order",
 ) -> DataFrame:
     """``sprint_speed_mean``. A season with a board uses the board only (absent
     player -> NULL); a season without one falls back to the pitch-level mean."""
@@ -90,13 +89,13 @@ def attach_sprint(
 # -------------------------------------------------------------- register
 
 
-def name_map(register: DataFrame, *, order_col: str | None = None) -> DataFrame:
+def name_map(register: DataFrame, *, order_col: str = "file_order") -> DataFrame:
     """(player_id, player_name) from the register: ``Last, First`` with one-sided
     fallback, rows without any name skipped, last row per id wins."""
     df = register.select(
         to_long_id("key_mlbam").alias("player_id"),
         display_name("name_last", "name_first").alias("player_name"),
-        *([F.col(order_col)] if order_col else []),
+        F.col(order_col),
     ).where(F.col("player_id").isNotNull() & F.col("player_name").isNotNull())
     return _last_by(df, ("player_id",), "player_name", order_col)
 
@@ -110,12 +109,12 @@ def attach_names(df: DataFrame, names: DataFrame | None, id_col: str = "player_i
     return base.join(nm, [id_col], "left").withColumn("player_name", F.coalesce(F.col("player_name"), F.lit("")))
 
 
-def id_crosswalk(register: DataFrame, *, order_col: str | None = None) -> DataFrame:
+def id_crosswalk(register: DataFrame, *, order_col: str = "file_order") -> DataFrame:
     """(idfg, player_id) for rows with both ids; last mapping per source id wins."""
     df = register.select(
         to_long_id("key_fangraphs").alias("idfg"),
         to_long_id("key_mlbam").alias("player_id"),
-        *([F.col(order_col)] if order_col else []),
+        F.col(order_col),
     ).where(F.col("idfg").isNotNull() & F.col("player_id").isNotNull())
     return _last_by(df, ("idfg",), "player_id", order_col)
 
@@ -148,7 +147,7 @@ def oaa_rollup(oaa: DataFrame) -> DataFrame:
     )
 
 
-def catch_completion(board: DataFrame, *, order_col: str | None = "file_order") -> DataFrame:
+def catch_completion(board: DataFrame, *, order_col: str = "file_order") -> DataFrame:
     """Outs / opportunities over the star tiers present (missing counts as 0);
     NULL with no opportunities; a repeated player keeps its last row."""
     pid = find_column(board, "player_id", "id")
@@ -163,7 +162,7 @@ def catch_completion(board: DataFrame, *, order_col: str | None = "file_order")
         F.col("year").cast("int").alias("year"),
         to_long_id(pid).alias("player_id"),
         rate.alias("def_outfield_catch_completion_rate"),
-        *([F.col(order_col)] if order_col else []),
+        F.col(order_col),
     ).where(F.col("player_id").isNotNull())
     return _last_by(df, ("year", "player_id"), "def_outfield_catch_completion_rate", order_col)
 
@@ -180,24 +179,24 @@ def arm_strength(board: DataFrame) -> DataFrame:
     )
 
 
-def _last_present(board: DataFrame, id_aliases, value_aliases, out_name: str, order_col: str | None) -> DataFrame:
+def _last_present(board: DataFrame, id_aliases, value_aliases, out_name: str, order_col: str) -> DataFrame:
     pid = find_column(board, *id_aliases)
     val = find_column(board, *value_aliases)
     df = board.select(
         F.col("year").cast("int").alias("year"),
         to_long_id(pid).alias("player_id"),
         to_double(val).alias(out_name),
-        *([F.col(order_col)] if order_col else []),
+        F.col(order_col),
     ).where(F.col("player_id").isNotNull() & F.col(out_name).isNotNull())
     return _last_by(df, ("year", "player_id"), out_name, order_col)
 
 
-def pop_time(board: DataFrame, *, order_col: str | None = "file_order") -> DataFrame:
+def pop_time(board: DataFrame, *, order_col: str = "file_order") -> DataFrame:
     """``pop_2b_sba`` (else ``pop_2b``) column; last non-missing row wins."""
     return _last_present(board, ("entity_id", "player_id"), ("pop_2b_sba", "pop_2b"), "def_pop_time_2b_sec", order_col)
 
 
-def framing_runs(board: DataFrame, *, order_col: str | None = "file_order") -> DataFrame:
+def framing_runs(board: DataFrame, *, order_col: str = "file_order") -> DataFrame:
     """``rv_tot`` (else ``framing_runs``) column; last non-missing row wins."""
     return _last_present(board, ("id", "player_id"), ("rv_tot", "framing_runs"), "def_framing_runs", order_col)
 
@@ -243,13 +242,13 @@ def fielding_metrics(
     if oaa is not None:
         parts.append(oaa_rollup(oaa))
     if catch is not None:
-        parts.append(catch_completion(catch, order_col="file_order" if "file_order" in catch.columns else None))
+        parts.append(catch_completion(catch))
     if arm is not None:
         parts.append(arm_strength(arm))
     if poptime is not None:
-        parts.append(pop_time(poptime, order_col="file_order" if "file_order" in poptime.columns else None))
+        parts.append(pop_time(poptime))
     if framing is not None:
-        parts.append(framing_runs(framing, order_col="file_order" if "file_order" in framing.columns else None))
+        parts.append(framing_runs(framing))
     if fielding is not None and crosswalk is not None:
         parts.append(drs_total(fielding, crosswalk))
     if not parts:

@@ -49,11 +49,17 @@ class FeatureParams:
 # ---------------------------------------------------------------- families
 
 
+def _in_zone(df: DataFrame) -> Column:
+    """In-zone flag over the zone columns that ``df`` has."""
+    zone = F.col("zone") if "zone" in df.columns else F.lit(None).cast("double")
+    return fl.in_zone(zone, *(c if c in df.columns else None for c in ("plate_z", "sz_bot", "sz_top")))
+
+
 def discipline_family(prefix: str = "") -> Family:
     """A3: swing / zone-swing / chase / contact / whiff, all over total pitches."""
 
     def exprs(df: DataFrame) -> list[Column]:
-        sw, iz, wh = fl.swing(), fl.in_zone(), fl.whiff()
+        sw, iz, wh = fl.swing(), _in_zone(df), fl.whiff()
         return [
             rate(sw).alias(f"{prefix}swing_rate"),
             rate(sw & iz).alias(f"{prefix}zone_swing_rate"),
@@ -71,7 +77,7 @@ def zone_family(df: DataFrame) -> list[Column]:
     on_grid = z.between(1, 9)
     centre = z.cast("int") == 5
     return [
-        rate(fl.in_zone()).alias("in_zone_rate"),
+        rate(_in_zone(df)).alias("in_zone_rate"),
         rate(~centre, on_grid).alias("edge_percent"),
         rate(centre, on_grid).alias("meatball_percent"),
     ]

@@ -3,13 +3,6 @@
 
 def load_registry():
     """Import every query module (they self-register) and return the registry."""
-    from . import registry
-    from . import queries_silver  # noqa: F401
+    from . import queries_enrich, queries_gold, queries_lake, queries_ml, queries_serving, queries_silver, registry  # noqa: F401
 
-    for mod in ("queries_enrich", "queries_gold", "queries_ml", "queries_serving", "queries_lake"):
-        try:
-            __import__(f"{__name__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name != f"{__name__}.{mod}":
-                raise
     return registry

@@ -36,6 +36,8 @@ def build_silver_to_gold(
         roles = roles_for(role_filter)
     except ValueError as exc:
         return {"status": "error", "message": str(exc), "rows_written": 0, "role_years_processed": []}
+    if start_year > end_year:
+        return {"status": "error", "message": f"years {start_year} .. {end_year} are out of order", "rows_written": 0, "role_years_processed": []}
     rows_written, done, all_arts = 0, [], []
     for role in roles:
         silver = lake.read_role(spark, silver_root, role)

@@ -18,7 +18,7 @@ LAND_START, LAND_END, LAND_TODAY = dt.date(2023, 12, 29), dt.date(2024, 2, 2), d
 
 
 def ytd_scan(spark, d):
-    start, end = sv.effective_window(sv.parse_day(YTD_START), sv.parse_day(YTD_END), year_to_date=True)
+    start, end = sv.effective_window(*lake.date_window(YTD_START, YTD_END), year_to_date=True)
     ev = fx.table(spark, d, "events")
     day = F.to_date("ts")
     return finalize(

@@ -104,16 +104,14 @@ def player_name_lookup(archetypes: DataFrame, *, player_id: int, role: str) -> s
     return None if row is None else str(row[0])
 
 
-def clamp_limit(limit) -> int:
-    return min(2000, max(1, int(limit)))
-
-
 def player_leaderboard(archetypes: DataFrame, role: str, limit: int = 500) -> DataFrame:
     """Q6: distinct players of a role (first row per id), sorted by name, first ``limit``."""
+    if limit < 1:
+        raise ValueError(f"limit must be 1 or more; got {limit}")
     sub = archetypes.where(F.lower(F.col("role")) == F.lit(role.strip().lower()))
     order = F.struct(*[F.col(c) for c in ("year", "cluster_id", "player_name") if c in sub.columns])
     first = sub.groupBy("player_id").agg(F.min_by("player_name", order).alias("player_name"))
-    return first.select("player_id", "player_name").orderBy("player_name", "player_id").limit(clamp_limit(limit))
+    return first.select("player_id", "player_name").orderBy("player_name", "player_id").limit(limit)
 
 
 def snapshot_summary(archetypes: DataFrame, neighbors: DataFrame, *, year: int | None, source: str) -> DataFrame:

@@ -33,10 +33,6 @@ PITCHER_RATE_COLUMNS = (
 )
 
 
-def parse_day(value: str) -> dt.date:
-    return dt.datetime.strptime(value, "%Y-%m-%d").date()
-
-
 def effective_window(start: dt.date, end: dt.date, *, year_to_date: bool) -> tuple[dt.date, dt.date]:
     """Widen the start to Jan 1 of the earliest year touched (end unchanged)."""
     if not year_to_date:
@@ -60,8 +56,7 @@ def enrich_batters(
     """J1 + J2 + J3/J4/J5 on batter feature rows."""
     out = batters
     if sprint_board is not None:
-        out = en.attach_sprint(out, sprint_board, min_opportunities=sprint_min_opportunities,
-                               order_col="file_order" if "file_order" in sprint_board.columns else None)
+        out = en.attach_sprint(out, sprint_board, min_opportunities=sprint_min_opportunities)
     else:
         fallback = F.col("_pitch_sprint_mean") if "_pitch_sprint_mean" in out.columns else F.lit(None).cast("double")
         out = out.withColumn("sprint_speed_mean", fallback)
@@ -104,7 +99,7 @@ def silver_tables(
     params: ft.FeatureParams = ft.FeatureParams(),
     *,
     roles: Sequence[str] = ("batter", "pitcher"),
-    order_cols: Sequence[str] = ("game_date",),
+    order_cols: Sequence[str] = (lake.FILE_ORDER,),
     sprint_board: DataFrame | None = None,
     register: DataFrame | None = None,
     fielding_sources: dict[str, DataFrame] | None = None,
@@ -142,44 +137,50 @@ def build_bronze_to_silver(
     sprint_board: DataFrame | None = None,
     register: DataFrame | None = None,
     fielding_sources: dict[str, DataFrame] | None = None,
-    order_cols: Sequence[str] = ("game_date",),
+    order_cols: Sequence[str] = (lake.FILE_ORDER,),
+    violations_root: str | None = None,
 ) -> dict:
-    """Q1 with the status protocol: ``error`` / ``no_data`` / ``ok``."""
+    """Q1 with the status protocol: ``error`` / ``no_data`` / ``ok``.
+
+    The last copy of a pitch in load order wins. Rates outside [0, 1] stop the job
+    with their count per column; ``violations_root`` receives every one of them."""
+    def stopped(status: str, message) -> dict:
+        return {"status": status, "message": str(message), "years_written": [], "rows_written": 0}
+
     try:
-        start, end = parse_day(start_date), parse_day(end_date)
+        start, end = lake.date_window(start_date, end_date)
     except ValueError as exc:
-        return {"status": "error", "message": str(exc), "years_written": [], "rows_written": 0}
-    if start > end:
-        return {"status": "error", "message": f"start_date ({start_date}) must be <= end_date ({end_date})",
-                "years_written": [], "rows_written": 0}
+        return stopped("error", exc)
     b_start, b_end = effective_window(start, end, year_to_date=year_to_date)
     bronze = lake.read_bronze_range(spark, bronze_root, b_start, b_end)
     if bronze is None or bronze.isEmpty():
-        return {"status": "no_data", "message": f"No bronze data between {b_start} and {b_end}",
-                "years_written": [], "rows_written": 0}
+        return stopped("no_data", f"bronze holds nothing from {b_start} to {b_end}")
     try:
         tables = silver_tables(bronze, params, sprint_board=sprint_board, register=register,
                                fielding_sources=fielding_sources, order_cols=order_cols)
     except ValueError as exc:
-        return {"status": "error", "message": str(exc), "years_written": [], "rows_written": 0}
+        return stopped("error", exc)
     # Silver tables are small (one row per player-year): keep them for the checks,
     # the counts and the write, so the bronze plan runs once per role.
     tables = {role: df.persist() for role, df in tables.items()}
-    # All checks before any write (T21): one small job per role.
-    for role, df in tables.items():
-        bad = rate_violations(df, role).limit(20).collect()
-        if bad:
-            return {"status": "error", "message": f"rate check failed for {role}: {[tuple(b) for b in bad]}",
-                    "years_written": [], "rows_written": 0}
-    rows, years = 0, set()
-    for role, df in tables.items():
-        counts = {int(r["year"]): int(r["count"]) for r in df.groupBy("year").count().collect()}
-        if not counts:
-            continue
-        lake.write_partitioned(df, silver_root, ("role", "year"))
-        rows += sum(counts.values())
-        years.update(counts)
-        df.unpersist()
+    try:
+        # All checks before any write (T21): one small job per role, exact counts per column.
+        for role, df in tables.items():
+            bad = rate_violations(df, role).groupBy("column").count().orderBy("column").collect()
+            if bad:
+                if violations_root:
+                    lake.write_partitioned(rate_violations(df, role).withColumn("role", F.lit(role)), violations_root, ("role", "year"))
+                return stopped("error", f"rates of {role} outside [0, 1]: " + ", ".join(f"{r['column']} in {r['count']} rows" for r in bad))
+        rows, years = 0, set()
+        for df in tables.values():
+            counts = {int(r["year"]): int(r["count"]) for r in df.groupBy("year").count().collect()}
+            if counts:
+                lake.write_partitioned(df, silver_root, ("role", "year"))
+                rows += sum(counts.values())
+                years.update(counts)
+    finally:
+        for df in tables.values():
+            df.unpersist()
     return {
         "status": "ok",
         "message": f"silver: bronze window {b_start}..{b_end}, wrote {rows} rows across years {sorted(years)}",

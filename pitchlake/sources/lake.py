@@ -30,6 +30,14 @@ def join_path(root: str, *parts: str) -> str:
     return "/".join([root, *[p.strip("/") for p in parts if p]])
 
 
+def date_window(start_date: str, end_date: str) -> tuple[dt.date, dt.date]:
+    """Two ISO days as dates; ValueError where one is no date or they are out of order."""
+    start, end = (dt.datetime.strptime(d, "%Y-%m-%d").date() for d in (start_date, end_date))
+    if start > end:
+        raise ValueError(f"the window {start_date} .. {end_date} ends before it begins")
+    return start, end
+
+
 def bronze_day_path(root: str, day: dt.date) -> str:
     return join_path(root, f"year={day.year}", f"date={day.isoformat()}")
 
@@ -49,6 +57,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def has_partitions(spark: SparkSession, root: str) -> bool:
+    """Whether ``root`` holds partition folders (``name=value``)."""
+    if not _exists(spark, root):
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return any("=" in f.getPath().getName() for f in found)
+
+
 def read_parquet_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """S3: a missing path means "no table" (None); other errors raise."""
     if not _exists(spark, path):
@@ -57,9 +74,20 @@ def read_parquet_or_none(spark: SparkSession, path: str, schema=None) -> DataFra
     return reader.parquet(path)
 
 
-def read_partitioned(spark: SparkSession, root: str, schema=None, *, merge_schema: bool = False) -> DataFrame:
-    """Partitioned read; ``merge_schema`` unions the file schemas (cohorts whose
-    feature columns differ, e.g. assignments of several role-years)."""
+FILE_ORDER = "file_order"
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Adds ``file_order``: where a row stands in load order (file path, then row in the file).
+
+    ``df`` must come straight from a Parquet reader. The path names the day, so
+    later days come after earlier ones."""
+    return df.withColumn(FILE_ORDER, F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")))
+
+
+def read_partitioned(spark: SparkSession, root: str, schema=None, *, merge_schema: bool = True) -> DataFrame:
+    """Partitioned read; the file schemas are united (days, seasons or cohorts
+    whose columns differ: absent ones are NULL)."""
     reader = spark.read.option("basePath", root).option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
@@ -68,22 +96,24 @@ def read_partitioned(spark: SparkSession, root: str, schema=None, *, merge_schem
 
 def read_role(spark: SparkSession, root: str, role: str) -> DataFrame | None:
     """One role's partition tree of a ``role=/year=`` table. Roles carry different
-    feature columns, so each is read with its own schema (``role`` re-added)."""
+    feature columns, so each is read with its own schema, united over its years
+    (``role`` re-added)."""
     path = join_path(root, f"role={role}")
     if not _exists(spark, path):
         return None
-    return spark.read.option("basePath", path).parquet(path).withColumn("role", F.lit(role))
+    return read_partitioned(spark, path).withColumn("role", F.lit(role))
 
 
 def read_bronze_range(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame | None:
-    """All bronze days in [start, end]; missing days simply contribute nothing.
+    """All bronze days in [start, end], with ``file_order``; missing days simply
+    contribute nothing, and a column that only some days carry is NULL on the others.
 
     The predicate is on the partition columns, so only matching ``date=``
     folders are listed and read (``PartitionFilters`` in the plan).
     """
     if not _exists(spark, root):
         return None
-    df = read_partitioned(spark, root)
+    df = with_file_order(read_partitioned(spark, root))
     date_col = "date" if "date" in df.columns else "game_date"
     out = df.where(
         F.col("year").between(start.year, end.year)
@@ -95,11 +125,11 @@ def read_bronze_range(spark: SparkSession, root: str, start: dt.date, end: dt.da
 
 
 def read_leaderboard_years(spark: SparkSession, root: str, dataset: str, first_year: int, last_year: int) -> DataFrame | None:
-    """A yearly leaderboard over a year range (missing years skipped)."""
+    """A yearly leaderboard over a year range, with ``file_order`` (missing years skipped)."""
     path = leaderboard_path(root, dataset)
     if not _exists(spark, path):
         return None
-    return read_partitioned(spark, path).where(F.col("year").between(first_year, last_year))
+    return with_file_order(read_partitioned(spark, path)).where(F.col("year").between(first_year, last_year))
 
 
 def write_partitioned(
@@ -156,15 +186,22 @@ def load_serving_tables(
     archetypes_root: str,
     neighbors_root: str,
     year: int | None = None,
+    roles: Sequence[str] = ("batter", "pitcher"),
 ) -> tuple[DataFrame, DataFrame]:
-    """The two serving tables (assignments, neighbours), roles with data only;
-    a literal ``role`` column is added when a source lacks it."""
-    out = []
-    for root in (archetypes_root, neighbors_root):
-        df = read_partitioned(spark, root, merge_schema=True)
+    """The two serving tables (assignments, neighbours) of the roles that have
+    rows in both. Every role is read from its own folder and named by it, so a
+    table without a ``role`` column gets the right one."""
+    found: list[tuple[DataFrame, DataFrame]] = []
+    for role in roles:
+        both = [read_role(spark, root, role) for root in (archetypes_root, neighbors_root)]
         if year is not None:
-            df = df.where(F.col("year") == int(year))
-        if "role" not in df.columns:
-            df = df.withColumn("role", F.lit(None).cast("string"))
-        out.append(df)
-    return out[0], out[1]
+            both = [t if t is None else t.where(F.col("year") == int(year)) for t in both]
+        if all(t is not None and not t.isEmpty() for t in both):
+            found.append((both[0], both[1]))
+    if not found:
+        raise ValueError(f"no role of {tuple(roles)} has both serving tables")
+    archetypes, neighbors = found[0]
+    for more_a, more_n in found[1:]:
+        archetypes = archetypes.unionByName(more_a, allowMissingColumns=True)
+        neighbors = neighbors.unionByName(more_n, allowMissingColumns=True)
+    return archetypes, neighbors

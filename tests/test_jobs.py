@@ -143,11 +143,45 @@ def test_bronze_stream_available_now(spark, tmp_path):
     land = tmp_path / "landing"
     src.write.parquet(str(land / "batch1"))
     src.limit(50).write.parquet(str(land / "batch2"))  # re-delivered duplicates
-    stream = pitch_stream(spark, str(land) + "/*", src.schema, watermark="3650 days")
+    stream = pitch_stream(spark, str(land) + "/*", src.schema)
     q = land_stream(stream, bronze_root=str(tmp_path / "bronze"), checkpoint_location=str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     out = lake.read_partitioned(spark, str(tmp_path / "bronze"))
-    assert out.count() == src.select("game_pk", "at_bat_number", "pitch_number").distinct().count()
+    # bronze holds whole days: a key that stands on two days is two rows, and silver picks the last (A1)
+    assert out.count() == src.select("game_pk", "at_bat_number", "pitch_number", "game_date").distinct().count()
+
+
+def test_bronze_stream_keeps_days_whole_over_batches_and_runs(spark, tmp_path):
+    """One day in two batches, a later run, a correction, a very late day and a retried batch: as if all had come at once."""
+    from pitchlake.streaming import bronze_stream as bs
+
+    schema = "game_pk long, at_bat_number int, pitch_number int, game_date date, note string"
+    day, late = dt.date(2024, 5, 1), dt.date(1999, 5, 1)
+    parts = [
+        [(1, 1, i, day, "a") for i in range(40)],
+        [(1, 1, i, day, "b") for i in range(30, 60)],  # corrects ten, adds twenty
+        [(2, 1, 1, late, "c")],
+        [(1, 1, 5, day, "d"), (None, None, None, None, "no day")],
+    ]
+    land, bronze = tmp_path / "landing", str(tmp_path / "bronze")
+
+    def run(checkpoint):
+        stream = bs.pitch_stream(spark, f"{land}/*", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+        bs.land_stream(stream, bronze_root=bronze, checkpoint_location=str(tmp_path / checkpoint)).awaitTermination(120)
+
+    def rows():
+        return {(r.game_pk, r.pitch_number): (r.game_date, r.note) for r in lake.read_partitioned(spark, bronze).collect()}
+
+    want = {}
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(land / f"f{n}"))
+        want.update({(p[0], p[2]): (p[3], p[4]) for p in part if p[3]})
+        if n:
+            run("ckpt")
+            assert rows() == want
+    assert lake.read_partitioned(spark, bronze).count() == len(want) == 61
+    run("other")  # everything once more, as after a lost checkpoint
+    assert rows() == want
 
 
 def test_serving_tables_from_job_outputs(spark, lake_root):
@@ -186,3 +220,47 @@ def test_pitcher_features_with_profile_scan_pitches_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()  # before execution: initial plan only
     assert plan.count("FileScan parquet") == 1
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_last_copy_in_load_order_wins(spark, tmp_path):
+    """Conflicting copies of a pitch over files and rows of one day; days with different columns."""
+    cols = "game_pk long, at_bat_number int, pitch_number int, pitcher long, game_date date, year int, date string, note string"
+    d1, d2 = dt.date(2024, 4, 1), dt.date(2024, 4, 2)
+    first = [(1, 1, i, 7, d1, 2024, "2024-04-01", f"row{k}") for k in range(4) for i in range(50)]
+    root = str(tmp_path / "bronze")
+    day1 = f"{root}/year=2024/date=2024-04-01"
+    spark.createDataFrame(first, cols).drop("year", "date").coalesce(1).write.parquet(day1)
+    more = spark.createDataFrame([(1, 1, 0, 7, d2, "next day", 71.5)], "game_pk long, at_bat_number int, pitch_number int, pitcher long, game_date date, note string, bat_speed double")
+    more.coalesce(1).write.parquet(f"{root}/year=2024/date=2024-04-02")
+    from pitchlake.operators.dedupe import dedupe_last
+
+    bronze = lake.read_bronze_range(spark, root, d1, d2)
+    assert "bat_speed" in bronze.columns
+    got = {r.pitch_number: r.note for r in dedupe_last(bronze.repartition(8), ("pitcher", "year"), order_cols=(lake.FILE_ORDER,)).collect()}
+    assert got == {0: "next day", **{i: "row3" for i in range(1, 50)}}
+
+
+def test_window_and_limits_are_checked(spark, tmp_path):
+    from pitchlake.plans import serving as sv
+
+    with pytest.raises(ValueError):
+        lake.date_window("2024-02-02", "2024-02-01")
+    assert gold_job.build_silver_to_gold(spark, silver_root="x", gold_root="y", metadata_root="z", start_year=2024, end_year=2023)["status"] == "error"
+    with pytest.raises(ValueError):
+        sv.player_leaderboard(spark.createDataFrame([(1, "a", 0, "batter")], "player_id long, player_name string, cluster_id int, role string"), "batter", 0)
+
+
+def test_features_without_optional_zone_columns(spark):
+    src = fx.pitches(spark, SF0001)
+    params = ft.FeatureParams(min_pitches_pitcher=10, min_pitches_batter=10, min_batted_ball_batter=1)
+    whole = ft.batter_features(src, params)
+    assert ft.batter_features(src.drop("plate_z", "sz_bot", "sz_top"), params).count() == whole.count()
+    assert ft.pitcher_features(src.drop("sz_bot", "sz_top"), params, with_pitch_types=False).count() > 0
+
+
+def test_ids_are_exact(spark):
+    from pitchlake.functions.clean import to_long_id
+
+    df = spark.createDataFrame([(9007199254740993, "9007199254740993", "12.0", 3.0, "x")], "a long, b string, c string, d double, e string")
+    r = df.select(*[to_long_id(c).alias(c) for c in df.columns]).first()
+    assert tuple(r) == (9007199254740993, 9007199254740993, 12, 3, None)
