@@ -38,7 +38,7 @@ def build_silver_to_gold(
         return {"status": "error", "message": str(exc), "rows_written": 0, "role_years_processed": []}
     if start_year > end_year:
         return {"status": "error", "message": f"years {start_year} .. {end_year} are out of order", "rows_written": 0, "role_years_processed": []}
-    rows_written, done, all_arts = 0, [], []
+    done, documents = [], []
     for role in roles:
         silver = lake.read_role(spark, silver_root, role)
         if silver is None:
@@ -48,16 +48,16 @@ def build_silver_to_gold(
             continue
         # per-type map columns -> pitch_type_<PT>_share / pt_<PT>_* columns (small table)
         silver = widen_maps(silver)
-        frames, arts = gd.preprocess_cohorts(silver, config)
-        for key, frame in sorted(frames.items()):
+        gold = gd.preprocess_cohorts(silver, config)
+        for key, frame in gold.frames.items():
             gd.assert_no_missing(frame, [c for c in gd.numeric_columns(frame) if c not in ("role", "year")])
             lake.write_partitioned(frame, gold_root, ("role", "year"))
-            rows_written += arts[key].row_count
-            done.append({"role": key[0], "year": int(key[1]), "rows": arts[key].row_count})
-        all_arts.extend(arts.values())
+            done.append({"role": key[0], "year": int(key[1]), "rows": gold.sizes[key]})
+            documents.append(gd.cohort_metadata(gold, key, config))
     if not done:
         return {"status": "no_data", "message": "no silver rows in range", "rows_written": 0, "role_years_processed": []}
-    lake.write_metadata(spark, metadata_root, [a.to_dict() for a in all_arts])
+    rows_written = sum(d["rows"] for d in done)
+    lake.write_metadata(spark, metadata_root, documents)
     return {"status": "ok", "message": f"gold: {len(done)} cohorts, {rows_written} rows", "rows_written": rows_written,
             "role_years_processed": done}
 

@@ -125,15 +125,11 @@ register("corr_prune_decisions")(lambda spark, d: prune_query(spark, d))
 
 def prune_query(spark, d):
     df = pitcher_silver(spark, d)
-    _, arts = gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=0.8))
-    rows = []
-    for (role, year), a in arts.items():
-        for rec in a.correlation_dropped_columns:
-            rows.append((role, int(year), "correlation", rec["dropped"], rec["kept"], rec["correlation"]))
-        for c in a.near_zero_variance_dropped_columns:
-            rows.append((role, int(year), "near_zero_variance", c, None, None))
-        for c in a.hard_dropped_columns:
-            rows.append((role, int(year), "hard_drop", c, None, None))
+    decided = gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=0.8)).decisions
+    rows = [
+        (*d.cohort, d.rule, d.column, d.kept, None if d.r is None else f"{d.r:.6f}")
+        for d in decided if d.rule != gd.NOT_TRAINED
+    ]
     return spark.createDataFrame(rows, "role string, year int, rule string, dropped string, kept string, correlation string")
 
 
@@ -142,6 +138,7 @@ register("gold_artifacts")(lambda spark, d: gold_artifacts_query(spark, d))
 
 def gold_artifacts_query(spark, d):
     df = pitcher_silver(spark, d)
-    _, arts = gd.preprocess_cohorts(df, gd.GoldConfig())
-    rows = [(a.role, a.year, a.row_count, len(a.feature_columns), ",".join(a.feature_columns)) for a in arts.values()]
+    gold = gd.preprocess_cohorts(df, gd.GoldConfig())
+    found = [gd.cohort_metadata(gold, key, gd.GoldConfig()) for key in gold.frames]
+    rows = [(m["role"], m["year"], m["row_count"], len(m["feature_columns"]), ",".join(m["feature_columns"])) for m in found]
     return spark.createDataFrame(rows, "role string, year int, row_count int, n_features int, feature_columns string")

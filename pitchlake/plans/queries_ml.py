@@ -191,8 +191,7 @@ def _pitcher_gold(spark, d):
     from ..operators import gold as gd
     from .queries_gold import pitcher_silver
 
-    frames, _ = gd.preprocess_cohorts(pitcher_silver(spark, d), gd.GoldConfig())
-    return frames
+    return gd.preprocess_cohorts(pitcher_silver(spark, d), gd.GoldConfig()).frames
 
 
 register("archetype_assignments")(lambda spark, d: _archetypes(spark, d))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pitchlake.operators import gold as gd
 
 
-def _one(frames, arts):
-    (key,) = frames.keys()
-    return frames[key], arts[key]
+def _one(gold, config=gd.GoldConfig()):
+    (key,) = gold.frames
+    return gold.frames[key], gd.cohort_metadata(gold, key, config)
 
 
 def test_fill_and_hard_drop(spark):
@@ -20,15 +20,14 @@ def test_fill_and_hard_drop(spark):
     df = spark.createDataFrame(rows, "player_id long, year int, role string, player_name string, "
                                      "pt_FF_release_speed_mean double, def_pop_time_2b_sec double, def_framing_runs double, "
                                      "estimated_woba_using_speedangle_mean double, woba_value_mean double, extra double")
-    frames, arts = gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=1.01, near_zero_variance_unique_ratio=0.0))
-    frame, art = _one(frames, arts)
-    assert "woba_value_mean" in art.hard_dropped_columns and "woba_value_mean" not in frame.columns
-    assert "pt_FF_release_speed_mean" in art.archetype_training_dropped_columns
+    frame, art = _one(gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=1.01, near_zero_variance_unique_ratio=0.0)))
+    assert "woba_value_mean" in art["hard_dropped_columns"] and "woba_value_mean" not in frame.columns
+    assert "pt_FF_release_speed_mean" in art["archetype_training_dropped_columns"]
     assert gd.missing_value_report(frame) == {}
     got = {r["player_id"]: r for r in frame.collect()}
     assert got[2]["def_framing_runs"] == 0.0 and got[4]["extra"] == 0.0  # inf -> NULL -> 0
     assert got[3]["player_name"] is None  # ids untouched
-    assert "def_framing_runs" in art.numeric_columns_filled_zero
+    assert "def_framing_runs" in art["numeric_columns_filled_zero"]
 
 
 def test_name_rules_keep_unlisted_share(spark):
@@ -36,7 +35,7 @@ def test_name_rules_keep_unlisted_share(spark):
     df = spark.createDataFrame(rows, "player_id long, year int, role string, pitch_type_FF_share double, "
                                      "pitch_type_other_share double, pitch_type_entropy double, xwoba_allowed_lhb_mean double, "
                                      "platoon_xwoba_allowed_diff double")
-    frame, art = _one(*gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=1.01, near_zero_variance_unique_ratio=0.0)))
+    frame, art = _one(gd.preprocess_cohorts(df, gd.GoldConfig(correlation_threshold=1.01, near_zero_variance_unique_ratio=0.0)))
     assert "pitch_type_FF_share" not in frame.columns and "xwoba_allowed_lhb_mean" not in frame.columns
     assert "pitch_type_other_share" in frame.columns and "pitch_type_entropy" in frame.columns
 
@@ -46,31 +45,34 @@ def test_correlated_pair_keeps_preferred(spark):
     rows = [(i, 2023, "batter", v, v, float(i * i)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "player_id long, year int, role string, estimated_woba_using_speedangle_mean double, "
                                      "actual_quality_mean double, other double")
-    frame, art = _one(*gd.preprocess_cohorts(df, gd.GoldConfig(near_zero_variance_unique_ratio=0.0)))
-    assert art.dropped_columns["correlation_drop"] == ["actual_quality_mean"]
-    assert art.correlation_dropped_columns[0] == {"dropped": "actual_quality_mean",
+    frame, art = _one(gd.preprocess_cohorts(df, gd.GoldConfig(near_zero_variance_unique_ratio=0.0)))
+    assert art["dropped_columns"]["correlation_drop"] == ["actual_quality_mean"]
+    assert art["correlation_dropped_columns"][0] == {"dropped": "actual_quality_mean",
                                                    "kept": "estimated_woba_using_speedangle_mean", "correlation": "1.000000"}
 
 
 def test_one_row_cohort_drops_every_feature(spark):
     df = spark.createDataFrame([(1, 2023, "batter", "A", 0.5, 0.3)],
                                "player_id long, year int, role string, player_name string, feature_a double, woba_value_mean double")
-    frame, art = _one(*gd.preprocess_cohorts(df))
-    assert art.feature_columns == [] and art.near_zero_variance_dropped_columns == ["feature_a"]
+    frame, art = _one(gd.preprocess_cohorts(df))
+    assert art["feature_columns"] == [] and art["near_zero_variance_dropped_columns"] == ["feature_a"]
     assert frame.count() == 1
 
 
 def test_pick_drop_rules():
-    assert gd.pick_drop("estimated_x", "b") == "b"
-    assert gd.pick_drop("a", "xwoba_b") == "a"
-    assert gd.pick_drop("def_adj_estimated_rate", "zzz") == "zzz"
-    assert gd.pick_drop("aa", "bb") == "bb"
+    def lost(a, b, protect=()):
+        return [x[0] for x in gd.correlated_losers([(a, b, 0.99)], protect)]
+
+    assert lost("estimated_x", "b") == ["b"]
+    assert lost("a", "xwoba_b") == ["a"]
+    assert lost("def_adj_estimated_rate", "zzz") == ["zzz"]
+    assert lost("aa", "bb") == ["bb"]
+    assert lost("aa", "bb", ("bb",)) == ["aa"] and lost("aa", "bb", ("aa", "bb")) == []
 
 
 def test_greedy_skips_pairs_with_dropped_member():
-    corr = {("a", "b"): 0.99, ("a", "c"): 0.99, ("b", "c"): 0.99}
-    dropped, reasons = gd.correlation_prune_plan(["a", "b", "c"], corr, 0.95)
-    assert dropped == ["b", "c"] and len(reasons) == 2
+    pairs = [("a", "b", 0.99), ("a", "c", -0.98), ("b", "c", 0.99)]
+    assert gd.correlated_losers(pairs) == [("b", "a", 0.99), ("c", "a", 0.98)]
 
 
 def test_correlation_matches_numpy_and_constant_is_null(spark):
