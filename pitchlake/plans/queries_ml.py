@@ -200,10 +200,10 @@ register("archetype_assignments")(lambda spark, d: _archetypes(spark, d))
 def _archetypes(spark, d):
     from functools import reduce
 
-    from .clustering import ClusteringConfig, fit_cohorts
+    from .clustering import ClusterSpec, fit_cohorts
 
     frames = _pitcher_gold(spark, d)
-    cfg = ClusteringConfig(pca_n_components=3, n_clusters=3, n_init=1)
+    cfg = ClusterSpec(pca_n_components=3, n_clusters=3, n_init=1)
     results = fit_cohorts(frames, {k: cfg for k in frames})
     out = []
     for key, res in sorted(results.items()):

@@ -98,8 +98,7 @@ def test_silver_gold_cluster_similarity_jobs(spark, lake_root):
     assert {m["role"] for m in meta} == {"batter", "pitcher"} and all("generated_at_utc" in m for m in meta)
 
     c = cl.build_clustering(spark, gold_root=str(lake_root / "gold"), out_root=str(lake_root / "clusters"), years=[1996],
-                            configs_by_role=cl.ClusteringConfigsByRole(pitcher=cl.ClusteringConfig(3, 3, n_init=1),
-                                                                       batter=cl.ClusteringConfig(2, 2, n_init=1)))
+                            specs={"pitcher": cl.ClusterSpec(3, 3, n_init=1), "batter": cl.ClusterSpec(2, 2, n_init=1)})
     assert c["status"] == "ok", c
     s = cl.build_similarity(spark, gold_root=str(lake_root / "gold"), model_root=str(lake_root / "clusters" / "models"),
                             out_root=str(lake_root / "similar"), years=[1996], k_neighbors=5)

@@ -9,7 +9,7 @@ from pitchlake.operators import metrics as mt
 from pitchlake.operators import mixture as mx
 from pitchlake.operators import scaling as sc
 from pitchlake.operators import tuning as tn
-from pitchlake.plans.clustering import ClusteringConfig, ClusteringConfigsByRole, config_for_role, fit_cohort
+from pitchlake.plans.clustering import ClusterSpec, fit_cohort, spec_of
 
 
 def _blobs(n_per=75, centres=4, d=6, seed=42, std=0.6):
@@ -154,27 +154,27 @@ def test_gmm_finds_blobs_all_covariance_types(spark):
 def test_clustering_errors(spark):
     x, _ = _blobs(n_per=1, centres=2)
     df = _frame(spark, x)
-    with pytest.raises(ValueError, match="at least 3"):
-        fit_cohort(df, role="batter", year=2024, config=ClusteringConfig(2, 2, n_init=1))
+    with pytest.raises(ValueError, match="3 are the least"):
+        fit_cohort(df, role="batter", year=2024, config=ClusterSpec(2, 2, n_init=1))
     x, _ = _blobs(n_per=5)
     df = _frame(spark, x)
-    with pytest.raises(ValueError, match="covariance_type"):
-        fit_cohort(df, role="batter", year=2024, config=ClusteringConfig(2, 2, covariance_type="bogus"))
-    with pytest.raises(ValueError, match="n_clusters must be"):
-        fit_cohort(df, role="batter", year=2024, config=ClusteringConfig(2, 1))
+    with pytest.raises(ValueError, match="unknown covariance"):
+        fit_cohort(df, role="batter", year=2024, config=ClusterSpec(2, 2, covariance_type="bogus"))
+    with pytest.raises(ValueError, match="2 are the least"):
+        fit_cohort(df, role="batter", year=2024, config=ClusterSpec(2, 1))
     bad = df.withColumn("f0", F.when(F.col("player_id") == 1, F.lit(None)).otherwise(F.col("f0")))
-    with pytest.raises(ValueError, match="NaN"):
-        fit_cohort(bad, role="batter", year=2024, config=ClusteringConfig(2, 2, n_init=1))
-    with pytest.raises(ValueError):
-        config_for_role("batter", default=None, by_role=None)
-    byrole = ClusteringConfigsByRole(pitcher=ClusteringConfig(2, 2), batter=ClusteringConfig(3, 3))
-    assert config_for_role("batter", default=None, by_role=byrole).n_clusters == 3
+    with pytest.raises(ValueError, match="missing values: f0"):
+        fit_cohort(bad, role="batter", year=2024, config=ClusterSpec(2, 2, n_init=1))
+    with pytest.raises(ValueError, match="no cluster spec"):
+        spec_of({"pitcher": ClusterSpec(2, 2)}, "batter")
+    assert spec_of({"pitcher": ClusterSpec(2, 2), "batter": ClusterSpec(3, 3)}, "batter").n_clusters == 3
+    assert spec_of(ClusterSpec(4, 4), "batter").n_clusters == 4
 
 
 def test_fit_cohort_end_to_end(spark):
     x, truth = _blobs(n_per=40, centres=3, d=5)
     df = _frame(spark, x)
-    assign, meta, (pca, gmm) = fit_cohort(df, role="batter", year=2024, config=ClusteringConfig(3, 3, n_init=1))
+    assign, meta, (pca, gmm) = fit_cohort(df, role="batter", year=2024, config=ClusterSpec(3, 3, n_init=1))
     rows = assign.orderBy("player_id").collect()
     assert len(rows) == 120 and "cluster_id" in assign.columns and "n_pitches_total" in assign.columns
     lab = np.array([r["cluster_id"] for r in rows])
