@@ -126,11 +126,14 @@ def knn(
         raise ValueError("minkowski p must be >= 1")
     ck = list(cohort)
     id_type = df.schema[id_col].dataType.simpleString()
-    base = df.select(*ck, F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block)
+    vector = F.col(vec_col).cast("array<double>")
+    # rows that share an id are told apart by a number, so only the row itself is left out
+    copies = Window.partitionBy(*ck, id_col).orderBy(vector)
+    base = df.select(*ck, F.col(id_col).alias("_id"), F.row_number().over(copies).alias("_copy"), vector.alias("_v"))
+    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block, payload=("_id", "_copy", "_v"))
 
     out_schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck]
-                           + [f"{id_col} {id_type}", f"neighbor_id {id_type}", "distance double"])
+                           + [f"{id_col} {id_type}", "_copy int", f"neighbor_id {id_type}", "_ncopy int", "distance double"])
     kk, met, pp = int(k), metric, float(p)
 
     def block_topk(batches):
@@ -146,17 +149,18 @@ def knn(
                 qv = np.array([x["_v"] for x in qs], dtype=float)
                 cv = np.array([x["_v"] for x in cs], dtype=float)
                 dist = _pairwise(qv, cv, met, pp)
-                dist[qid[:, None] == cid[None, :]] = np.inf  # self by row id
+                qn, cn = (np.array([x["_copy"] for x in side]) for side in (qs, cs))
+                dist[(qid[:, None] == cid[None, :]) & (qn[:, None] == cn[None, :])] = np.inf  # the row itself
                 rows_i, cols_i, dd = top_k_per_row(dist, cid, kk)
                 if len(rows_i) == 0:
                     continue
                 rec_q, rec_n, rec_d = qid[rows_i].tolist(), cid[cols_i].tolist(), dd.tolist()
                 data = {c: [row[c]] * len(rec_q) for c in ck}
-                data.update({id_col: rec_q, "neighbor_id": rec_n, "distance": rec_d})
+                data.update({id_col: rec_q, "_copy": qn[rows_i], "neighbor_id": rec_n, "_ncopy": cn[cols_i], "distance": rec_d})
                 yield pd.DataFrame(data)
 
     partial = pairs.mapInPandas(block_topk, out_schema)
-    w = Window.partitionBy(*ck, id_col).orderBy(F.col("distance"), F.col("neighbor_id"))
+    w = Window.partitionBy(*ck, id_col, "_copy").orderBy("distance", "neighbor_id", "_ncopy")
     return (
         partial.withColumn("neighbor_rank", F.row_number().over(w))
         .where(F.col("neighbor_rank") <= kk)

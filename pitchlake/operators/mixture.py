@@ -24,6 +24,7 @@ re-read a short lineage and survive executor loss.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -146,16 +147,39 @@ class _Run:
     history: list[float] = field(default_factory=list)
 
 
-def _prepare(df: DataFrame, vec_col: str, cohort: Sequence[str], checkpoint: bool) -> DataFrame:
+def _prepare(df: DataFrame, vec_col: str, cohort: Sequence[str], checkpoint: bool, what: str) -> tuple[DataFrame, dict[tuple, np.ndarray]]:
+    """(rows relative to the mean of their cohort, those means).
+
+    Second moments about a far origin would lose their digits, so every fit runs
+    about the mean and its centres are moved back at the end (``_moved``)."""
     ck = list(cohort)
     base = df.select(*ck, F.col(vec_col).cast("array<double>").alias("_x"))
     if checkpoint:
         from ..session import cut_lineage
 
         base = cut_lineage(base)
+    first = base.select(F.size("_x")).first()
+    if first is None:
+        raise ValueError(f"Empty dataframe for {what}.")
+    from .moments import column_moments
+
+    origins = {key: m["mean"] for key, m in column_moments(base, "_x", int(first[0]), ck).items()}
+
+    def shifted(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(ck, sort=False, dropna=False).indices.items() if ck else [((), np.arange(len(pdf)))]
+            rows = pdf["_x"].to_numpy().copy()
+            for key, at in groups:
+                x = np.vstack(rows[at]).astype(float) - origins[key if isinstance(key, tuple) else (key,)]
+                for i, row in zip(at, x):
+                    rows[i] = row
+            yield pdf.assign(_x=rows)
+
     # re-read every iteration: keep it in memory too (the checkpoint stays the
     # recovery copy if an executor holding cached blocks is lost)
-    return base.persist()
+    return base.mapInPandas(shifted, base.schema).persist(), origins
 
 
 def _seed_rows(base: DataFrame, ck, m: int, seed: int) -> dict[tuple, np.ndarray]:
@@ -342,11 +366,8 @@ def fit_mixtures(
     if not ks or min(ks) < 1:
         raise ValueError("k must be >= 1")
     ck = list(cohort)
-    base = _prepare(df, vec_col, ck, checkpoint)
-    first = base.select("_x").first()
-    if first is None:
-        raise ValueError("Empty dataframe for mixture fitting.")
-    d = len(first["_x"])
+    base, origins = _prepare(df, vec_col, ck, checkpoint, "mixture fitting")
+    d = len(next(iter(origins.values())))
     sizes = {tuple(r[c] for c in ck): int(r["_n"]) for r in (
         base.groupBy(*ck).agg(F.count(F.lit(1)).alias("_n")) if ck else base.agg(F.count(F.lit(1)).alias("_n"))).collect()}
     for key, n in sizes.items():
@@ -402,6 +423,11 @@ def fit_mixtures(
         bk = (key, run_k[rid])
         if bk not in best or run.model.lower_bound > best[bk].lower_bound:
             best[bk] = run.model
+    slow = sorted({bk for bk, m in best.items() if not m.converged}, key=str)
+    if slow:
+        warnings.warn(f"not converged within {max_iter} iterations: {slow}", stacklevel=2)
+    for (key, _), m in best.items():
+        m.means = m.means + origins[key]
     return best
 
 
@@ -500,11 +526,8 @@ def fit_kmeans(
     Returns {(cohort_key, k): (centres, inertia)} keeping the lowest inertia."""
     ks = [int(k) for k in ks]
     ck = list(cohort)
-    base = _prepare(df, vec_col, ck, checkpoint)
-    first = base.select("_x").first()
-    if first is None:
-        raise ValueError("Empty dataframe for K-means.")
-    d = len(first["_x"])
+    base, origins = _prepare(df, vec_col, ck, checkpoint, "K-means")
+    d = len(next(iter(origins.values())))
     runs: dict[tuple, _Run] = {}
     run_k: dict[int, int] = {}
     for restart in range(n_init):
@@ -524,7 +547,7 @@ def fit_kmeans(
         bk = (key, run_k[rid])
         val = inertia.get((key, rid), float("inf"))
         if bk not in best or val < best[bk][1]:
-            best[bk] = (run.model.means, val)
+            best[bk] = (run.model.means + origins[key], val)
     return best
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..sources import landing
+from ..sources import lake, landing
 from . import silver as sv
 from .registry import finalize, register
 

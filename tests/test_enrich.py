@@ -13,7 +13,7 @@ def test_display_names(spark):
     got = {r["player_id"]: r["player_name"] for r in en.name_map(reg, order_col="o").collect()}
     assert got == {123: "Smith, John", 456: "Lee"}
     rows = spark.createDataFrame([(123,), (456,), (999,)], "player_id long")
-    named = {r["player_id"]: r["player_name"] for r in en.attach_names(rows, en.name_map(reg)).collect()}
+    named = {r["player_id"]: r["player_name"] for r in en.attach_names(rows, en.name_map(reg, order_col="o")).collect()}
     assert named == {123: "Smith, John", 456: "Lee", 999: ""}
     assert {r["player_name"] for r in en.attach_names(rows, None).collect()} == {""}
 
@@ -50,7 +50,7 @@ def test_fielding_merge_and_last_wins(spark):
         "year int, player_id long, idfg long, outs_above_average int, actual_success_rate_formatted string, "
         "adj_estimated_success_rate_formatted string, n_fieldout_5stars int, n_opp_5stars int, max_arm_strength double, "
         "pop_2b_sba double, rv_tot double, drs double, file_order int")
-    reg = spark.createDataFrame([(10, 5000), (10, 5001), (11, 5002)], "key_mlbam long, key_fangraphs long")
+    reg = spark.createDataFrame([(10, 5000, 1), (10, 5001, 2), (11, 5002, 3)], "key_mlbam long, key_fangraphs long, file_order int")
     m = en.fielding_metrics(oaa=board, catch=board, arm=board, poptime=board, framing=board, fielding=board,
                             crosswalk=en.id_crosswalk(reg))
     got = {r["player_id"]: r.asDict() for r in m.collect()}

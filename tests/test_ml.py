@@ -151,6 +151,15 @@ def test_gmm_finds_blobs_all_covariance_types(spark):
         assert s["bic"] > s["aic"] or cov == "spherical"
 
 
+def test_gmm_far_from_the_origin(spark):
+    x, truth = _blobs()
+    for offset in (0.0, 1e8):
+        df = _frame(spark, x + offset).withColumn("v", F.array(*[F.col(f"f{j}") for j in range(6)]))
+        models = mx.fit_mixture(df, "v", 4, n_init=1, seed=0)
+        labels = np.array([r["cluster_id"] for r in mx.predict(df, "v", models).orderBy("player_id").collect()])
+        assert [len(set(labels[truth == t])) for t in range(4)] == [1] * 4 and len(set(labels)) == 4
+
+
 def test_clustering_errors(spark):
     x, _ = _blobs(n_per=1, centres=2)
     df = _frame(spark, x)
@@ -212,3 +221,12 @@ def test_joint_kmeans_recovers_blobs_and_inertia(spark):
     ref = sum(((x[lab == j] - x[lab == j].mean(0)) ** 2).sum() for j in range(3))
     assert inertia == pytest.approx(ref, rel=1e-9)
     assert fits[((), 2)][1] > inertia > fits[((), 4)][1]
+
+
+def test_knn_rows_that_share_an_id(spark):
+    """Only the row itself is left out: three rows, two with one id, have two neighbours each."""
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0])], "pid long, v array<double>")
+    got = knn_ops.knn(df, id_col="pid", vec_col="v", k=2, query_block=2, candidate_block=2).collect()
+    assert sorted((r["pid"], r["neighbor_rank"], r["neighbor_id"], r["distance"]) for r in got) == [
+        (1, 1, 1, 1.0), (1, 1, 1, 1.0), (1, 2, 2, 2.0), (1, 2, 2, 3.0), (2, 1, 1, 2.0), (2, 2, 1, 3.0),
+    ]
