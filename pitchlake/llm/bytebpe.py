@@ -1,16 +1,19 @@
 """Byte-level BPE with a bucketed rank queue.
 
 A text is cut by the vocabulary's pattern; each match is merged on its own.
-Within a match, every merge rank has a bucket of positions of a linked list of
-tokens, and a bitmap of three levels of 64-bit words tells which buckets are in
-use: find-first-set on each level gives the lowest rank without a scan. A
-position whose pair has changed since is stale and is skipped when it comes up.
-Each merge costs a bounded number of bitmap steps and one heap step inside its
-bucket, so a match of n bytes takes n log n steps at worst, also where one
-match is a whole long document.
-
-Results of matches are remembered per Python worker up to a bound; beyond it
-the memory starts anew.
+The matches of some texts that are not known yet are merged together in one
+queue: their bytes form one linked list of tokens, with no pair across the
+border of two matches, and every merge rank has a bucket of positions in it. A
+bitmap of two levels of 256-bit words tells which buckets are in use:
+find-first-set on each level gives the lowest rank without a scan. Its bucket is
+worked off from left to right; a position whose pair has changed since is stale
+and is skipped. Where a merge makes a pair of a lower rank, the rest of the
+bucket waits for it. So every match is merged in its own order of ranks, and n
+bytes take n log n steps at worst (the sorting of buckets), also where one match
+is a whole long document.
+
+Results of matches are remembered per Python worker; of two generations the
+older goes when the younger is full, so the memory is bounded.
 
 Null and empty texts have no tokens. All 256 single bytes must be in the
 vocabulary, so every text can be coded; decoding gives back its bytes."""
@@ -18,7 +21,7 @@ vocabulary, so every text can be coded; decoding gives back its bytes."""
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 
 from .common import batched, id_text
 
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+#: texts whose new matches are merged together
+AT_ONCE = 256
 #: longer matches are coded each time, so that the memory stays bounded in bytes too
-REMEMBER_BYTES = 64
+REMEMBER_BYTES = 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,44 +41,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the leftmost position of the lowest rank."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (n_ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[a] &= ~(1 << (b & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
-
-
 class ByteBPE:
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         import regex
@@ -83,60 +50,117 @@ class ByteBPE:
         self.find = regex.compile(pattern).findall
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pair_rank = np.full((256, 256), -1, dtype=np.int64)
         self.token_bytes: list[bytes] = [b""] * self.n_ranks
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = token
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the linked list; a token is named by where it starts
-        queue, pair = RankQueue(self.n_ranks), [-1] * n
-
-        def offer(i: int) -> None:
-            j = after[i]
-            rank = -1
-            if j < n:
-                rank = ranks.get(piece[i : after[j]], -1)
-                if rank >= 0:
-                    queue.push(rank, i)
-            pair[i] = rank
-
-        for i in range(n):
-            offer(i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:  # stale
-                continue
-            j = after[i]
-            after[i], pair[j] = after[j], -1
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            if len(token) == 2:
+                self.pair_rank[token[0], token[1]] = rank
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each match."""
+        data = b"".join(pieces)
+        n, get = len(data), self.ranks.get
+        if not n:
+            return [[] for _ in pieces]
+        raw = np.frombuffer(data, dtype=np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        ranks = np.full(n, -1, dtype=np.int64)
+        ranks[:-1] = self.pair_rank[raw[:-1], raw[1:]]
+        ranks[ends[ends > 0] - 1] = -1
+        # the linked list; a token is named by where it starts. A match begins where nothing is before
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        for i in ends.tolist():
+            before[i] = -1
+        pair = ranks.tolist()
+        order = np.argsort(ranks, kind="stable")
+        order = order[ranks[order] >= 0]
+        low, top, buckets = [0] * (self.n_ranks // 256 + 1), 0, {}
+        for positions in np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1):
+            if len(positions):
+                rank = pair[positions[0]]
+                buckets[rank] = positions.tolist()
+                low[rank >> 8] |= 1 << (rank & 255)
+                top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            bit = bits & -bits
+            rank = word << 8 | bit.bit_length() - 1
+            low[word] = bits = bits ^ bit
+            if not bits:
+                top ^= 1 << word
+            positions = buckets.pop(rank)
+            positions.sort()
+            for at, i in enumerate(positions):
+                if pair[i] != rank:  # stale
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                pair[j] = new = -1
+                if before[k] == j:
+                    before[k] = i
+                    new = get(data[i : after[k]], -1)
+                pair[i] = new
+                least, left = rank, before[i]
+                while True:  # the pair on the right, then the one on the left
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            low[new >> 8] |= 1 << (new & 255)
+                            top |= 1 << (new >> 8)
+                            if new < least:
+                                least = new
+                    if left < 0:
+                        break
+                    i, left = left, -1
+                    new = pair[i] = get(data[i:k], -1)
+                if least < rank:
+                    if rest := positions[at + 1 :]:
+                        buckets[rank] = rest + buckets.get(rank, [])
+                        low[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
+                    break
+        out, i, token = [], 0, self.ranks
+        for end in ends.tolist():
+            ids = []
+            while i < end:
+                ids.append(token[data[i : after[i]]])
+                i = after[i]
+            out.append(ids)
         return out
 
-    def coded(self, match: str) -> bytes:
-        piece = match.encode()
-        ids = np.array(self.merge(piece), dtype="<u4").tobytes()
-        if len(piece) <= REMEMBER_BYTES:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[match] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        get, coded = self.known.get, self.coded
-        return b"".join([get(m) or coded(m) for m in self.find(text)])
+    def learn(self, matches: set[str], more: dict[str, bytes]) -> None:
+        """Code matches; long ones go to ``more``, which the caller keeps for as long as it needs them."""
+        new, pieces, get = [], [], self.ranks.get
+        for m in matches:
+            piece = m.encode()
+            whole = get(piece)
+            if whole is not None:
+                self.known[m] = whole.to_bytes(4, "little")
+            else:
+                new.append(m)
+                pieces.append(piece)
+        for m, piece, ids in zip(new, pieces, self.merge(pieces)):
+            (self.known if len(piece) <= REMEMBER_BYTES else more)[m] = array("I", ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) >= self.remembered:
+            self.older, self.known = self.known, {}
+        found = [self.find(t) for t in texts]
+        missing = set().union(*found).difference(self.known) if found else set()
+        for m in missing.intersection(self.older):
+            self.known[m] = self.older[m]
+        more: dict[str, bytes] = {}
+        self.learn(missing.difference(self.known), more)
+        get = self.known.__getitem__
+        if more:
+            get = lambda m: self.known.get(m) or more[m]
+        return [b"".join(map(get, matches)) for matches in found]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -158,9 +182,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         bpe = coder(path, pattern)
-        yield from batched(
-            ((d, bpe.encode(t)) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())), schema
-        )
+
+        def out():
+            for b in batches:
+                for lo in range(0, b.num_rows, AT_ONCE):
+                    part = b.slice(lo, AT_ONCE)
+                    yield from zip(part.column("doc_id").to_pylist(), bpe.encode(part.column("text").to_pylist()))
+
+        yield from batched(out(), schema)
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
