@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("minkowski", "euclidean", "manhattan", "chebyshev")
@@ -75,9 +75,11 @@ def block_pairs(
     query_block: int = 1024,
     candidate_block: int = 4096,
     payload: Sequence[str] = ("_id", "_v"),
+    queries: Column | None = None,
 ) -> DataFrame:
     """(cohort..., _qb, _q, _cb, _c): every query block paired with every candidate
-    block of its cohort. Blocks are bounded lists of ``struct(payload)``."""
+    block of its cohort. Blocks are bounded lists of ``struct(payload)``. ``queries``
+    restricts the query side, and with it the candidate blocks that are paired."""
     ck = list(ck)
     sizes = base.groupBy(*ck).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(
@@ -96,7 +98,7 @@ def block_pairs(
     rows = rows.withColumn("_qb", F.pmod(F.xxhash64(F.col("_id")), F.col("_bq")).cast("int")).withColumn(
         "_cb", F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.col("_bc")).cast("int"))
     item = F.struct(*[F.col(c) for c in payload])
-    q_blocks = rows.groupBy(*ck, "_qb").agg(F.collect_list(item).alias("_q"))
+    q_blocks = (rows if queries is None else rows.where(queries)).groupBy(*ck, "_qb").agg(F.collect_list(item).alias("_q"))
     c_blocks = (
         rows.groupBy(*ck, "_cb", "_bq").agg(F.collect_list(item).alias("_c"))
         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_bq") - 1)))
@@ -116,8 +118,11 @@ def knn(
     cohort: Sequence[str] = (),
     query_block: int = 1024,
     candidate_block: int = 4096,
+    only_ids: Sequence | None = None,
 ) -> DataFrame:
-    """(cohort..., id, neighbor_rank, neighbor_id, distance) with k_eff = min(k, n-1) rows per id."""
+    """(cohort..., id, neighbor_rank, neighbor_id, distance) with k_eff = min(k, n-1) rows per id.
+
+    ``only_ids`` searches for these ids alone, among all rows."""
     if k < 1:
         raise ValueError("k must be >= 1")
     if metric not in METRICS:
@@ -130,7 +135,8 @@ def knn(
     # rows that share an id are told apart by a number, so only the row itself is left out
     copies = Window.partitionBy(*ck, id_col).orderBy(vector)
     base = df.select(*ck, F.col(id_col).alias("_id"), F.row_number().over(copies).alias("_copy"), vector.alias("_v"))
-    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block, payload=("_id", "_copy", "_v"))
+    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block, payload=("_id", "_copy", "_v"),
+                        queries=None if only_ids is None else F.col("_id").isin(*only_ids))
 
     out_schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck]
                            + [f"{id_col} {id_type}", "_copy int", f"neighbor_id {id_type}", "_ncopy int", "distance double"])

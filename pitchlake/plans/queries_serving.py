@@ -32,8 +32,8 @@ def archetypes(spark, d):
     return spark.sql(ARCHETYPES_SQL, customer=fx.table(spark, d, "customer"))
 
 
-def neighbours(spark, d):
-    nn = knn_ops.knn(_emb(spark, d), id_col="vec_id", vec_col="v", k=K)
+def neighbours(spark, d, only_ids=None):
+    nn = knn_ops.knn(_emb(spark, d), id_col="vec_id", vec_col="v", k=K, only_ids=only_ids)
     return nn.select(
         F.col("vec_id").alias("player_id"), F.lit("batter").alias("role"), "neighbor_rank",
         F.col("neighbor_id").alias("neighbor_player_id"),
@@ -77,7 +77,7 @@ register(
 SELECT neighbor_rank AS rank, neighbor_id AS player_id, 'vec ' || CAST(neighbor_id AS VARCHAR) AS player_name, distance
 FROM q WHERE vec_id = {LOOKUP_ID}""",
 )(lambda spark, d: finalize(
-    sv.neighbors_for_player(neighbours(spark, d), player_id=LOOKUP_ID, role="Batter")
+    sv.neighbors_for_player(neighbours(spark, d, [LOOKUP_ID]), player_id=LOOKUP_ID, role="Batter")
     .withColumn("rank", F.col("rank").cast("bigint")), 9))
 
 register(
