@@ -11,9 +11,8 @@ Covariance types: full, tied, diag, spherical. All cohorts and all restarts
   k*(1+d+d^2) numbers per cohort and restart.
 * M-step on the driver (tiny matrices), regularised by ``reg_covar`` on the
   diagonal. Stop when the mean log-likelihood changes by less than ``tol``.
-* Initialisation: K-means -- k-means++ seeding on a bounded seeded sample per
-  cohort, refined by Lloyd iterations over all rows run jointly in the same
-  machinery -- then the
+* Initialisation: K-means -- k-means|| seeding over all rows, refined by Lloyd
+  iterations run jointly in the same machinery -- then the
   M-step of the hard K-means responsibilities (``pyspark.ml`` K-means and plain
   sampled means are options). Several k can be fitted in the same jobs.
 
@@ -198,26 +197,86 @@ def _seed_rows(base: DataFrame, ck, m: int, seed: int) -> dict[tuple, np.ndarray
     return {key: np.array(v, dtype=float) for key, v in out.items()}
 
 
-def _kmeans_pp(sample: np.ndarray, k: int, rng: np.random.Generator, iters: int = 20) -> np.ndarray:
-    """k-means++ seeding then a few Lloyd steps on a bounded sample (driver side,
-    sample size is a parameter, independent of the data size)."""
-    n = sample.shape[0]
-    centers = [sample[rng.integers(n)]]
-    d2 = ((sample - centers[0]) ** 2).sum(axis=1)
+def _kmeans_pp(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, iters: int = 20) -> np.ndarray:
+    """k-means++ and a few Lloyd steps over weighted points (the k-means|| candidates)."""
+    centers = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    d2 = ((points - centers[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = d2.sum()
-        idx = rng.integers(n) if total <= 0 else rng.choice(n, p=d2 / total)
-        centers.append(sample[idx])
-        d2 = np.minimum(d2, ((sample - sample[idx]) ** 2).sum(axis=1))
+        mass = d2 * weights
+        idx = rng.choice(len(points), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(points))
+        centers.append(points[idx])
+        d2 = np.minimum(d2, ((points - points[idx]) ** 2).sum(axis=1))
     c = np.array(centers, dtype=float)
     for _ in range(iters):
-        lab = ((sample[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        lab = ((points[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
         for j in range(k):
-            if np.any(lab == j):
-                c[j] = sample[lab == j].mean(axis=0)
+            own = weights * (lab == j)
+            if own.sum() > 0:
+                c[j] = own @ points / own.sum()
     return c
 
 
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """A uniform number for each row hash and salt (a 64-bit mix)."""
+    z = h.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64
+
+
+def _seeds(base: DataFrame, ck, d: int, k: int, restarts: int, seed: int, rounds: int = 3) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """k-means||: per (cohort, restart) candidate points from all rows, weighted by the rows nearest to them.
+
+    Each round draws every row with a probability in proportion to its squared
+    distance from the candidates so far (about ``2 k`` rows a round); equal rows
+    are drawn together and kept once."""
+    hashed = base.withColumn("_h", F.xxhash64("_x"))
+    starts = [F.min_by("_x", F.xxhash64("_x", F.lit(seed + r))).alias(f"s{r}") for r in range(restarts)]
+    points: dict[tuple, list] = {}
+    for row in (hashed.groupBy(*ck).agg(*starts) if ck else hashed.agg(*starts)).collect():
+        for r in range(restarts):
+            points[tuple(row[c] for c in ck), r] = [row[f"s{r}"]]
+    schema = ", ".join([f"{c} {base.schema[c].dataType.simpleString()}" for c in ck] + ["_r int", "_x array<double>"])
+
+    def costs() -> dict[tuple, tuple[np.ndarray, int]]:
+        runs = {key: _Run(Mixture("spherical", np.ones(len(c)), np.array(c, dtype=float), np.ones(len(c)))) for key, c in points.items()}
+        return _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)
+
+    for step in range(rounds):
+        centres = {key: np.array(c, dtype=float) for key, c in points.items()}
+        share = {key: 2.0 * k / vec[-1] for key, (vec, _) in costs().items() if vec[-1] > 0}
+
+        def draw(batches, centres=centres, share=share, step=step):
+            import pandas as pd
+
+            for pdf in batches:
+                groups = pdf.groupby(ck, sort=False, dropna=False) if ck else [((), pdf)]
+                for key, g in groups if len(pdf) else ():
+                    key = key if isinstance(key, tuple) else (key,)
+                    x = np.vstack(g["_x"].to_numpy()).astype(float)
+                    for r in range(restarts):
+                        if (key, r) not in share:
+                            continue
+                        d2 = np.full(len(x), np.inf)
+                        for c in centres[key, r]:
+                            d2 = np.minimum(d2, ((x - c) ** 2).sum(axis=1))
+                        drawn = _uniform(g["_h"].to_numpy(), (seed + r) * 64 + step) < share[key, r] * d2
+                        picked = np.unique(x[drawn], axis=0)
+                        if len(picked):
+                            data = {c: pd.Series([key[i]]).repeat(len(picked)) for i, c in enumerate(ck)}
+                            yield pd.DataFrame({**{c: v.to_numpy() for c, v in data.items()}, "_r": np.int32(r), "_x": list(picked)})
+
+        for row in hashed.mapInPandas(draw, schema).distinct().collect():
+            points[tuple(row[c] for c in ck), int(row["_r"])].append(row["_x"])
+    weights = costs()
+    # the order of rows is not fixed, that of the candidates is
+    out = {}
+    for key, c in points.items():
+        order = np.lexsort(np.array(c, dtype=float).T[::-1])
+        out[key] = (np.array(c, dtype=float)[order], np.maximum(weights[key][0][: len(c)][order], 1e-9))
+    return out
+
+
 def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int, tol: float = 1e-4) -> dict[tuple, float]:
     """Joint Lloyd iterations for every run (one job per iteration). A run stops
     when its total squared centre shift is at most ``tol`` times the mean
@@ -347,18 +406,15 @@ def fit_mixtures(
     reg_covar: float = 1e-6,
     init: str = "kmeans",
     kmeans_max_iter: int = 100,
-    init_sample: int = 512,
     checkpoint: bool = True,
 ) -> dict[tuple, Mixture]:
     """Best-of-``n_init`` mixture per (cohort, k) for several k at once.
 
     Every (cohort, k, restart) run advances in the same Spark job per
     iteration, so a sweep over k costs about as many jobs as its slowest run.
-    ``init``: ``kmeans`` (default; k-means++ seeding on a bounded seeded sample of
-    ``init_sample`` rows per cohort -- the oversample-then-recluster idea of
-    k-means|| -- refined by Lloyd iterations over all rows, run jointly in the
-    same machinery, then the initial M-step from the hard K-means
-    responsibilities), ``kmeans_spark`` (``pyspark.ml`` K-means per
+    ``init``: ``kmeans`` (default; k-means|| seeding and Lloyd iterations over all
+    rows, run jointly in the same machinery, then the initial M-step from the hard
+    K-means responsibilities), ``kmeans_spark`` (``pyspark.ml`` K-means per
     cohort) or ``random_from_data`` (the sampled rows as means)."""
     if covariance_type not in COVARIANCE_TYPES:
         raise ValueError(f"covariance_type must be one of {sorted(COVARIANCE_TYPES)}; got {covariance_type!r}")
@@ -376,6 +432,7 @@ def fit_mixtures(
 
     runs: dict[tuple, _Run] = {}
     run_k: dict[int, int] = {}
+    seeds = _seeds(base, ck, d, max(ks), n_init, seed) if init == "kmeans" else {}
     for restart in range(n_init):
         if init == "kmeans_spark":
             for k in ks:
@@ -384,16 +441,15 @@ def fit_mixtures(
                 for key, c in _init_spark_kmeans(base, ck, list(sizes), k, seed + restart).items():
                     runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), c, np.zeros(1)))
             continue
-        m = max(ks) if init == "random_from_data" else max(init_sample, 10 * max(ks))
-        sample = _seed_rows(base, ck, m, seed + restart)
+        if init == "random_from_data":
+            drawn = {key: (rows, None) for key, rows in _seed_rows(base, ck, max(ks), seed + restart).items()}
+        else:
+            drawn = {key: found for (key, r), found in seeds.items() if r == restart}
         for k in ks:
             rid = len(run_k)
             run_k[rid] = k
-            for key, rows in sample.items():
-                if init == "random_from_data":
-                    centres = rows[:k].copy()
-                else:
-                    centres = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
+            for key, (rows, weights) in drawn.items():
+                centres = rows[:k].copy() if weights is None else _kmeans_pp(rows, weights, k, np.random.default_rng(seed + restart))
                 runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), centres, np.zeros(1)))
     if init == "kmeans":  # joint Lloyd iterations
         _lloyd(base, ck, runs, d, kmeans_max_iter)
@@ -518,11 +574,10 @@ def fit_kmeans(
     n_init: int = 1,
     seed: int = 42,
     max_iter: int = 300,
-    init_sample: int = 512,
     checkpoint: bool = True,
 ) -> dict[tuple, tuple[np.ndarray, float]]:
-    """K-means for several k (and cohorts, restarts) in the same jobs: k-means++
-    on a bounded seeded sample, then joint Lloyd iterations over all rows.
+    """K-means for several k (and cohorts, restarts) in the same jobs: k-means||
+    seeding, then joint Lloyd iterations, all over all rows.
     Returns {(cohort_key, k): (centres, inertia)} keeping the lowest inertia."""
     ks = [int(k) for k in ks]
     ck = list(cohort)
@@ -530,13 +585,13 @@ def fit_kmeans(
     d = len(next(iter(origins.values())))
     runs: dict[tuple, _Run] = {}
     run_k: dict[int, int] = {}
+    seeds = _seeds(base, ck, d, max(ks), n_init, seed)
     for restart in range(n_init):
-        sample = _seed_rows(base, ck, max(init_sample, 10 * max(ks)), seed + restart)
         for k in ks:
             rid = len(run_k)
             run_k[rid] = k
-            for key, rows in sample.items():
-                c = _kmeans_pp(rows, k, np.random.default_rng(seed + restart))
+            for key, (rows, weights) in ((key, found) for (key, r), found in seeds.items() if r == restart):
+                c = _kmeans_pp(rows, weights, k, np.random.default_rng(seed + restart))
                 runs[(key, rid)] = _Run(Mixture("spherical", np.full(k, 1.0 / k), c, np.ones(k)))
     _lloyd(base, ck, runs, d, max_iter)
     final = _collect_stats(base, ck, runs, d, "spherical", hard_centers=True)

@@ -155,7 +155,7 @@ def test_gmm_far_from_the_origin(spark):
     x, truth = _blobs()
     for offset in (0.0, 1e8):
         df = _frame(spark, x + offset).withColumn("v", F.array(*[F.col(f"f{j}") for j in range(6)]))
-        models = mx.fit_mixture(df, "v", 4, n_init=1, seed=0)
+        models = mx.fit_mixture(df, "v", 4, n_init=4, seed=0)
         labels = np.array([r["cluster_id"] for r in mx.predict(df, "v", models).orderBy("player_id").collect()])
         assert [len(set(labels[truth == t])) for t in range(4)] == [1] * 4 and len(set(labels)) == 4
 
@@ -230,3 +230,11 @@ def test_knn_rows_that_share_an_id(spark):
     assert sorted((r["pid"], r["neighbor_rank"], r["neighbor_id"], r["distance"]) for r in got) == [
         (1, 1, 1, 1.0), (1, 1, 1, 1.0), (1, 2, 2, 2.0), (1, 2, 2, 3.0), (2, 1, 1, 2.0), (2, 2, 1, 3.0),
     ]
+
+
+def test_seeds_come_from_all_rows_and_equal_rows_once(spark):
+    """A blob of a few rows among many equal ones is found by the seeding."""
+    rows = [(i, [0.0, 0.0]) for i in range(5000)] + [(9000 + i, [50.0 + i, 50.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    (centres, inertia), = mx.fit_kmeans(df, "v", [2], seed=3).values()
+    assert np.allclose(sorted(c.tolist() for c in centres), [[0.0, 0.0], [51.0, 50.0]]) and inertia == pytest.approx(2.0)
