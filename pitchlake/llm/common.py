@@ -59,7 +59,7 @@ def rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
-def batched(records: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batched(records: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Tuples as Arrow batches of at most ``size`` rows or about ``max_bytes`` of strings and binaries."""
     held, held_bytes = [], 0
     for r in records:

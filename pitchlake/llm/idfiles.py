@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batched, id_text, n_partitions, rows, written
-from .tokens import encoded
+from .tokens import encoded, id_kind
 
 #: length of each of the four values of a control byte
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -56,7 +56,7 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its ids (unsigned 32 bit, little endian), written once."""
+    """doc_id and its ids (little endian, as wide as the vocabulary needs), written once."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -65,14 +65,14 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     return written(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary"), "tokens")
 
 
-def frequency_ranks(tokens: DataFrame) -> np.ndarray:
+def frequency_ranks(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
     """Token ids by falling corpus frequency, then by id. As long as the vocabulary at most."""
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         total = np.zeros(1, dtype=np.int64)
-        for (ids,) in rows(batches, "ids"):
-            got = np.bincount(np.frombuffer(ids, dtype="<u4"))
+        for batch in batches:
+            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind))
             if len(got) > len(total):
                 got, total = total, got
             total[: len(got)] += got
@@ -87,7 +87,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tok
     """Encode all documents into the folder ``path``; returns it."""
     spark = docs.sparkSession
     tokens = token_table(docs, tokenizer, end_id, id_col, text_col)
-    by_rank = frequency_ranks(tokens)
+    kind = id_kind(tokenizer)
+    by_rank = frequency_ranks(tokens, kind)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame([(i, int(t)) for i, t in enumerate(by_rank)], "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -103,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tok
             n, start, names, parts, size = 0, 0, [], [], 0
             for doc_id, ids in rows(batches, "doc_id", "ids"):
                 names.append(doc_id)
-                parts.append(np.frombuffer(ids, dtype="<u4"))
+                parts.append(np.frombuffer(ids, dtype=kind))
                 size += len(parts[-1])
                 if size >= block_tokens:
                     yield shard, n, start, size, names, [len(p) for p in parts], *encode_values(rank_of[np.concatenate(parts)])

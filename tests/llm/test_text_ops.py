@@ -1,5 +1,6 @@
 """Quality rules, packing, byte-level BPE and id files against plain Python."""
 
+import functools
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from pitchlake.llm import bytebpe, idfiles, packing, quality
+from pitchlake.llm import bytebpe, idfiles, packing, quality, tokens
 from pitchlake.llm.common import scratch_path
 
 from conftest import SF001
@@ -22,12 +23,17 @@ def texts_of(df):
     return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
     t.encode_special_tokens = True
-    return [*t.encode(text, add_special_tokens=False).ids, 1]
+    return t
+
+
+def library_ids(text):
+    return [*library().encode(text, add_special_tokens=False).ids, 1]
 
 
 # -- quality ---------------------------------------------------------------
@@ -127,6 +133,14 @@ def test_best_fit_and_fullest():
     assert w.free == [4, 5] and [p[0] for p in w.rest()] == [1, 5]
 
 
+def test_chunks_equal_library():
+    enc, rng = tokens.ChunkEncoder(WORD_BPE, remembered=50), random.Random(8)
+    letters = ["A", "z", "É", "ß", "ÿ", "İ", "ı", "Σ", "ſ", "K", "e\u0301", "T\u0308", "×", "÷", "ŉ", "'S", "'ll", "7", "½", "²", "!!", "<|endoftext|>", "\u00a0", "\x1c", "\x85", "€", "漢", "\u2028", "\x00", ".", "ªº", "ǅ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randrange(8)))
+        assert [*np.frombuffer(enc.encode(text), dtype=enc.kind).tolist(), 1] == library_ids(text), repr(text)
+
+
 def test_packing_hostile_and_empty(hostile, empty):
     got = packing.pack(hostile, WORD_BPE)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in hostile.select("doc_id").collect()}
