@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, many: int = 2048, id_col:
     if length <= MOST_WINDOWS:
         raise ValueError(f"length must be above {MOST_WINDOWS}")
     spark = docs.sparkSession
-    n_cells = n_buckets = 4 * n_partitions(spark)
+    n_cells = n_buckets = 2 * n_partitions(spark)  # each cell makes a row for each bucket
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     source = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_cells)).cast("int").alias("cell"),
