@@ -3,6 +3,6 @@
 
 def load_registry():
     """Import every query module (they self-register) and return the registry."""
-    from . import queries_enrich, queries_gold, queries_jobs, queries_lake, queries_ml, queries_serving, queries_silver, registry  # noqa: F401
+    from . import queries_enrich, queries_fixed, queries_gold, queries_jobs, queries_lake, queries_ml, queries_serving, queries_silver, registry  # noqa: F401
 
     return registry

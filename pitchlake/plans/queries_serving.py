@@ -43,11 +43,11 @@ def neighbours(spark, d, only_ids=None):
 register(
     "clusters_payload",
     f"""WITH {_A}, {_LABELS}
-SELECT a.role, a.cluster_id, COALESCE(l.label, 'Cluster ' || CAST(a.cluster_id AS VARCHAR)) AS label, COUNT(*) AS n_players,
+SELECT a.year, a.role, a.cluster_id, COALESCE(l.label, 'Cluster ' || CAST(a.cluster_id AS VARCHAR)) AS label, COUNT(*) AS n_players,
   CAST(to_json(list(struct_pack(player_id := a.player_id, player_name := a.player_name) ORDER BY a.player_name, a.player_id)) AS VARCHAR) AS players_json
-FROM a LEFT JOIN l ON LOWER(TRIM(a.role)) = l.r AND a.cluster_id = l.cid GROUP BY a.role, a.cluster_id, l.label""",
+FROM a LEFT JOIN l ON LOWER(TRIM(a.role)) = l.r AND a.cluster_id = l.cid GROUP BY a.year, a.role, a.cluster_id, l.label""",
 )(lambda spark, d: sv.clusters_payload(archetypes(spark, d)).select(
-    "role", "cluster_id", "label", "n_players", F.to_json("players").alias("players_json")))
+    "year", "role", "cluster_id", "label", "n_players", F.to_json("players").alias("players_json")))
 
 register(
     "cluster_labels",

@@ -51,19 +51,20 @@ def _check(df: DataFrame, need=REQUIRED) -> None:
 
 
 def clusters_payload(archetypes: DataFrame) -> DataFrame:
-    """Q3: one row per (role, cluster_id): label and the name-sorted player list.
+    """Q3: one row per (year, role, cluster_id): label and the name-sorted player list.
 
-    The nested list is the API payload for one season's assignments table, so a
-    list holds at most one season's roster of a role; over many seasons, filter
-    by ``year`` first or use ``with_cluster_label`` (long form, no collection)."""
+    The nested list is the API payload, so it holds at most one season's roster of
+    a role; the long form, without any list, is ``with_cluster_label``. A table
+    without ``year`` is one season."""
     _check(archetypes)
-    grouped = archetypes.groupBy("role", "cluster_id").agg(
+    by = [*(["year"] if "year" in archetypes.columns else []), "role", "cluster_id"]
+    grouped = archetypes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_players"),
         F.array_sort(F.collect_list(F.struct(
             F.col("player_name").cast("string").alias("player_name"), F.col("player_id").cast("long").alias("player_id")))).alias("_p"),
     )
     out = grouped.withColumn("players", F.transform("_p", lambda s: F.struct(s["player_id"].alias("player_id"), s["player_name"].alias("player_name"))))
-    return with_cluster_label(out.drop("_p")).select("role", "cluster_id", "label", "n_players", "players").orderBy("role", "cluster_id")
+    return with_cluster_label(out.drop("_p")).select(*by, "label", "n_players", "players").orderBy(*by)
 
 
 def search_players(archetypes: DataFrame, q: str, limit: int = 50, *, regex: bool = False) -> DataFrame:

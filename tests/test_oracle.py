@@ -12,6 +12,8 @@ SUBSET = [
     "corr_pairs", "nzv_stats", "knn_euclidean", "knn_cohort", "silhouette_euclidean", "davies_bouldin",
     "cluster_profiles", "standardize_population", "clusters_payload", "search_names", "leaderboard",
     "landing_status_rollup", "ytd_window_scan", "event_type_entropy",
+    "bronze_keep_last", "register_last_wins", "bronze_union_drift", "pitcher_features_minimal", "batter_features_minimal",
+    "gmm_fixed_labels", "gmm_fixed_scores", "kmeans_fixed_labels", "project_fixed_model",
 ]
 
 
