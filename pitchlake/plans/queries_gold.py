@@ -119,8 +119,42 @@ def corr_query(spark, d):
     return finalize(long.where(F.col("r").isNotNull()).select("role", "year", "col_a", "col_b", F.abs("r").alias("abs_r")))
 
 
-# M1/M2/M3/P26 decisions (rows only: the greedy walk is order dependent, tested in unit tests)
-register("corr_prune_decisions")(lambda spark, d: prune_query(spark, d))
+# M1/M2/M3/P26 decisions: the greedy walk over correlated pairs, as a recursive query
+def _decided_sql(threshold: float, ratio: float = gd.GoldConfig.near_zero_variance_unique_ratio) -> str:
+    """CTEs ``s`` (filled silver), ``gone`` (role, year, rule, dropped, kept, r) and ``names``."""
+    place = {c: i for i, c in enumerate(PITCHER_NUMERIC)}
+    filled = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in PITCHER_NUMERIC)
+    pairs = "\nUNION ALL\n".join(
+        f"SELECT role, year, {place[a]} AS ia, {place[b]} AS ib, '{a}' AS a, '{b}' AS b, CORR({a}, {b}) AS rr FROM filled GROUP BY role, year" for a, b in _PAIRS
+    )
+    counts = "\nUNION ALL\n".join(
+        f"SELECT role, year, '{c}' AS col, COUNT(DISTINCT {c}) AS n_distinct, COUNT(*) AS n FROM filled GROUP BY role, year" for c in PITCHER_NUMERIC
+    )
+    rank = "struct_pack(p := NOT regexp_matches({c}, '^estimated_|xwoba|_adj_estimated_'), n := {c})"
+    first = f"{rank.format(c='a')} < {rank.format(c='b')}"
+    return f"""WITH RECURSIVE {fx.oracle_ctes('pitches').removeprefix('WITH ')}, {_SILVER_P_SQL},
+filled AS (SELECT role, year, player_id, {filled} FROM s),
+c AS ({pairs}),
+w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY role, year ORDER BY ia, ib) AS step,
+        CASE WHEN {first} THEN a ELSE b END AS kept, CASE WHEN {first} THEN b ELSE a END AS loser
+      FROM c WHERE rr IS NOT NULL AND NOT isnan(rr) AND ABS(rr) >= {threshold}),
+walk(role, year, step, lost) AS (
+  SELECT DISTINCT role, year, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM filled
+  UNION ALL
+  SELECT w.role, w.year, w.step, CASE WHEN list_contains(lost, a) OR list_contains(lost, b) THEN lost ELSE list_append(lost, loser) END
+  FROM walk JOIN w ON w.role = walk.role AND w.year = walk.year AND w.step = walk.step + 1),
+gone1 AS (SELECT w.role, w.year, 'correlation' AS rule, loser AS dropped, kept, ABS(rr) AS r
+  FROM w JOIN walk ON w.role = walk.role AND w.year = walk.year AND w.step = walk.step + 1
+  WHERE NOT list_contains(lost, a) AND NOT list_contains(lost, b)),
+n AS ({counts}),
+gone AS (SELECT * FROM gone1 UNION ALL
+  SELECT n.role, n.year, 'near_zero_variance', col, NULL, NULL FROM n
+  WHERE (n_distinct <= 1 OR CAST(n_distinct AS DOUBLE) / n <= {ratio})
+    AND NOT EXISTS (SELECT 1 FROM gone1 g WHERE g.role = n.role AND g.year = n.year AND g.dropped = n.col))"""
+
+
+register("corr_prune_decisions", f"""{_decided_sql(0.8)}
+SELECT role, year, rule, dropped, kept, printf('%.6f', r) AS correlation FROM gone""")(lambda spark, d: prune_query(spark, d))
 
 
 def prune_query(spark, d):
@@ -133,7 +167,11 @@ def prune_query(spark, d):
     return spark.createDataFrame(rows, "role string, year int, rule string, dropped string, kept string, correlation string")
 
 
-register("gold_artifacts")(lambda spark, d: gold_artifacts_query(spark, d))
+register("gold_artifacts", f"""{_decided_sql(gd.GoldConfig.correlation_threshold)},
+left_over AS (SELECT n.role, n.year, col, n.n FROM n WHERE NOT regexp_full_match(col, 'xwoba_allowed_[lr]hb_mean')
+  AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.role = n.role AND g.year = n.year AND g.dropped = n.col))
+SELECT role, year, CAST(MAX(n) AS INT) AS row_count, CAST(COUNT(*) AS INT) AS n_features, string_agg(col, ',' ORDER BY col) AS feature_columns
+FROM left_over GROUP BY role, year""")(lambda spark, d: gold_artifacts_query(spark, d))
 
 
 def gold_artifacts_query(spark, d):
