@@ -111,3 +111,28 @@ def _loading_sql(j: int) -> str:
 
 
 register("project_fixed_model", f"WITH {_E} SELECT vec_id, {_loading_sql(1)} AS z0, {_loading_sql(2)} AS z1 FROM e")(_fixed_projection)
+
+
+# M6 / M7: what holds for any right principal components, from the fitted model and the projected rows
+register(
+    "pca_invariants",
+    f"""WITH {_E}, z AS (SELECT unnest(range(1, 11)) AS component)
+SELECT CAST(component AS INT) AS component, 1E0 AS norm, 0E0 AS overlap, 0E0 AS mean, 0E0 AS variance_gap, 1E0 AS ratio_sum,
+  (SELECT COUNT(*) FROM e) AS n_rows FROM z""",
+)(lambda spark, d: pca_invariants(spark, d))
+
+
+def pca_invariants(spark, d):
+    """Unit length, no overlap with other components, centred scores whose variance is the eigenvalue, ratios that sum to one."""
+    wide, cols = _emb_features(spark, d)
+    model = sc.fit_pca(wide, cols, D)
+    fitted = model.params[()]
+    gram = fitted["components"] @ fitted["components"].T
+    z = sc.transform(wide, model, "z")
+    scores = z.select(F.posexplode("z").alias("pos", "z")).where("pos < 10").groupBy("pos").agg(
+        F.avg("z").alias("mean"), F.var_samp("z").alias("variance"), F.count("z").alias("n_rows"))
+    rule = [(k, float(gram[k, k]), float(np.abs(np.delete(gram[k], k)).max()), float(fitted["ev"][k]), float(fitted["evr"].sum())) for k in range(10)]
+    known = spark.createDataFrame(rule, "pos int, norm double, overlap double, ev double, ratio_sum double")
+    return finalize(scores.join(known, "pos").select(
+        (F.col("pos") + 1).cast("int").alias("component"), "norm", F.abs("overlap").alias("overlap"), F.abs("mean").alias("mean"),
+        F.abs(F.col("variance") - F.col("ev")).alias("variance_gap"), "ratio_sum", "n_rows"), 8)
