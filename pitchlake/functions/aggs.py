@@ -36,11 +36,3 @@ def iqr(c: str | Column) -> Column:
 
 def mean(c: str | Column) -> Column:
     return F.avg(col_(c))
-
-
-def sd_pop(c: str | Column) -> Column:
-    return F.stddev_pop(col_(c))
-
-
-def rounded(c: Column, digits: int = 10) -> Column:
-    return F.round(c, digits)

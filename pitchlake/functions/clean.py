@@ -23,12 +23,6 @@ def to_double(c: str | Column) -> Column:
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
-def finite_or_null(c: str | Column) -> Column:
-    """NaN and +-inf -> NULL."""
-    x = col_(c).cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
-
-
 def to_long_id(c: str | Column) -> Column:
     """Player ids: integers and integer text exactly, other numbers cut to BIGINT, bad -> NULL."""
     x = col_(c)
@@ -60,10 +54,6 @@ def clean_column_name(name: str) -> str:
     return s.strip("_")
 
 
-def clean_column_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[clean_column_name(c) for c in df.columns])
-
-
 def find_column(df_or_cols: DataFrame | Sequence[str], *aliases: str) -> str | None:
     """Case-insensitive column lookup with ordered aliases (first alias found wins)."""
     cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else list(df_or_cols)
@@ -106,11 +96,6 @@ def optional_double(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def with_constant(df: DataFrame, name: str, value) -> DataFrame:
-    """Add a constant column only when absent (e.g. ``role``)."""
-    return df if name in df.columns else df.withColumn(name, F.lit(value))
-
-
 def display_name(last: str | Column, first: str | Column) -> Column:
     """``Last, First``; one-sided fallback; NULL when both are blank."""
     ln = F.nullif(F.trim(col_(last)), F.lit(""))

@@ -124,10 +124,6 @@ def pitch_type_clean(pitch_type="pitch_type") -> Column:
     return F.when(pt.isNull() | (pt == "") | pt.isin(*JUNK_PITCH_TYPES), F.lit(None)).otherwise(pt)
 
 
-def is_fastball(pitch_type_clean_col: Column) -> Column:
-    return pitch_type_clean_col.isin(*FASTBALL_TYPES)
-
-
 def first_pitch_strike(type_col="type") -> Column:
     return upper_trim(type_col).isin("S", "X")
 

@@ -202,8 +202,3 @@ def neighbor_table(
 
 def effective_k(k: int, n: int) -> int:
     return max(0, min(int(k), int(n) - 1))
-
-
-def minkowski_name(metric: str, p: float) -> str:
-    return f"{metric}(p={p:g})" if metric == "minkowski" else metric
-

@@ -260,25 +260,3 @@ def widen_maps(silver: DataFrame, *, share_codes: Sequence[str] | None = None,
     if drop_maps:
         out = out.drop(*[c for c in ("pitch_type_shares", "pitch_type_means") if c in out.columns])
     return out
-
-
-def pitch_type_profile(
-    df: DataFrame,
-    id_col: str,
-    *,
-    min_pitches_per_type: int,
-    type_col: str = "pitch_type",
-    share_codes: Sequence[str] | None = None,
-    physical_codes: Sequence[str] | None = None,
-) -> DataFrame:
-    """A17-A19 in wide form, keyed by (id, year).
-
-    The pitches are aggregated once into ``type_summary`` (players x types rows,
-    small). When the code vocabularies are not given, that summary is cached so
-    finding the codes and pivoting re-read it instead of the pitches.
-    """
-    summary = type_summary(df, id_col, type_col)
-    if share_codes is None or physical_codes is None:
-        summary = summary.persist()
-    shares, phys, ent = profile_from_summary(summary, id_col, min_pitches_per_type=min_pitches_per_type)
-    return widen(shares, phys, ent, id_col, share_codes=share_codes, physical_codes=physical_codes)

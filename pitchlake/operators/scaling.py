@@ -191,11 +191,6 @@ def fit_pca(
     return model
 
 
-def with_standardized_vector(df: DataFrame, model: PcaModel, out_col: str) -> DataFrame:
-    """Append the standardised feature vector (array<double>) using the model's scaler."""
-    return _apply(df, model, out_col, project=False)
-
-
 def transform(df: DataFrame, model: PcaModel, out_col: str = "pca") -> DataFrame:
     """Project rows with a fitted scaler + PCA. Missing feature columns raise;
     NULL features raise at the caller's ``assert_no_missing``."""

@@ -11,7 +11,7 @@ from ..operators import enrich as en
 from ..operators import features as ft
 from ..operators.dedupe import dedupe_last
 from ..session import ensure_checkpoint_dir
-from ..sources import lake
+from ..sources import lake, landing
 from .queries_silver import _BATTER_SELECT, _PITCHER_SELECT, HAS_LAUNCH, PARAMS
 from .registry import dedup_cte, finalize, flags_cte, register
 
@@ -110,3 +110,30 @@ FROM f GROUP BY batter, year
 HAVING COUNT(*) >= {PARAMS.min_pitches_batter} AND COUNT(CASE WHEN {HAS_LAUNCH} THEN 1 END) >= {PARAMS.min_batted_ball_batter}""",
 )(lambda spark, d: finalize(
     ft.batter_features(fx.pitches(spark, d).drop("plate_z", "sz_bot", "sz_top"), PARAMS)))
+
+
+# Yearly boards landed and read back over a range of years (seasons without a board contribute nothing)
+register(
+    "leaderboard_years",
+    f"""{fx.oracle_ctes('sprint_board')} SELECT year, COUNT(*) AS n_rows, COUNT(player_id) AS n_players, ROUND(AVG(sprint_speed), 10) AS mean_speed
+FROM sprint_board WHERE year BETWEEN 1996 AND 1999 GROUP BY year""",
+)(lambda spark, d: leaderboard_years(spark, d))
+
+
+def leaderboard_years(spark, d):
+    root = _folder(spark, "boards")
+    board = fx.sprint_board(spark, d).drop("file_order")
+    status = landing.land_years({lake.SPRINT_DATASET: board}, first_year=1995, last_year=2000, root=root)
+    if status["status"] != "ok":
+        raise ValueError(f"yearly landing: {status}")
+    read = lake.read_leaderboard_years(spark, root, lake.SPRINT_DATASET, 1996, 1999)
+    return finalize(read.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("player_id").alias("n_players"), F.avg("sprint_speed").alias("mean_speed")))
+
+
+# Framing rows need a name
+register(
+    "framing_named",
+    "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS name FROM part WHERE p_partkey % 4 <> 0 AND p_name IS NOT NULL",
+)(lambda spark, d: landing.framing_rows(
+    fx.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("name"))))

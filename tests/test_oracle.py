@@ -13,7 +13,8 @@ SUBSET = [
     "cluster_profiles", "standardize_population", "clusters_payload", "search_names", "leaderboard",
     "landing_status_rollup", "ytd_window_scan", "event_type_entropy",
     "bronze_keep_last", "register_last_wins", "bronze_union_drift", "pitcher_features_minimal", "batter_features_minimal",
-    "gmm_fixed_labels", "gmm_fixed_scores", "kmeans_fixed_labels", "project_fixed_model",
+    "gmm_fixed_labels", "gmm_fixed_scores", "kmeans_fixed_labels", "project_fixed_model", "pca_invariants",
+    "corr_prune_decisions", "gold_artifacts", "leaderboard_years", "framing_named",
 ]
 
 
