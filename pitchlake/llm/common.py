@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,29 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns of Arrow batches, row by row."""
+def rows(batches: Iterable[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[tuple]:
+    """The named columns of Arrow batches, row by row; only ``at_once`` rows are Python objects at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names))
+        for lo in range(0, batch.num_rows, at_once):
+            part = batch.slice(lo, at_once)
+            yield from zip(*(part.column(n).to_pylist() for n in names))
+
+
+_REMEMBERS: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Called where an operator begins to fill a memory of this Python worker.
+
+    Spark uses a worker for many tasks; what other operators remembered in it is
+    let go, so that a chain of operators holds one memory at a time."""
+    others = [o for o in _REMEMBERS if o != owner]
+    for other in others:
+        _REMEMBERS.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _REMEMBERS[owner] = forget
 
 
 def batched(records: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
