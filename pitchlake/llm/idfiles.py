@@ -19,6 +19,7 @@ empty files."""
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,56 +31,83 @@ from .common import batched, id_text, n_partitions, rows, written
 from .tokens import encoded, id_kind
 
 #: length of each of the four values of a control byte
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
+    size = (values >= 1 << 8).astype(np.uint8)
+    for bits in (16, 24):
+        if values.max(initial=0) >= 1 << bits:
+            size += values >= 1 << bits
+    size += 1
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[: len(values)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    four = codes.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    wide = int(size.max(initial=1))
+    data = values.view(np.uint8).reshape(-1, 4)[:, :wide][np.arange(wide, dtype=np.uint8) < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    begin = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
-    out = raw[begin]
-    for k in (1, 2, 3):
+    begin = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, dtype=np.uint8)
+    out = raw[begin].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
         longer = np.flatnonzero(size > k)
-        out[longer] |= raw[begin[longer] + k] << np.uint32(8 * k)
+        out[longer] |= raw[begin[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its ids (little endian, as wide as the vocabulary needs), written once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    """doc_id and its ids (little endian, as wide as the vocabulary needs), written once.
+
+    Each task adds one row of ``counts`` instead: how often it met each id (64 bit)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        yield from batched(((d, ids.tobytes()) for d, ids in encoded(batches, tokenizer, end_id)), schema)
+        total = np.zeros(0, dtype=np.int64)
+
+        def out():
+            nonlocal total
+            held, size = [], 0
+            for doc_id, ids in encoded(batches, tokenizer, end_id):
+                held.append(ids)
+                size += len(ids)
+                if size > 1 << 18:
+                    total, held, size = _added(total, np.bincount(np.concatenate(held))), [], 0
+                yield doc_id, ids.tobytes(), None
+            if held:
+                total = _added(total, np.bincount(np.concatenate(held)))
+            yield None, None, total.tobytes()
+
+        yield from batched(out(), schema)
+
+    return written(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, counts binary"), "tokens")
 
-    return written(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary"), "tokens")
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a = a.copy()
+    a[: len(b)] += b
+    return a
 
-def frequency_ranks(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
+
+def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     """Token ids by falling corpus frequency, then by id. As long as the vocabulary at most."""
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
-    def count(batches):
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind))
-            if len(got) > len(total):
-                got, total = total, got
-            total[: len(got)] += got
+    def unpacked(batches):
+        total = np.zeros(0, dtype=np.int64)
+        for (counts,) in rows(batches, "counts"):
+            total = _added(total, np.frombuffer(counts, dtype=np.int64))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema)
 
-    counts = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(unpacked, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return np.array([r.token for r in counts.orderBy(F.desc("n"), "token").select("token").collect()], dtype=np.int64)
 
 
@@ -88,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tok
     spark = docs.sparkSession
     tokens = token_table(docs, tokenizer, end_id, id_col, text_col)
     kind = id_kind(tokenizer)
-    by_rank = frequency_ranks(tokens, kind)
+    by_rank = frequency_ranks(tokens)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame([(i, int(t)) for i, t in enumerate(by_rank)], "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -114,19 +142,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tok
 
         yield from batched(out(), schema, max_bytes=4 << 20)
 
-    ordered = tokens.repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ddl = "shard int, block int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary"
     ordered.mapInArrow(blocks, ddl).write.parquet(f"{path}/blocks")
     return path
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids (unsigned 32 bit, little endian) of each document."""
+def _decoded(spark: SparkSession, path: str, last: str, kind: pa.DataType, ddl: str, made) -> DataFrame:
+    """doc_id, start, n_tokens and what ``made`` makes of each document's ids."""
     by_rank = np.array([r.token for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], dtype="<u4")
     blocks = spark.read.parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row per shard
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (last, kind)])
 
     def decode(batches):
         def out():
@@ -134,16 +162,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for first, start, n, doc_ids, sizes, control, data in rows(batches, *names):
                 ids, lo = by_rank[decode_values(control, data, n)], 0
                 for doc_id, size in zip(doc_ids, sizes):
-                    yield doc_id, first + start + lo, size, ids[lo : lo + size].tobytes()
+                    yield doc_id, first + start + lo, size, made(ids[lo : lo + size].tobytes())
                     lo += size
 
         yield from batched(out(), schema)
 
-    return blocks.join(before, "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(before, "shard").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {ddl}")
 
 
-def digests(read_back: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32."""
-    return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids (unsigned 32 bit, little endian) of each document."""
+    return _decoded(spark, path, "ids", pa.binary(), "binary", lambda ids: ids)
 
 
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read`, with the CRC of the ids read back in place of the ids."""
+    return _decoded(spark, path, "ids_crc32", pa.int64(), "long", zlib.crc32)

@@ -20,6 +20,8 @@ from array import array
 
 import numpy as np
 
+from .common import remembers, rows
+
 REMEMBERED = 300_000
 _LATIN = "à-öø-įı-ſ"  # letters that no normalisation changes, lower case or without case
 #: a chunk that is cut here
@@ -113,8 +115,8 @@ def id_kind(path: str) -> np.dtype:
 
 def encoded(batches, path: str, end_id: int):
     """(doc_id, ids with ``end_id`` at the end) for each row of Arrow batches with doc_id and text."""
+    remembers("tokens", _ENCODERS.clear)
     enc = encoder(path)
     end = np.array([end_id], dtype=enc.kind).tobytes()
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            yield doc_id, np.frombuffer(enc.encode(text or "") + end, dtype=enc.kind)
+    for doc_id, text in rows(batches, "doc_id", "text"):
+        yield doc_id, np.frombuffer(enc.encode(text or "") + end, dtype=enc.kind)
