@@ -48,7 +48,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The span classifier is trained on the candidates of all ``docs``."""
-    return _counted(pii.redact(docs, pii.fit(pii.found(docs))))
+    return _counted(pii.redact(docs, pii.fit_texts(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batched, id_text
+from .common import batched, id_text, remembers, rows
 
 REMEMBERED = 250_000
 #: texts whose new matches are merged together
@@ -181,6 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        remembers("bytebpe", _CODERS.clear)
         bpe = coder(path, pattern)
 
         def out():
@@ -199,9 +200,8 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
 
     def run(batches):
+        remembers("bytebpe", _CODERS.clear)
         bpe = coder(path, pattern)
-        yield from batched(
-            ((d, i, bpe.decode(i)) for b in batches for d, i in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist())), schema
-        )
+        yield from batched(((d, i, bpe.decode(i)) for d, i in rows(batches, "doc_id", "ids")), schema)
 
     return coded.mapInArrow(run, "doc_id long, ids binary, bytes binary")

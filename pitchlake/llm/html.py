@@ -6,7 +6,8 @@ names. Text length, punctuation and link text are summed per path over the page.
 Length per block and punctuation per block of a path, damped by its share of
 link text, are smoothed along the page with a Gaussian, fused by their product,
 and paths at or above a threshold are content. The element that holds most of the
-selected text is the article; its blocks are returned in page order.
+selected text is the article; its blocks are returned in page order, lists of
+links and, where only the whole body qualifies, paths below the threshold aside.
 
 Elements that are never article text (scripts, menus, forms, footers, elements
 hidden or named after adverts, notices, comments and the like) weigh nothing and
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched
+from .common import batched, rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -41,6 +42,8 @@ NOT_ARTICLE = frozenset(
     "footer comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended teaser pagination pager toolbar toc copyright legal disclaimer search form masthead".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li td th".split())
 ARTICLES = frozenset(("article", "main"))
 KEPT_ROOTS = frozenset(("html", "body", "article", "main"))
 #: an open element of the first kind ends when one of these begins, up to the nearest of the last
@@ -238,14 +241,16 @@ def main_text(page: str | None) -> str:
         for depth, e in enumerate(reversed(chain)):
             if id(e) not in inside:
                 inside[id(e)] = depth
-                if e.selected >= SHARE * whole and e.name not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") and (e.name in ARTICLES, depth) > best_rank:
+                if e.selected >= SHARE * whole and e.name not in LEAVES and (e.name in ARTICLES, depth) > best_rank:
                     best, best_rank = e, (e.name in ARTICLES, depth)
+    # a page's body may hold anything, an element that was singled out only the article and lists of links
+    narrow = best is not None and best.name not in ("", "html", "body")
     kept = []
     for b in blocks:
         e = b.element
         while e is not None and e is not best:
             e = e.parent
-        if e is best and (best_rank[0] or fused[b.path] >= least and 2 * b.links <= len(b.text) or b.element.name[:1] == "h"):
+        if e is best and (best_rank[0] or 2 * b.links <= len(b.text) and (narrow or fused[b.path] >= least or b.element.name in HEADINGS)):
             kept.append(b.text)
     return "\n".join(kept)
 
@@ -257,10 +262,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         def out():
-            for b in batches:
-                for i, u, h in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                    text = main_text(h)
-                    yield i, u, text, len(text)
+            for i, u, h in rows(batches, "page_id", "url", "html"):
+                text = main_text(h)
+                yield i, u, text, len(text)
 
         yield from batched(out(), schema)
 

@@ -140,7 +140,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     left = sets.join(pairs, sets["doc_id"] == pairs["a"]).select("a", "b", F.col("own").alias("own_a"))
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b")), "b")
     shared = F.size(F.array_intersect("own_a", "own_b"))
-    return both.filter(100 * shared >= percent * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b").distinct()
+    return both.filter(100 * shared >= percent * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, id_text, written
+from .common import batched, id_text, rows, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -247,9 +248,8 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         def out():
-            for b in batches:
-                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    yield d, np.array([(*s, int(base), code) for s, base, code in candidates(t)], dtype="<i8").tobytes()
+            for d, t in rows(batches, "doc_id", "text"):
+                yield d, np.array([(*s, int(base), code) for s, base, code in candidates(t)], dtype="<i8").tobytes()
 
         yield from batched(out(), schema)
 
@@ -260,19 +260,28 @@ def _table(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype="<i8").reshape(-1, 5)
 
 
-def fit(candidates_of: DataFrame) -> SpanModel:
-    """Train on the candidates of all documents; the driver gets a row per pattern."""
+def _trained(source: DataFrame, column: str, codes_of) -> SpanModel:
+    """Train on how often each pattern is met; the driver gets a row per pattern."""
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
-        for b in batches:
-            codes, n = np.unique(np.concatenate([np.zeros(0, dtype="<i8"), *(_table(x)[:, 4] for x in b.column("spans").to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], schema=schema)
+        met = Counter(code for (value,) in rows(batches, column) for code in codes_of(value))
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.int64())], schema=schema)
 
-    counts = candidates_of.select("spans").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = source.select(column).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return train([(r.code, r.n) for r in counts.collect()])
 
 
+def fit(candidates_of: DataFrame) -> SpanModel:
+    """Train on the candidates that :func:`found` lists."""
+    return _trained(candidates_of, "spans", lambda blob: _table(blob)[:, 4].tolist())
+
+
+def fit_texts(docs: DataFrame, text_col: str = "text") -> SpanModel:
+    """Train on the candidates of all texts, without listing them."""
+    return _trained(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", lambda text: [code for _, _, code in candidates(text)])
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -331,7 +340,7 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
 
     def run(batches):
         for b in batches:
-            new = [None if t is None else redacted_text(t, model) for t in b.column(at).to_pylist()]
+            new = [None if t is None else redacted_text(t, model) for (t,) in rows([b], text_col)]
             yield b.set_column(at, b.schema.field(at), pa.array(new, type=b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, id_text
+from .common import batched, id_text, rows
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -143,7 +143,7 @@ def viterbi(field: LineField, features: np.ndarray) -> np.ndarray:
     return labels
 
 
-def train(sequences: list[tuple[np.ndarray, int]], longest: int = 64, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> LineField:
+def train(sequences: list[tuple[np.ndarray, int]], longest: int = 32, steps: int = 150, rate: float = 0.3, l2: float = 1e-4) -> LineField:
     """Maximum likelihood by gradient ascent. A sequence is (features, label of all its lines); long ones are cut into parts."""
     parts = [(f[lo : lo + longest], y) for f, y in sequences for lo in range(0, len(f), longest)]
     if not parts:
@@ -203,9 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000, id_col: st
 
     def lines(batches):
         def out():
-            for b in batches:
-                for d, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-                    yield d, y, measure(t).features.astype(np.uint8).tobytes()
+            for d, y, t in rows(batches, "doc_id", "label", "text"):
+                yield d, y, measure(t).features.astype(np.uint8).tobytes()
 
         yield from batched(out(), schema)
 
@@ -238,11 +237,10 @@ def judged(docs: DataFrame, field: LineField, min_words: int = 50, max_repeat_pe
 
     def run(batches):
         def out():
-            for b in batches:
-                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    v = judge(t, field, min_words, max_repeat_percent, min_content)
-                    m = v.measured
-                    yield d, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, v.base_failed, v.content_words, v.kept
+            for d, t in rows(batches, "doc_id", "text"):
+                v = judge(t, field, min_words, max_repeat_percent, min_content)
+                m = v.measured
+                yield d, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, v.base_failed, v.content_words, v.kept
 
         yield from batched(out(), schema)
 
@@ -252,10 +250,10 @@ def judged(docs: DataFrame, field: LineField, min_words: int = 50, max_repeat_pe
 
 def keep(docs: DataFrame, field: LineField, min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were."""
-    at = docs.columns.index(text_col)
+    name = text_col
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([judge(t, field, min_words, max_repeat_percent, min_content).kept for t in b.column(at).to_pylist()], type=pa.bool_()))
+            yield b.filter(pa.array([judge(t, field, min_words, max_repeat_percent, min_content).kept for (t,) in rows([b], name)], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .common import n_partitions
 
 MOST_WINDOWS = 64  # of a run, so that its windows fit one 64-bit mask
-PIECE = 1 << 21
+PIECE = 1 << 20
 LAST_ID = (1 << 63) - 1
 GONE, ASKED, SINGLY = 1, 2, 3
 _RANDOM = np.random.default_rng(20240229)
@@ -251,8 +251,9 @@ def _by(values: np.ndarray):
             yield int(values[group[0]]), group
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, many: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's other columns as struct ``row``, with n_bytes, n_removed, n_spans and the bytes left (``kept``).
+def remove_repeats(docs: DataFrame, length: int = 100, many: int = 2048, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """Each row's other columns as struct ``row``, with n_bytes, n_removed, n_spans and the bytes left (``kept``;
+    ``as_text``: what whole characters they hold).
 
     ``many``: different runs of one anchor from which on they are compared window by window."""
     if length <= MOST_WINDOWS:
@@ -347,11 +348,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, many: int = 2048, id_col:
             rows.append((0, cell, len(found), _columns(np.array(found, dtype=_MASK))))
         return _dealt(rows)
 
-    out_schema = StructType([source.schema["row"], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    out_schema = StructType([source.schema["row"], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
 
     def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({"row": texts.column("row"), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.binary())})
         runs = runs_of(texts)
         gone, masks = ~runs.first, []
         for n, payload in zip(told.column("kind").to_pylist(), told.column("payload").to_pylist()):
@@ -362,8 +361,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, many: int = 2048, id_col:
             else:
                 masks += _records(payload, _MASK, n).tolist()
         cut = runs.cut(gone, masks)
-        size, removed, spans, left = zip(*(cut[d] for d in runs.row_doc))
-        return pa.table({"row": texts.column("row"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(left, pa.binary())})
+        rows = [cut[d] for d in runs.row_doc]
+        counts = {name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("n_bytes", "n_removed", "n_spans"))}
+        if as_text:
+            kept = pa.array([r[3].decode(errors="ignore") for r in rows], pa.string())
+        else:
+            kept = pa.array([r[3] for r in rows], pa.binary())
+        return pa.table({"row": texts.column("row"), **counts, "kept": kept})
 
     listed = cells.applyInArrow(list_runs, _DEALT_DDL)
     answers = listed.groupBy("bucket").applyInArrow(answer, _DEALT_DDL)
@@ -376,16 +380,5 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     """The rows of ``docs``, columns in their order, with repeats cut from the text.
 
     Of a character that is cut in part, nothing stays. Null text becomes empty."""
-    done = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col)
-    at = len(docs.columns) - 1
-
-    def as_text(batches):
-        for b in batches:
-            text = pa.array([k.decode(errors="ignore") for k in b.column(at).to_pylist()], type=pa.string())
-            yield b.set_column(at, b.schema.field(at).with_type(pa.string()), text)
-
-    names = [c for c in docs.columns if c != text_col]
-    flat = done.select(*[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("kept"))
-    text = flat.mapInArrow(as_text, StructType([*flat.schema.fields[:-1], StructField("kept", StringType())]))
-    place = {c: f"c{i}" for i, c in enumerate(names)} | {text_col: "kept"}
-    return text.select(*[F.col(place[c]).alias(c) for c in docs.columns])
+    done = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, as_text=True)
+    return done.select(*[F.col("kept" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])

@@ -59,6 +59,13 @@ def test_html_odd_pages(page, text):
         assert html.main_text(page) == text
 
 
+def test_html_keeps_short_items_of_the_article():
+    items = "".join(f"<li>{w}</li>" for w in ("ink", "paper", "glue"))
+    links = "".join(f"<li><a href=/{n}>Story {n}</a></li>" for n in range(9))
+    page = f"<body><div id=top><ul>{links}</ul></div><div id=main><h3>Kit</h3><p>{PROSE}</p><ul>{items}</ul><p>{PROSE}</p></div><div id=more><ul>{links}</ul></div></body>"
+    assert html.main_text(page) == f"Kit\n{PROSE}\nink\npaper\nglue\n{PROSE}"
+
+
 def test_html_hostile_and_empty(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, None, "", "x"), (3, "u", "<p>" + "long text, it is. " * 20_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
