@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, html, idfiles, merkle, minhash, packing, pii, quality, repeats
+from . import bytebpe, html, idfiles, langid, merkle, minhash, packing, pii, quality, repeats
 from .common import scratch_path
 
 
@@ -54,6 +54,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), langid.fit(_table(spark, sf_dir, "documents")))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_suffix_dedup, op3_packing, op4_html_extraction, op5_fingerprints,
-        op6_byte_bpe, op8_minhash_near_dedup, op9_token_files, op10_pii,
+        op6_byte_bpe, op7_language_id, op8_minhash_near_dedup, op9_token_files, op10_pii,
     )
 }
 #: Fingerprints are hashes and sets, which SQL has. Phrases are cut at a mark that replaces the blanks where one ends,
