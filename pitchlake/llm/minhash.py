@@ -170,6 +170,7 @@ def _likely(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     part, band = table.column("part")[0].as_py(), table.column("band")[0].as_py()
     comp, block = table.column("component").to_numpy(), table.column("block").to_numpy()
     brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), dtype=np.uint8).reshape(len(comp), -1)
+    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
     left, right = np.flatnonzero(block == part["i"]), np.flatnonzero(block == part["j"])
     found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
     names, sizes = np.unique(comp, return_counts=True)
@@ -179,9 +180,9 @@ def _likely(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i in x[comp[x] != main].tolist():
             same = brief[others] == brief[i]
             near = np.flatnonzero((comp[others] != comp[i]) & (same.mean(axis=1) >= LIKELY))
-            same = same[near]
-            here = same.reshape(len(near), 2 * PERMUTATIONS // BAND, BAND).all(axis=2).argmax(axis=1) == band  # the first band that they share
-            found.append((np.full(int(here.sum()), i), others[near[here]], same[here].mean(axis=1)))
+            met = keys[others[near]] == keys[i]  # the full keys, which buckets are made of: this one is among them
+            here = met.argmax(axis=1) == band  # the first band that they share
+            found.append((np.full(int(here.sum()), i), others[near[here]], same[near[here]].mean(axis=1)))
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
@@ -250,7 +251,7 @@ def linked(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col:
     rest = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     pair_up = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     rest = rest.select("key", "band", "doc_id", "component", "block", F.explode(pair_up).alias("part"))
-    rest = rest.join(reps.select("doc_id", "brief"), "doc_id").select("key", "band", "part", "doc_id", "component", "block", "brief")
+    rest = rest.join(reps.select("doc_id", "bands", "brief"), "doc_id").select("key", "band", "part", "doc_id", "component", "block", "bands", "brief")
     likely = written(rest.groupBy("key", "part").applyInArrow(_involved, rest.schema), "likely")
     with_sets = likely.join(sets, "doc_id").select(*likely.columns, "own")
     more = written(with_sets.groupBy("key", "part").applyInArrow(_links(percent), "a long, b long").distinct(), "more")

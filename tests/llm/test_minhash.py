@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitchlake.llm import minhash
@@ -115,6 +116,29 @@ def test_signature_agrees_as_often_as_sets_do():
     assert abs(np.mean(off)) < 0.02
 
 
+def test_pairs_that_share_a_bucket_come_up_in_one():
+    """A band may agree in the signature's short bytes alone; no bucket comes of it, so it must not stand for one that does."""
+    rng = np.random.default_rng(3)
+    n_bands, chance = 2 * minhash.PERMUTATIONS // minhash.BAND, 0
+    for _ in range(1500):
+        one = rng.integers(0, 1 << 32, size=2 * minhash.PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
+        other = np.where(rng.random(len(one)) < 0.75, one, rng.integers(0, 1 << 32, size=len(one), dtype=np.uint64).astype(np.uint32))
+        brief = [(v * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8) for v in (one, other)]
+        keys = [minhash.bands(v) for v in (one, other)]
+        shared = np.flatnonzero(keys[0] == keys[1]).tolist()
+        alike = brief[0] == brief[1]
+        if not shared or alike.mean() < minhash.LIKELY:
+            continue
+        chance += int(alike.reshape(n_bands, minhash.BAND).all(axis=1).argmax()) != shared[0]
+        found = 0
+        for band in shared:
+            columns = {"band": [band] * 2, "part": [{"i": 0, "j": 0}] * 2, "component": [1, 2], "block": [0, 0], "bands": [k.tolist() for k in keys], "brief": [b.tobytes() for b in brief]}
+            a, b, _ = minhash._likely(pa.table(columns))
+            found += len({(min(x), max(x)) for x in zip(a.tolist(), b.tolist())})
+        assert found == 1
+    assert chance
+
+
 def test_sets_follow_ascii_rules():
     assert len(minhash.shingles("a b c d e F")) == 2 and len(minhash.shingles("A b")) == 1
     assert minhash.shingles("A B c d e").tolist() == minhash.shingles("a b C\nd\x0be").tolist()
