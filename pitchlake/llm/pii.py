@@ -5,6 +5,8 @@ data when they pass their checks) and looser ones: national telephone numbers,
 spelled-out addresses, long IP addresses, card-like numbers that fail a check.
 Labelers vote on every candidate or abstain: pattern, plausibility, two
 gazetteers of nearby words (for and against) and the characters around it.
+Looser candidates may overlap: each is judged, and of the accepted ones those
+inside another are left out.
 Expectation-maximisation over the counts of vote patterns, which Spark counts
 over the whole corpus, estimates how reliable each labeler is; a logistic
 classifier of span features is then trained on the resulting probabilities and
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -158,21 +161,37 @@ def unpacked(code: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
 
 
 def candidates(text: str) -> list[tuple[Span, bool, int]]:
-    """(span, whether a fixed pattern, pattern number) by start and kind. Looser ones never overlap fixed ones."""
+    """(span, whether a fixed pattern, pattern number) by start and kind. Looser ones never overlap fixed ones, but may overlap each other."""
     good, bad = base_spans(text)
     loose: list[tuple[Span, bool]] = [(s, True) for s in bad]
     for kind, name in enumerate(KINDS):
         if name in LOOSE and (kind != 0 or "at" in text):
             loose += [((kind, *m.span()), False) for m in LOOSE[name].finditer(text)]
     out = [(s, True, pattern_of(s[0], True, votes(text, s, True, False), text[s[1] : s[2]])) for s in good]
-    taken = [(s[1], s[2]) for s in good]
-    for s, failed in sorted(loose, key=lambda x: (x[0][1], x[0][0])):
-        if all(s[2] <= a or s[1] >= b for a, b in taken):
+    starts, ends = [], []  # of what the fixed ones cover
+    for _, a, b in good:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for s, failed in loose:
+        at = bisect_right(ends, s[1])
+        if at == len(ends) or s[2] <= starts[at]:
             out.append((s, False, pattern_of(s[0], False, votes(text, s, False, failed), text[s[1] : s[2]])))
-            taken.append((s[1], s[2]))
     return sorted(out, key=lambda c: (c[0][1], c[0][0]))
 
 
+def settled(spans: list[Span]) -> list[Span]:
+    """Accepted looser spans without those that lie within another one."""
+    out, last = [], -1
+    for s in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if s[2] > last:
+            out.append(s)
+            last = s[2]
+    return out
+
+
 # -- reliabilities and classifier ------------------------------------------
 
 
@@ -305,7 +324,7 @@ def report(candidates_of: DataFrame, model: SpanModel) -> DataFrame:
                 for d, blob in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist()):
                     table = _table(blob).tolist()
                     base = [(k, s, e) for k, s, e, fixed, _ in table if fixed]
-                    every = [(k, s, e) for k, s, e, fixed, code in table if fixed or accepted(code)]
+                    every = sorted(base + settled([(k, s, e) for k, s, e, fixed, code in table if not fixed and accepted(code)]), key=lambda s: (s[1], s[0]))
                     n = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
                     yield d, *n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), len(every) - len(base)
 

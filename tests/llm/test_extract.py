@@ -136,6 +136,20 @@ def test_method_adds_likely_spans(spark):
     assert all(got[i].n_added == 1 for i in range(60))
 
 
+@pytest.mark.parametrize("text", ["0049 555 123 4567", "001-555-123-4567", "2024-01-05 555-123-4567", "555 123 4567 555 123 4568"])
+def test_phones_inside_longer_runs_are_judged(text):
+    spans = [s for s, fixed, _ in pii.candidates(text) if s[0] == 3 and not fixed]
+    assert spans and spans[-1][2] == len(text)
+    weights = pii.np.zeros(len(pii.KINDS) + 3 * pii.VOTES + 3)
+    weights[3], weights[-1] = 2.0, -1.0  # phones only
+    done = pii.redacted_text(text, pii.SpanModel(weights, pii.np.zeros((2, pii.VOTES, 3))))
+    assert done.endswith("[PHONE]") and "4567" not in done
+
+
+def test_accepted_spans_inside_others_are_left_out():
+    assert pii.settled([(3, 4, 9), (2, 0, 9), (3, 0, 9), (3, 7, 12)]) == [(2, 0, 9), (3, 7, 12)]
+
+
 def test_redaction(spark, hostile, empty):
     model = pii.train([])
     assert pii.redacted_text("to a@b.cd, +1 (555) 010-2030.", model) == "to [EMAIL], [PHONE]."
