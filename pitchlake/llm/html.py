@@ -11,7 +11,9 @@ links and, where only the whole body qualifies, paths below the threshold aside.
 
 Elements that are never article text (scripts, menus, forms, footers, elements
 hidden or named after adverts, notices, comments and the like) weigh nothing and
-are left out inside the article too.
+are left out inside the article too. Where only a word of a longer name says so,
+an element that holds most of the page's text stays. Ids of headings, and of
+sections in an article, say nothing.
 
 Null, empty and tagless html: no tags means that the text is one block. Pages
 without text give the empty string. Unclosed elements end where their parent
@@ -32,9 +34,14 @@ from .common import batched, rows
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: content of these is not parsed
-RAW = frozenset("script style noscript template textarea iframe svg math canvas object audio video".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas object audio video annotation annotation-xml".split())
+#: of these, an unclosed one takes the rest of the page
+RAW_TEXT = frozenset("script style noscript textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mtable mtr mtd mpadded mphantom menclose merror mmultiscripts".split()
+)
 NOT_TEXT = frozenset("head title nav aside form footer button select menu dialog".split())
 #: a word of a class name, id or role that marks what is not the article
 NOT_ARTICLE = frozenset(
@@ -42,6 +49,8 @@ NOT_ARTICLE = frozenset(
     "footer comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended teaser pagination pager toolbar toc copyright legal disclaimer search form masthead".split()
 )
+#: what these mark can hold more text than the article
+OFTEN_LONGER = frozenset("comment comments commentlist reply replies respond disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li td th".split())
 ARTICLES = frozenset(("article", "main"))
@@ -61,10 +70,10 @@ SHARE = 0.6
 
 
 class Element:
-    __slots__ = ("name", "label", "parent", "dead", "selected")
+    __slots__ = ("name", "label", "parent", "dead", "named", "selected")
 
-    def __init__(self, name: str, label: str, parent: "Element | None", dead: bool):
-        self.name, self.label, self.parent, self.dead = name, label, parent, dead
+    def __init__(self, name: str, label: str, parent: "Element | None", dead: bool, named: int = 0):
+        self.name, self.label, self.parent, self.dead, self.named = name, label, parent, dead, named
         self.selected = 0
 
 
@@ -75,23 +84,59 @@ class Block:
         self.element, self.text, self.links, self.path = element, text, links, path
 
 
-def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """(whether the element is never article text, its class words)."""
+def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, int, str]:
+    """(whether the element is never article text, whether its names say so: 2 a whole name, 1 a word of one, its class words)."""
     if name in NOT_TEXT or (name == "header" and not inside_article):
-        return True, ""
+        return True, 0, ""
     words: list[str] = []
-    dead = False
+    dead, named = False, 0
     if attributes and attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
-                words += re.findall(r"[a-z]+", value)
+                own = re.findall(r"[a-z]+", value)
+                words += own
+                # ids of headings and of an article's sections name what they are about
+                if not (key == "id" and (name in HEADINGS or (name == "section" and inside_article))) and NOT_ARTICLE.intersection(own):
+                    named = max(named, 1 + (not NOT_ARTICLE.isdisjoint(value.split()) or not OFTEN_LONGER.isdisjoint(own)))
             elif (key == "hidden" and not m[0].lower().startswith("hidden=\"until")) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 dead = True
-    bad = set(words) & NOT_ARTICLE
-    if not inside_article and not bad and "header" in words:
-        bad = {"header"}
-    return (dead or bool(bad)) and name not in KEPT_ROOTS, " ".join(words)
+    if not inside_article and not named and "header" in words:
+        named = 1
+    if name in KEPT_ROOTS:
+        return False, 0, " ".join(words)
+    return dead, named, " ".join(words)
+
+
+def _spared(blocks: list[Block]) -> list[Block]:
+    """The blocks outside elements that are named as no article is.
+
+    Where only a word of a longer name says so, an element that holds most of the
+    page's text is spared; where nothing is left, so is any that holds most of it."""
+
+    def names(b: Block):
+        e = b.element
+        while e is not None:
+            if e.named:
+                yield e
+            e = e.parent
+
+    def spare(most: int) -> list[Block]:
+        size: dict[int, int] = {}
+        elements: dict[int, Element] = {}
+        total = 0
+        for b in blocks:
+            if all(e.named <= most for e in names(b)):
+                total += len(b.text)
+                for e in names(b):
+                    elements[id(e)] = e
+                    size[id(e)] = size.get(id(e), 0) + len(b.text)
+        for k, n in size.items():
+            if 2 * n > total:
+                elements[k].named = 0
+        return [b for b in blocks if not any(names(b))]
+
+    return spare(1) or spare(2)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -146,7 +191,9 @@ def blocks_of(page: str) -> list[Block]:
                 end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else re.compile(f"</{name}", re.I).search(page, at)
                 end = end if isinstance(end, int) else end.start() if end else -1
                 if end < 0:
-                    break
+                    if name in RAW_TEXT:
+                        break
+                    continue  # only the tag is left out
                 close = page.find(">", end)
                 at = close + 1 if close >= 0 else len(page)
             text.append(" ")
@@ -181,13 +228,13 @@ def blocks_of(page: str) -> list[Block]:
                 elif stack[depth].name in SCOPES:
                     break
         parent = stack[-1]
-        unwanted, words = _unwanted(name, attributes, n_articles > 0)
-        here = Element(name, words, parent, parent.dead or unwanted)
+        unwanted, named, words = _unwanted(name, attributes, n_articles > 0)
+        here = Element(name, words, parent, parent.dead or unwanted, named)
         n_articles += name in ARTICLES
         paths[id(here)] = f"{paths[id(parent)]}/{name}.{words}" if words else f"{paths[id(parent)]}/{name}"
         stack.append(here)
     pop_to(0)
-    return out
+    return _spared(out)
 
 
 def ratios(blocks: list[Block]) -> dict[str, float]:

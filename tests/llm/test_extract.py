@@ -66,6 +66,22 @@ def test_html_keeps_short_items_of_the_article():
     assert html.main_text(page) == f"Kit\n{PROSE}\nink\npaper\nglue\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f'<div class="content-sidebar-wrap"><p>{PROSE}</p></div>', PROSE),
+        (f'<div id="page" class="no-sidebar"><div class="main-col"><p>{PROSE}</p></div><div class="sidebar"><p>Much more. {PROSE} {PROSE}</p></div></div>', PROSE),
+        (f'<div class="content-sidebar-wrap"><div class="no-sidebar"><p>{PROSE}</p></div><div class="cookie-notice">Cookies, too.</div></div>', PROSE),
+        (f'<div class="text"><p>{PROSE}</p></div><div class="comments-area"><p>{PROSE} {PROSE}</p></div>', PROSE),
+        (f'<article><h2 id="legal-history">History</h2><p>{PROSE}</p><section id="related-work"><p>{PROSE}</p></section></article>', f"History\n{PROSE}\n{PROSE}"),
+        (f"<p>{PROSE}</p><svg><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, then. {PROSE}</p>", f"So x=2 , then. {PROSE}"),
+    ],
+)
+def test_html_names_and_unclosed_elements_do_not_take_the_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_hostile_and_empty(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, None, "", "x"), (3, "u", "<p>" + "long text, it is. " * 20_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
