@@ -1,8 +1,9 @@
 """Aggregate-expression builders used inside one ``groupBy().agg(...)``.
 
-All are built-in declarative aggregates, so they get partial (map-side)
-aggregation and whole-stage codegen; ``percentile`` keeps a value->count map
-per group, so its memory grows with distinct values, not with rows.
+Rates and means are built-in declarative aggregates with partial (map-side)
+aggregation and whole-stage codegen. ``iqr`` is ``percentile``, an object-hash
+aggregate with a value->count map per group; feature tables use
+``operators.quantiles`` in its place, which no group can outgrow.
 """
 
 from __future__ import annotations

@@ -1,10 +1,10 @@
-"""Player-year feature aggregates (A2-A16, Q2): one ``groupBy().agg()`` per role.
+"""Player-year feature aggregates.
 
-Each *family* returns a list of aggregate Columns; a role's feature table is
-one aggregate over all families, so every pitch is read once, flags are
-computed once, and the aggregate gets map-side partial aggregation.
-Families are also exposed one by one (``aggregate_families``) so each can be
-checked in isolation.
+Each *family* lists features (:mod:`.measures`) and, when called, gives their
+aggregate Columns. A role's feature table is one aggregate over all families;
+players with too many pitches for a buffer of values get their interquartile ranges
+from value counts (:func:`.measures.aggregated`). The same features are kept as mergeable daily states by :mod:`.season_state`. Families are
+also exposed one by one (``aggregate_families``) so each can be checked in isolation.
 """
 
 from __future__ import annotations
@@ -16,12 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
-from ..functions.aggs import iqr, rate
 from ..functions.clean import optional_double, require_columns
 from .dedupe import PITCH_KEY, dedupe_last
+from .measures import Feature, Iqr, aggregated, difference, given, maximum, mean, nothing, rate, spread
 
 Family = Callable[[DataFrame], list[Column]]
 
+
+def family(listed: Callable[[DataFrame], list[Feature | Iqr]]) -> Family:
+    """Called, the features' aggregate Columns; ``features`` has their definitions."""
+
+    def columns(df: DataFrame) -> list[Column]:
+        return [f.column() for f in listed(df)]
+
+    columns.features = listed
+    columns.__doc__ = listed.__doc__
+    return columns
+
 # Required input columns per role.
 PITCHER_REQUIRED = (
     "pitch_type", "release_speed", "release_spin_rate", "release_extension", "pfx_x", "pfx_z",
@@ -31,6 +42,15 @@ BATTER_REQUIRED = (
     "zone", "description", "launch_speed", "launch_angle", "iso_value",
     "estimated_slg_using_speedangle", "woba_value", "estimated_woba_using_speedangle",
 )
+# Columns that some feature of a role reads where they are there.
+_OPTIONAL = (
+    "game_pk", "at_bat_number", "pitch_number", "type", "description", "zone", "plate_z", "sz_bot", "sz_top", "stand", "bb_type",
+    "launch_speed", "launch_angle", "hc_x", "hc_y", "estimated_woba_using_speedangle", "delta_run_exp", "sprint_speed",
+)
+USED = {
+    "pitcher": tuple(dict.fromkeys(("pitcher", "year", *PITCHER_REQUIRED, *_OPTIONAL))),
+    "batter": tuple(dict.fromkeys(("batter", "year", *BATTER_REQUIRED, *_OPTIONAL))),
+}
 
 
 @dataclass(frozen=True)
@@ -58,56 +78,61 @@ def _in_zone(df: DataFrame) -> Column:
 def discipline_family(prefix: str = "") -> Family:
     """A3: swing / zone-swing / chase / contact / whiff, all over total pitches."""
 
-    def exprs(df: DataFrame) -> list[Column]:
+    @family
+    def listed(df: DataFrame) -> list[Feature]:
         sw, iz, wh = fl.swing(), _in_zone(df), fl.whiff()
         return [
-            rate(sw).alias(f"{prefix}swing_rate"),
-            rate(sw & iz).alias(f"{prefix}zone_swing_rate"),
-            rate(sw & ~iz).alias(f"{prefix}chase_rate"),
-            rate(sw & ~wh).alias(f"{prefix}contact_rate"),
-            rate(wh).alias(f"{prefix}whiff_rate"),
+            rate(f"{prefix}swing_rate", sw),
+            rate(f"{prefix}zone_swing_rate", sw & iz),
+            rate(f"{prefix}chase_rate", sw & ~iz),
+            rate(f"{prefix}contact_rate", sw & ~wh),
+            rate(f"{prefix}whiff_rate", wh),
         ]
 
-    return exprs
+    return listed
 
 
-def zone_family(df: DataFrame) -> list[Column]:
+@family
+def zone_family(df: DataFrame) -> list[Feature]:
     """In-zone rate; edge and meatball rates over zone 1..9."""
     z = F.col("zone").try_cast("double")
     on_grid = z.between(1, 9)
     centre = z.cast("int") == 5
     return [
-        rate(_in_zone(df)).alias("in_zone_rate"),
-        rate(~centre, on_grid).alias("edge_percent"),
-        rate(centre, on_grid).alias("meatball_percent"),
+        rate("in_zone_rate", _in_zone(df)),
+        rate("edge_percent", ~centre, on_grid),
+        rate("meatball_percent", centre, on_grid),
     ]
 
 
-def release_family(df: DataFrame) -> list[Column]:
+@family
+def release_family(df: DataFrame) -> list[Feature | Iqr]:
     """Release speed max; IQRs; extension / vertical movement means."""
     return [
-        F.max("release_speed").alias("release_speed_max"),
-        iqr("release_speed").alias("release_speed_iqr"),
-        iqr("release_spin_rate").alias("release_spin_rate_iqr"),
-        iqr("pfx_x").alias("pfx_x_iqr"),
-        F.avg("release_extension").alias("release_extension_mean"),
-        iqr("release_extension").alias("release_extension_iqr"),
-        F.avg("pfx_z").alias("pfx_z_mean"),
-        iqr("pfx_z").alias("pfx_z_iqr"),
+        maximum("release_speed_max", "release_speed"),
+        Iqr("release_speed_iqr", "release_speed"),
+        Iqr("release_spin_rate_iqr", "release_spin_rate"),
+        Iqr("pfx_x_iqr", "pfx_x"),
+        mean("release_extension_mean", "release_extension"),
+        Iqr("release_extension_iqr", "release_extension"),
+        mean("pfx_z_mean", "pfx_z"),
+        Iqr("pfx_z_iqr", "pfx_z"),
     ]
 
 
-def location_family(df: DataFrame) -> list[Column]:
+@family
+def location_family(df: DataFrame) -> list[Feature]:
     """Plate location mean and population std."""
     return [
-        F.avg("plate_x").alias("plate_x_mean"),
-        F.stddev_pop("plate_x").alias("plate_x_sd"),
-        F.avg("plate_z").alias("plate_z_mean"),
-        F.stddev_pop("plate_z").alias("plate_z_sd"),
+        mean("plate_x_mean", "plate_x"),
+        spread("plate_x_sd", "plate_x"),
+        mean("plate_z_mean", "plate_z"),
+        spread("plate_z_sd", "plate_z"),
     ]
 
 
-def velo_split_family(df: DataFrame) -> list[Column]:
+@family
+def velo_split_family(df: DataFrame) -> list[Feature]:
     """Fastball vs off-speed mean velocity and difference (all NULL if a side is empty).
 
     Junk codes are excluded; missing types are excluded (not counted as off-speed).
@@ -115,112 +140,104 @@ def velo_split_family(df: DataFrame) -> list[Column]:
     pt = F.upper(F.trim(F.col("pitch_type")))
     spd = F.col("release_speed")
     valid = spd.isNotNull() & pt.isNotNull() & ~pt.isin(*fl.JUNK_PITCH_TYPES)
-    fb = valid & pt.isin(*fl.FASTBALL_TYPES)
-    off = valid & ~pt.isin(*fl.FASTBALL_TYPES)
-    both = (F.count(F.when(fb, 1)) > 0) & (F.count(F.when(off, 1)) > 0)
-    fb_m = F.avg(F.when(fb, spd))
-    off_m = F.avg(F.when(off, spd))
-    return [
-        F.when(both, fb_m).alias("fastball_velo_mean"),
-        F.when(both, off_m).alias("offspeed_velo_mean"),
-        F.when(both, fb_m - off_m).alias("velo_differential"),
-    ]
+    fast = mean("fastball_velo_mean", F.when(valid & pt.isin(*fl.FASTBALL_TYPES), spd))
+    off = mean("offspeed_velo_mean", F.when(valid & ~pt.isin(*fl.FASTBALL_TYPES), spd))
+    return [given(fast, off), given(off, fast), difference("velo_differential", fast, off)]
 
 
-def first_pitch_family(df: DataFrame) -> list[Column]:
+@family
+def first_pitch_family(df: DataFrame) -> list[Feature]:
     """First-pitch strike rate over rows with pitch_number 1."""
     if not all(c in df.columns for c in ("pitch_number", "game_pk", "at_bat_number")):
-        return [F.lit(None).cast("double").alias("first_pitch_strike_rate")]
+        return [nothing("first_pitch_strike_rate")]
     first = F.col("pitch_number").try_cast("double") == 1
     strike = fl.first_pitch_strike("type") if "type" in df.columns else fl.first_pitch_strike_by_description()
-    return [rate(strike, first).alias("first_pitch_strike_rate")]
+    return [rate("first_pitch_strike_rate", strike, first)]
 
 
 def platoon_family(suffix_l: str, suffix_r: str, diff_name: str) -> Family:
     """Mean est. wOBA on balls in play vs L and vs R, and L-R (stand S excluded)."""
 
-    def exprs(df: DataFrame) -> list[Column]:
+    @family
+    def listed(df: DataFrame) -> list[Feature]:
         if "estimated_woba_using_speedangle" not in df.columns or "stand" not in df.columns:
-            nul = F.lit(None).cast("double")
-            return [nul.alias(suffix_l), nul.alias(suffix_r), nul.alias(diff_name)]
+            return [nothing(suffix_l), nothing(suffix_r), nothing(diff_name)]
         ls = "launch_speed" if "launch_speed" in df.columns else F.lit(None)
         bip = fl.ball_in_play("description", ls)
         st = fl.stand_code()
         w = F.col("estimated_woba_using_speedangle")
-        lm = F.avg(F.when(bip & (st == "L"), w))
-        rm = F.avg(F.when(bip & (st == "R"), w))
-        return [lm.alias(suffix_l), rm.alias(suffix_r), (lm - rm).alias(diff_name)]
+        left = mean(suffix_l, F.when(bip & (st == "L"), w))
+        right = mean(suffix_r, F.when(bip & (st == "R"), w))
+        return [left, right, difference(diff_name, left, right)]
 
-    return exprs
+    return listed
 
 
 def batted_ball_family(suffix: str = "") -> Family:
     """Ground / line / fly / pop-up rates over non-empty bb_type."""
+    kinds = {"gb_percent": "ground_ball", "ld_percent": "line_drive", "fb_percent": "fly_ball", "iffb_percent": "popup"}
 
-    def exprs(df: DataFrame) -> list[Column]:
+    @family
+    def listed(df: DataFrame) -> list[Feature]:
         if "bb_type" not in df.columns:
-            nul = F.lit(None).cast("double")
-            return [nul.alias(f"{n}{suffix}") for n in ("gb_percent", "ld_percent", "fb_percent", "iffb_percent")]
+            return [nothing(f"{n}{suffix}") for n in kinds]
         bt = fl.bb_type_clean()
-        dom = bt.isNotNull()
-        return [
-            rate(bt == "ground_ball", dom).alias(f"gb_percent{suffix}"),
-            rate(bt == "line_drive", dom).alias(f"ld_percent{suffix}"),
-            rate(bt == "fly_ball", dom).alias(f"fb_percent{suffix}"),
-            rate(bt == "popup", dom).alias(f"iffb_percent{suffix}"),
-        ]
+        return [rate(f"{n}{suffix}", bt == kind, bt.isNotNull()) for n, kind in kinds.items()]
 
-    return exprs
+    return listed
 
 
-def run_value_family(df: DataFrame) -> list[Column]:
+@family
+def run_value_family(df: DataFrame) -> list[Feature]:
     """Optional run-value mean (NULL when the column is absent)."""
-    return [F.avg(optional_double(df, "delta_run_exp")).alias("delta_run_exp_mean")]
+    return [mean("delta_run_exp_mean", optional_double(df, "delta_run_exp"))]
 
 
 def contact_quality_family(params: FeatureParams) -> Family:
     """Barrel and hard-hit rates over batted balls; sweet-spot rate."""
 
-    def exprs(df: DataFrame) -> list[Column]:
+    @family
+    def listed(df: DataFrame) -> list[Feature]:
         hl = fl.has_launch()
         la = F.col("launch_angle")
         return [
-            rate(fl.barrel(spec=params.barrel), hl).alias("barrel_rate"),
-            rate(fl.hard_hit(threshold_mph=params.hard_hit_speed_mph), hl).alias("hard_hit_rate"),
-            rate(la.between(8.0, 32.0), la.isNotNull()).alias("sweet_spot_percent"),
+            rate("barrel_rate", fl.barrel(spec=params.barrel), hl),
+            rate("hard_hit_rate", fl.hard_hit(threshold_mph=params.hard_hit_speed_mph), hl),
+            rate("sweet_spot_percent", la.between(8.0, 32.0), la.isNotNull()),
         ]
 
-    return exprs
+    return listed
 
 
 def spray_family(params: FeatureParams) -> Family:
     """A10: pull / opposite-field rates among valid stand + hit location."""
 
-    def exprs(df: DataFrame) -> list[Column]:
+    @family
+    def listed(df: DataFrame) -> list[Feature]:
         if not all(c in df.columns for c in ("stand", "hc_x", "hc_y")):
-            nul = F.lit(None).cast("double")
-            return [nul.alias("pull_percent"), nul.alias("opposite_field_percent")]
+            return [nothing("pull_percent"), nothing("opposite_field_percent")]
         v = fl.spray_valid()
         t = params.pull_threshold_deg
         return [
-            rate(fl.pulled(threshold_deg=t), v).alias("pull_percent"),
-            rate(fl.opposite(threshold_deg=t), v).alias("opposite_field_percent"),
+            rate("pull_percent", fl.pulled(threshold_deg=t), v),
+            rate("opposite_field_percent", fl.opposite(threshold_deg=t), v),
         ]
 
-    return exprs
+    return listed
 
 
-def batter_means_family(df: DataFrame) -> list[Column]:
+@family
+def batter_means_family(df: DataFrame) -> list[Feature | Iqr]:
     """Batted-ball and outcome means / IQRs."""
     return [
-        F.avg("launch_speed").alias("launch_speed_mean"),
-        iqr("launch_speed").alias("launch_speed_iqr"),
-        F.avg("launch_angle").alias("launch_angle_mean"),
-        iqr("launch_angle").alias("launch_angle_iqr"),
-        F.avg("iso_value").alias("iso_value_mean"),
-        F.avg("estimated_slg_using_speedangle").alias("estimated_slg_using_speedangle_mean"),
-        F.avg("woba_value").alias("woba_value_mean"),
-        F.avg("estimated_woba_using_speedangle").alias("estimated_woba_using_speedangle_mean"),
+        mean("launch_speed_mean", "launch_speed"),
+        Iqr("launch_speed_iqr", "launch_speed"),
+        mean("launch_angle_mean", "launch_angle"),
+        Iqr("launch_angle_iqr", "launch_angle"),
+        mean("iso_value_mean", "iso_value"),
+        mean("estimated_slg_using_speedangle_mean", "estimated_slg_using_speedangle"),
+        mean("woba_value_mean", "woba_value"),
+        mean("estimated_woba_using_speedangle_mean", "estimated_woba_using_speedangle"),
     ]
 
 
@@ -265,6 +282,11 @@ def prepare_role_pitches(
     return df
 
 
+def features_of(df: DataFrame, families: Sequence[Family]) -> list[Feature | Iqr | Column]:
+    """The features of all families in order (plain Columns for families without definitions)."""
+    return [f for fam in families for f in (fam.features(df) if hasattr(fam, "features") else fam(df))]
+
+
 def aggregate_families(
     df: DataFrame,
     keys: Sequence[str],
@@ -272,11 +294,8 @@ def aggregate_families(
     *,
     count_name: str = "n_pitches_total",
 ) -> DataFrame:
-    """One aggregate evaluating every family's expressions."""
-    exprs: list[Column] = [F.count(F.lit(1)).alias(count_name)]
-    for fam in families:
-        exprs.extend(fam(df))
-    return df.groupBy(*keys).agg(*exprs)
+    """Every family's features per key."""
+    return aggregated(df, keys, features_of(df, families), F.count(F.lit(1)).alias(count_name))
 
 
 def pitcher_features(
@@ -289,6 +308,7 @@ def pitcher_features(
     """Q2 for role ``pitcher``: one row per (pitcher, year) with >= min pitches."""
     require_columns(pitches, PITCHER_REQUIRED, "pitcher input")
     df = prepare_role_pitches(pitches, "pitcher", order_cols=order_cols)
+    df = df.select(*[c for c in USED["pitcher"] if c in df.columns])
     fams = pitcher_families()
     vocab = None
     if with_pitch_types:
@@ -321,6 +341,7 @@ def batter_features(
     """
     require_columns(pitches, BATTER_REQUIRED, "batter input")
     df = prepare_role_pitches(pitches, "batter", order_cols=order_cols)
+    df = df.select(*[c for c in USED["batter"] if c in df.columns])
     fams = batter_families(params)
     fams.append(lambda d: [F.count(F.when(fl.has_launch(), 1)).alias("_n_batted")])
     if "sprint_speed" in df.columns:

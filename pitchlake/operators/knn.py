@@ -1,19 +1,21 @@
-"""Exact k-nearest neighbours within cohorts (M14, J6, W2, T-6).
-
-Blocked all-pairs search that never materialises row pairs:
-
-1. rows get a query block ``qb`` and a candidate block ``cb`` from a hash of
-   their id; block counts are chosen per cohort so a block holds about
-   ``query_block`` / ``candidate_block`` rows (bounded groups);
-2. candidate blocks are replicated to every query block of their cohort by an
-   ``explode`` + equi-join on (cohort, qb) -- no cross join;
-3. ``mapInPandas`` computes the distances of one (query block, candidate block)
-   pair with NumPy and keeps the k best per query row (exact: the global top k
-   is contained in the union of per-block top k);
-4. a ``row_number() <= k`` window over (cohort, id) merges the partial lists
-   (Spark plans it as ``WindowGroupLimit`` before the shuffle).
-
-Self-exclusion is by row id; ties are ordered by neighbour id.
+"""Exact k-nearest neighbours within cohorts (M14, J6, W2, T-6), without all pairs.
+
+1. Of rows with one and the same vector only the first k + 1 (by id) can be among
+   anyone's k nearest, since ties go by id; the others only ask (``_counts``).
+2. A cohort with more rows than ``candidate_block`` is split into metric cells
+   (:mod:`.cells`): bounded groups with a centre and a radius.
+3. Every block of queries is searched in its own cell first; the k-th distance found
+   there is a bound for each row.
+4. Blocks go down the tree of cells and are joined only with the cells that the
+   triangle inequality cannot rule out at that bound. Within a pair, rows whose own
+   bound rules the cell out are left aside before any distance is taken.
+5. NumPy computes one pair of blocks at a time, from flat Arrow buffers, and a
+   ``row_number() <= k`` window merges the partial lists (``WindowGroupLimit``).
+
+No row pairs are materialised and no side is broadcast by hint. On clustered data a
+block meets a few cells; where distances tell nothing apart (high dimensions without
+structure) it meets all of them, as any exact search must. Self-exclusion is by row;
+ties are ordered by neighbour id.
 """
 
 from __future__ import annotations
@@ -21,27 +23,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-METRICS = ("minkowski", "euclidean", "manhattan", "chebyshev")
-
+from .cells import SLACK, each_row, in_blocks, matrix, metric_tree, pairwise, sibling_bound, within_bound
 
-def _pairwise(q: np.ndarray, c: np.ndarray, metric: str, p: float) -> np.ndarray:
-    """Distance matrix |q| x |c| computed in row chunks (bounded memory)."""
-    out = np.empty((q.shape[0], c.shape[0]))
-    step = max(1, int(4_000_000 // max(1, c.shape[0] * max(1, c.shape[1]))))
-    for s in range(0, q.shape[0], step):
-        diff = np.abs(q[s:s + step, None, :] - c[None, :, :])
-        if metric == "euclidean" or (metric == "minkowski" and p == 2):
-            out[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        elif metric == "manhattan" or (metric == "minkowski" and p == 1):
-            out[s:s + step] = diff.sum(axis=2)
-        elif metric == "chebyshev":
-            out[s:s + step] = diff.max(axis=2)
-        else:
-            out[s:s + step] = np.power(np.power(diff, p).sum(axis=2), 1.0 / p)
-    return out
+METRICS = ("minkowski", "euclidean", "manhattan", "chebyshev")
 
 
 def top_k_per_row(dist: np.ndarray, cand_ids: np.ndarray, k: int):
@@ -68,43 +56,66 @@ def top_k_per_row(dist: np.ndarray, cand_ids: np.ndarray, k: int):
     return r[keep], c[keep], d[keep]
 
 
-def block_pairs(
-    base: DataFrame,
-    ck: Sequence[str],
-    *,
-    query_block: int = 1024,
-    candidate_block: int = 4096,
-    payload: Sequence[str] = ("_id", "_v"),
-    queries: Column | None = None,
-) -> DataFrame:
-    """(cohort..., _qb, _q, _cb, _c): every query block paired with every candidate
-    block of its cohort. Blocks are bounded lists of ``struct(payload)``. ``queries``
-    restricts the query side, and with it the candidate blocks that are paired."""
-    ck = list(ck)
-    sizes = base.groupBy(*ck).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(
-        *ck,
-        F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(query_block))).cast("int").alias("_bq"),
-        F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(candidate_block))).cast("int").alias("_bc"),
-    )
-    if ck:
-        rows = base.join(sizes, ck, "inner")
-    else:
-        one = sizes.first()
-        if one is None:
-            rows = base.withColumn("_bq", F.lit(1)).withColumn("_bc", F.lit(1))
-        else:
-            rows = base.withColumn("_bq", F.lit(one["_bq"])).withColumn("_bc", F.lit(one["_bc"]))
-    rows = rows.withColumn("_qb", F.pmod(F.xxhash64(F.col("_id")), F.col("_bq")).cast("int")).withColumn(
-        "_cb", F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.col("_bc")).cast("int"))
-    item = F.struct(*[F.col(c) for c in payload])
-    q_blocks = (rows if queries is None else rows.where(queries)).groupBy(*ck, "_qb").agg(F.collect_list(item).alias("_q"))
-    c_blocks = (
-        rows.groupBy(*ck, "_cb", "_bq").agg(F.collect_list(item).alias("_c"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_bq") - 1)))
-        .drop("_bq")
-    )
-    return q_blocks.join(c_blocks, [*ck, "_qb"], "inner")
+def _search(k: int, metric: str, p: float, names: Sequence[str], schema: pa.Schema):
+    """Partial top k of each pair of a query block (_id, _copy, _v, _tau) and a cell (c_id, c_copy, c_v, _centre, _radius)."""
+
+    def run(batches):
+        for r in each_row(batches):
+            ids, copies, q = r["_id"].values, np.asarray(r["_copy"].values), matrix(r["_v"].values)
+            c_ids, c_copies, c = r["c_id"].values, np.asarray(r["c_copy"].values), matrix(r["c_v"].values)
+            at, tau = np.arange(len(q)), None
+            if r["_centre"].is_valid:  # not the block's own cell
+                tau, radius = np.asarray(r["_tau"].values), r["_radius"].as_py()
+                away = pairwise(q, matrix(pa.array([r["_centre"].as_py()])), metric, p)[:, 0]
+                at = np.flatnonzero(away - radius - SLACK * (1 + away + radius) <= tau)
+            if not len(at) or not len(c):
+                continue
+            d = pairwise(q[at], c, metric, p)
+            mine, theirs = ids.to_numpy(zero_copy_only=False), c_ids.to_numpy(zero_copy_only=False)
+            d[(mine[at][:, None] == theirs[None, :]) & (copies[at][:, None] == c_copies[None, :])] = np.inf  # the row itself
+            if tau is not None:
+                d[d > tau[at][:, None]] = np.inf
+            i, j, found = top_k_per_row(d, theirs, k)
+            if len(i):
+                rows = at[i]
+                cols = [pa.repeat(r[n], len(i)) for n in names]
+                cols += [ids.take(pa.array(rows)), pa.array(copies[rows]), c_ids.take(pa.array(j)), pa.array(c_copies[j]), pa.array(found)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema)], schema=schema)
+
+    return run
+
+
+def _arrow_schema(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
+
+
+def cell_pairs(own: DataFrame, queries: DataFrame, nodes: DataFrame, ck: Sequence[str], k: int, metric: str, p: float, query_block: int):
+    """Query blocks with their bounds, and the (block, cell) pairs beyond the own cell that have to be searched."""
+    from ..session import cut_lineage
+
+    least = F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf")))
+    tau = own.groupBy(*ck, "_id", "_copy").agg(least.alias("_tau"))
+    bounded = queries.join(tau, [*ck, "_id", "_copy"], "left").withColumn("_tau", F.coalesce("_tau", F.lit(float("inf"))))
+    blocks = in_blocks(bounded.where(F.col("_node") != ""), [*ck, "_node"], query_block, ["_id", "_copy", "_v", "_tau"],
+                       F.max("_reach").alias("_r"), F.max("_tau").alias("_t"))
+    blocks = cut_lineage(blocks.withColumn("_head", F.struct(F.col("_node").alias("node"), F.col("_qb").alias("qb"))))
+    heads = blocks.select(*ck, "_node", "_head", F.col("_r").alias("_reach"), F.col("_t").alias("_tau"))
+    heads = heads.join(nodes.select(*ck, "_node", "_centre"), [*ck, "_node"])
+    heads = sibling_bound(nodes, heads, ck, k, metric, p)
+    pairs = within_bound(nodes, heads, ck, metric, p).where(F.col("_head.node") != F.col("_node"))
+    return blocks, cut_lineage(pairs)
+
+
+def _beyond(blocks: DataFrame, pairs: DataFrame, cells: DataFrame, nodes: DataFrame, ck: Sequence[str], at_once: int = 64) -> DataFrame:
+    """Each pair with its block and its cell. A cell that many blocks ask for is copied once for every ``at_once`` of them."""
+    asked = pairs.groupBy(*ck, "_node").agg(F.ceil(F.count(F.lit(1)) / F.lit(at_once)).cast("int").alias("_copies"))
+    dealt = pairs.join(asked, [*ck, "_node"]).withColumn("_salt", F.pmod(F.xxhash64("_head"), F.col("_copies")).cast("int"))
+    copied = cells.join(asked, [*ck, "_node"]).join(nodes.select(*ck, "_node", "_centre", "_radius"), [*ck, "_node"])
+    copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    sent = dealt.drop("_copies").join(copied, [*ck, "_node", "_salt"]).drop("_node", "_salt")
+    return sent.join(blocks.select(*ck, "_head", "_id", "_copy", "_v", "_tau"), [*ck, "_head"])
 
 
 def knn(
@@ -118,59 +129,54 @@ def knn(
     cohort: Sequence[str] = (),
     query_block: int = 1024,
     candidate_block: int = 4096,
+    fan: int = 32,
     only_ids: Sequence | None = None,
 ) -> DataFrame:
     """(cohort..., id, neighbor_rank, neighbor_id, distance) with k_eff = min(k, n-1) rows per id.
 
-    ``only_ids`` searches for these ids alone, among all rows."""
+    ``only_ids`` searches for these ids alone, among all rows. Cells hold at most
+    ``candidate_block`` rows that can be neighbours (k + 1 at least)."""
     if k < 1:
         raise ValueError("k must be >= 1")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if metric == "minkowski" and p < 1:
         raise ValueError("minkowski p must be >= 1")
-    ck = list(cohort)
-    id_type = df.schema[id_col].dataType.simpleString()
+    kk, pp = int(k), float(p)
+    names = list(cohort)
+    ck = names or ["_all"]
+    df = df if names else df.withColumn("_all", F.lit(0))
     vector = F.col(vec_col).cast("array<double>")
     # rows that share an id are told apart by a number, so only the row itself is left out
     copies = Window.partitionBy(*ck, id_col).orderBy(vector)
     base = df.select(*ck, F.col(id_col).alias("_id"), F.row_number().over(copies).alias("_copy"), vector.alias("_v"))
-    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block, payload=("_id", "_copy", "_v"),
-                        queries=None if only_ids is None else F.col("_id").isin(*only_ids))
-
-    out_schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck]
-                           + [f"{id_col} {id_type}", "_copy int", f"neighbor_id {id_type}", "_ncopy int", "distance double"])
-    kk, met, pp = int(k), metric, float(p)
-
-    def block_topk(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                qs, cs = row["_q"], row["_c"]
-                if len(qs) == 0 or len(cs) == 0:
-                    continue
-                qid = np.array([x["_id"] for x in qs])
-                cid = np.array([x["_id"] for x in cs])
-                qv = np.array([x["_v"] for x in qs], dtype=float)
-                cv = np.array([x["_v"] for x in cs], dtype=float)
-                dist = _pairwise(qv, cv, met, pp)
-                qn, cn = (np.array([x["_copy"] for x in side]) for side in (qs, cs))
-                dist[(qid[:, None] == cid[None, :]) & (qn[:, None] == cn[None, :])] = np.inf  # the row itself
-                rows_i, cols_i, dd = top_k_per_row(dist, cid, kk)
-                if len(rows_i) == 0:
-                    continue
-                rec_q, rec_n, rec_d = qid[rows_i].tolist(), cid[cols_i].tolist(), dd.tolist()
-                data = {c: [row[c]] * len(rec_q) for c in ck}
-                data.update({id_col: rec_q, "_copy": qn[rows_i], "neighbor_id": rec_n, "_ncopy": cn[cols_i], "distance": rec_d})
-                yield pd.DataFrame(data)
-
-    partial = pairs.mapInPandas(block_topk, out_schema)
-    w = Window.partitionBy(*ck, id_col, "_copy").orderBy("distance", "neighbor_id", "_ncopy")
+    same = F.row_number().over(Window.partitionBy(*ck, "_v").orderBy("_id", "_copy"))
+    base = base.withColumn("_rank", same).withColumn("_counts", F.col("_rank") <= kk + 1).withColumn("_first", F.col("_rank") == 1).drop("_rank")
+    placed, nodes = metric_tree(base, ck, most=max(candidate_block, kk + 1), fan=fan, block=query_block, metric=metric, p=pp)
+
+    queries = placed if only_ids is None else placed.where(F.col("_id").isin(*only_ids))
+    cells = placed.where("_counts").groupBy(*ck, "_node").agg(F.collect_list(F.struct("_id", "_copy", "_v")).alias("_c"))
+    cells = cells.select(*ck, "_node", F.col("_c._id").alias("c_id"), F.col("_c._copy").alias("c_copy"), F.col("_c._v").alias("c_v"))
+    blocks = in_blocks(queries, [*ck, "_node"], query_block, ["_id", "_copy", "_v"])
+    asked = blocks.select(*ck, "_node", "_bq").distinct()
+    dealt = cells.join(asked, [*ck, "_node"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_bq") - 1))).drop("_bq")
+    at_home = blocks.drop("_bq").join(dealt, [*ck, "_node", "_qb"])
+    nothing = F.lit(None)
+    at_home = at_home.withColumns({"_tau": nothing.cast("array<double>"), "_centre": nothing.cast("array<double>"), "_radius": nothing.cast("double")})
+    shape = base.select(*ck, "_id", "_copy", F.col("_id").alias("neighbor_id"), F.col("_copy").alias("_ncopy"), F.lit(0.0).alias("distance"))
+    search = _search(kk, metric, pp, ck, _arrow_schema(shape))
+    partial = at_home.mapInArrow(search, shape.schema)
+    if nodes is not None:
+        from ..session import cut_lineage
+
+        partial = cut_lineage(partial)
+        held, pairs = cell_pairs(partial, queries, nodes, ck, kk, metric, pp, query_block)
+        partial = partial.unionByName(_beyond(held, pairs, cells, nodes, ck).mapInArrow(search, shape.schema))
+    w = Window.partitionBy(*ck, "_id", "_copy").orderBy("distance", "neighbor_id", "_ncopy")
     return (
         partial.withColumn("neighbor_rank", F.row_number().over(w))
         .where(F.col("neighbor_rank") <= kk)
-        .select(*ck, id_col, "neighbor_rank", "neighbor_id", "distance")
+        .select(*names, F.col("_id").alias(id_col), "neighbor_rank", "neighbor_id", "distance")
     )
 
 

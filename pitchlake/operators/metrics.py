@@ -3,10 +3,11 @@
 * Davies-Bouldin: centroids and scatters are grouped aggregates; the small
   cluster x cluster step runs with SQL higher-order functions over the per-cohort
   list of centroids (bounded by the number of clusters), no join of clusters.
-* Silhouette (plain Euclidean, unlike ``ClusteringEvaluator``): blocked like
-  the KNN search -- per (query block, candidate block) NumPy computes distance
-  sums per (row, candidate cluster); one grouped sum merges them. No row pairs
-  are emitted.
+* Silhouette (plain Euclidean, unlike ``ClusteringEvaluator``) needs the distance
+  sum of every row to every cluster, so every pair of blocks is met once -- for any
+  number of labellings at a time: NumPy computes a block pair's distances and
+  multiplies them with the labellings' membership matrices. One grouped sum merges
+  the blocks. No row pairs are emitted.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import _pairwise, block_pairs
+from .cells import each_row, in_blocks, matrix, pairwise
 
 
 def _vec(c: str):
@@ -64,74 +66,88 @@ def davies_bouldin(df: DataFrame, vec_col: str, label_col: str, cohort: Sequence
     return grouped.select(*ck, F.when(n >= 2, db).alias("davies_bouldin"), n.alias("n_clusters"))
 
 
-def silhouette(
+def _distance_sums(names: Sequence[str], schema: pa.Schema):
+    """Distance sums and counts of each row to each cluster of each labelling, for one pair of blocks at a time."""
+
+    def run(batches):
+        for r in each_row(batches):
+            ids = r["_id"].values
+            own = matrix(r["_ls"].values).astype(np.int64)
+            theirs = matrix(r["c_ls"].values).astype(np.int64)
+            d = pairwise(matrix(r["_v"].values), matrix(r["c_v"].values), "euclidean", 2.0)
+            same = ids.to_numpy(zero_copy_only=False)[:, None] == r["c_id"].values.to_numpy(zero_copy_only=False)[None, :]
+            d[same] = 0.0
+            n = len(ids)
+            for labelling in range(theirs.shape[1]):
+                labels, at = np.unique(theirs[:, labelling], return_inverse=True)
+                member = np.zeros((len(at), len(labels)))
+                member[np.arange(len(at)), at] = 1.0
+                sums, counts = d @ member, member.sum(axis=0)[None, :] - same @ member
+                cols = [pa.repeat(r[c], n * len(labels)) for c in names]
+                cols += [ids.take(pa.array(np.repeat(np.arange(n), len(labels)))), pa.repeat(labelling, n * len(labels))]
+                cols += [pa.array(x) for x in (np.repeat(own[:, labelling], len(labels)), np.tile(labels, n), sums.ravel(), counts.ravel())]
+                out = pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema)], schema=schema)
+                yield out.filter(pa.array(counts.ravel() > 0))
+
+    return run
+
+
+def silhouettes(
     df: DataFrame,
     *,
     id_col: str,
     vec_col: str,
-    label_col: str,
+    label_cols: Sequence[str],
     cohort: Sequence[str] = (),
     query_block: int = 1024,
     candidate_block: int = 4096,
 ) -> DataFrame:
-    """(cohort..., silhouette, n_rows, n_clusters): mean Euclidean silhouette; singleton
-    clusters score 0; NULL unless 2 <= clusters <= n - 1."""
-    ck = list(cohort)
-    global_only = not ck
-    if global_only:  # one implicit cohort; keeps every join an equi-join
-        df = df.withColumn("_all", F.lit(0))
-        ck = ["_all"]
-    base = df.select(*ck, F.col(id_col).alias("_id"), _vec(vec_col).alias("_v"), F.col(label_col).cast("long").alias("_l"))
-    pairs = block_pairs(base, ck, query_block=query_block, candidate_block=candidate_block, payload=("_id", "_v", "_l"))
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in ck]
-                       + [f"_id {id_type}", "_own long", "_other long", "_sum double", "_cnt long"])
-
-    def partial_sums(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                qs, cs = row["_q"], row["_c"]
-                if len(qs) == 0 or len(cs) == 0:
-                    continue
-                qid = np.array([x["_id"] for x in qs])
-                ql = np.array([x["_l"] for x in qs], dtype=np.int64)
-                cid = np.array([x["_id"] for x in cs])
-                cl = np.array([x["_l"] for x in cs], dtype=np.int64)
-                d = _pairwise(np.array([x["_v"] for x in qs], dtype=float), np.array([x["_v"] for x in cs], dtype=float), "euclidean", 2.0)
-                notself = qid[:, None] != cid[None, :]
-                labels = np.unique(cl)
-                out_id, out_own, out_oth, out_sum, out_cnt = [], [], [], [], []
-                for lab in labels:
-                    m = (cl == lab)[None, :] & notself
-                    s = np.where(m, d, 0.0).sum(axis=1)
-                    c = m.sum(axis=1)
-                    keep = c > 0
-                    out_id.extend(qid[keep].tolist())
-                    out_own.extend(ql[keep].tolist())
-                    out_oth.extend([int(lab)] * int(keep.sum()))
-                    out_sum.extend(s[keep].tolist())
-                    out_cnt.extend(c[keep].tolist())
-                if out_id:
-                    data = {c: [row[c]] * len(out_id) for c in ck}
-                    data.update({"_id": out_id, "_own": out_own, "_other": out_oth, "_sum": out_sum, "_cnt": out_cnt})
-                    yield pd.DataFrame(data)
-
-    sums = pairs.mapInPandas(partial_sums, schema).groupBy(*ck, "_id", "_own", "_other").agg(
-        (F.sum("_sum") / F.sum("_cnt")).alias("_mean"))
-    per_row = sums.groupBy(*ck, "_id", "_own").agg(
+    """(cohort..., labelling, silhouette, n_rows, n_clusters): the mean Euclidean silhouette of each label column, all in
+    one pass over the distances. Singleton clusters score 0; NULL unless 2 <= clusters <= n - 1."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = list(cohort)
+    ck = names or ["_all"]  # one implicit cohort; keeps every join an equi-join
+    df = df if names else df.withColumn("_all", F.lit(0))
+    labels = F.array(*[F.col(c).cast("long") for c in label_cols])
+    base = df.select(*ck, F.col(id_col).alias("_id"), F.lit(0).alias("_copy"), _vec(vec_col).alias("_v"), labels.alias("_ls"))
+    ask = in_blocks(base, ck, query_block, ["_id", "_v", "_ls"])
+    held = in_blocks(base, ck, candidate_block, ["_id", "_v", "_ls"]).drop("_bq", "_qb")
+    held = held.withColumnsRenamed({"_id": "c_id", "_v": "c_v", "_ls": "c_ls"}).join(ask.select(*ck, "_bq").distinct(), ck)
+    held = held.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_bq") - 1))).drop("_bq")
+    pairs = ask.drop("_bq").join(held, [*ck, "_qb"])
+    shape = base.select(*ck, "_id", F.lit(0).alias("_labelling"), F.lit(0).cast("long").alias("_own"), F.lit(0).cast("long").alias("_other"),
+                        F.lit(0.0).alias("_sum"), F.lit(0).cast("long").alias("_cnt"))
+    sums = pairs.mapInArrow(_distance_sums(ck, to_arrow_schema(shape.schema)), shape.schema)
+    means = sums.groupBy(*ck, "_id", "_labelling", "_own", "_other").agg((F.sum("_sum") / F.sum("_cnt")).alias("_mean"))
+    per_row = means.groupBy(*ck, "_id", "_labelling", "_own").agg(
         F.max(F.when(F.col("_other") == F.col("_own"), F.col("_mean"))).alias("_a"),
         F.min(F.when(F.col("_other") != F.col("_own"), F.col("_mean"))).alias("_b"),
     )
     s = F.when(F.col("_a").isNull(), F.lit(0.0)).otherwise(
         (F.col("_b") - F.col("_a")) / F.greatest(F.col("_a"), F.col("_b")))
-    sizes = base.groupBy(*ck).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_l").alias("n_clusters"))
-    agg = per_row.withColumn("_s", s).groupBy(*ck).agg(F.avg("_s").alias("_sil"))
-    joined = sizes.join(agg, ck, "left")
+    each = base.select(*ck, F.posexplode("_ls").alias("_labelling", "_l"))
+    sizes = each.groupBy(*ck, "_labelling").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_l").alias("n_clusters"))
+    agg = per_row.withColumn("_s", s).groupBy(*ck, "_labelling").agg(F.avg("_s").alias("_sil"))
+    joined = sizes.join(agg, [*ck, "_labelling"], "left")
     valid = (F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_rows") - 1)
-    out_keys = [] if global_only else ck
-    return joined.select(*out_keys, F.when(valid, F.col("_sil")).alias("silhouette"), "n_rows", "n_clusters")
+    name = F.element_at(F.array(*[F.lit(c) for c in label_cols]), F.col("_labelling") + 1)
+    return joined.select(*names, name.alias("labelling"), F.when(valid, F.col("_sil")).alias("silhouette"), "n_rows", "n_clusters")
+
+
+def silhouette(
+    df: DataFrame,
+    *,
+    id_col: str,
+    vec_col: str,
+    label_col: str,
+    cohort: Sequence[str] = (),
+    query_block: int = 1024,
+    candidate_block: int = 4096,
+) -> DataFrame:
+    """(cohort..., silhouette, n_rows, n_clusters) of one label column (see :func:`silhouettes`)."""
+    return silhouettes(df, id_col=id_col, vec_col=vec_col, label_cols=[label_col], cohort=cohort,
+                       query_block=query_block, candidate_block=candidate_block).drop("labelling")
 
 
 def cluster_profiles(df: DataFrame, feature_cols: Sequence[str], label_col: str, cohort: Sequence[str] = ()) -> DataFrame:

@@ -22,10 +22,14 @@ def _clamp_k(k_min: int, k_max: int, n: int) -> range:
     return range(k_min, k_max + 1)
 
 
-def _quality(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[float | None, float | None]:
-    sil = mt.silhouette(df, id_col=id_col, vec_col=vec_col, label_col=label_col).first()["silhouette"]
-    db = mt.davies_bouldin(df, vec_col, label_col).first()["davies_bouldin"]
-    return sil, db
+def _quality(labelled: DataFrame, id_col: str, vec_col: str, label_of: dict[int, str], n: int) -> dict[int, tuple[float | None, float | None]]:
+    """Silhouette and Davies-Bouldin per k, from one pass over the distances for all k. None unless 2 <= k < n."""
+    label_of = {k: c for k, c in label_of.items() if 2 <= k < n}
+    if not label_of:
+        return {}
+    found = mt.silhouettes(labelled, id_col=id_col, vec_col=vec_col, label_cols=list(label_of.values())).collect()  # a row for each k
+    silhouette = {r["labelling"]: r["silhouette"] for r in found}
+    return {k: (silhouette[c], mt.davies_bouldin(labelled, vec_col, c).first()["davies_bouldin"]) for k, c in label_of.items()}
 
 
 def kmeans_sweep(df: DataFrame, *, id_col: str, vec_col: str, k_min: int, k_max: int, seed: int = 42, n_init: int = 1) -> list[dict]:
@@ -37,13 +41,15 @@ def kmeans_sweep(df: DataFrame, *, id_col: str, vec_col: str, k_min: int, k_max:
     n = data.count()
     ks = list(_clamp_k(k_min, k_max, n))
     fits = mx.fit_kmeans(data, "_v", ks, n_init=n_init, seed=seed, checkpoint=False)
+    labelled = data
+    for k in ks:
+        labelled = mx.assign_nearest(labelled, "_v", {(): fits[((), k)][0]}, out_col=f"_k{k}")
+    labelled = cut_lineage(labelled)
+    quality = _quality(labelled, id_col, "_v", {k: f"_k{k}" for k in ks}, n)
     out = []
     for k in ks:
-        centres, inertia = fits[((), k)]
-        lab = mx.assign_nearest(data, "_v", {(): centres}, out_col="_cluster").persist()
-        sil, db = _quality(lab, id_col, "_v", "_cluster") if k >= 2 and n > k else (None, None)
-        lab.unpersist()
-        out.append({"k": k, "inertia": float(inertia), "silhouette": sil, "davies_bouldin": db})
+        sil, db = quality.get(k, (None, None))
+        out.append({"k": k, "inertia": float(fits[((), k)][1]), "silhouette": sil, "davies_bouldin": db})
     return out
 
 
@@ -59,13 +65,16 @@ def gmm_sweep(
     n = data.count()
     ks = list(_clamp_k(k_min, k_max, n))
     fits = mx.fit_mixtures(data, "_v", ks, covariance_type=covariance_type, n_init=n_init, seed=seed, checkpoint=False)
+    labelled = data
+    for k in ks:
+        labelled = mx.predict(labelled, "_v", {(): fits[((), k)]}, out_col=f"_k{k}")
+    labelled = cut_lineage(labelled)
+    quality = _quality(labelled, id_col, "_v", {k: f"_k{k}" for k in ks}, n)
     out = []
     for k in ks:
         models = {(): fits[((), k)]}
-        lab = mx.predict(data, "_v", models, out_col="_cluster").persist()
         s = mx.score(data, "_v", models).first()
-        sil, db = _quality(lab, id_col, "_v", "_cluster") if k >= 2 and n > k else (None, None)
-        lab.unpersist()
+        sil, db = quality.get(k, (None, None))
         out.append({"k": k, "gmm_aic": s["aic"], "gmm_bic": s["bic"], "gmm_lower_bound": models[()].lower_bound,
                     "silhouette": sil, "davies_bouldin": db})
     return out

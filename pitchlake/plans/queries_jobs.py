@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import enrich as en
 from ..operators import features as ft
+from ..operators import season_state as ss
 from ..operators.dedupe import dedupe_last
 from ..session import ensure_checkpoint_dir
 from ..sources import lake, landing
@@ -137,3 +139,29 @@ register(
     "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS name FROM part WHERE p_partkey % 4 <> 0 AND p_name IS NOT NULL",
 )(lambda spark, d: landing.framing_rows(
     fx.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("name"))))
+
+
+# Deliveries (a month each) one after the other, one of them stale and delivered anew after later ones; the
+# features are merged from the stored states, and the pitches of months that a delivery does not touch are not read again
+register(
+    "season_state",
+    f"""{P}, {dedup_cte('pitcher')}, {flags_cte()}
+SELECT pitcher AS player_id, year, 'pitcher' AS role, COUNT(*) AS n_pitches_total, {_PITCHER_SELECT}
+FROM f GROUP BY pitcher, year HAVING COUNT(*) >= {PARAMS.min_pitches_pitcher}""",
+)(lambda spark, d: season_state(spark, d))
+
+
+def season_state(spark, d):
+    src = fx.pitches(spark, d).where(F.col("pitcher").isNotNull()).withColumn("date", F.trunc("game_date", "month").cast("string"))
+    bronze, states = _folder(spark, "bronze"), _folder(spark, "states")
+    wrong = F.col("date") == "1997-06-01"
+    stale = src.where(~wrong | (F.col("row_tiebreak") % 3 != 0)).withColumn("release_speed", F.when(wrong, F.col("release_speed") + 9).otherwise(F.col("release_speed")))
+
+    def read_days(days):
+        return lake.read_bronze_range(spark, bronze, min(days), max(days)).where(F.col("date").cast("date").isin(list(days)))
+
+    for part in (stale.where("year <= 1997"), src.where("year > 1997"), src.where(wrong)):
+        lake.write_partitioned(part, bronze, ("year", "date"))
+        landed = [dt.date.fromisoformat(r[0]) for r in part.select("date").distinct().collect()]
+        ss.update(spark, states, "pitcher", read_days, landed, PARAMS)
+    return finalize(ss.season(spark, states, "pitcher", dt.date(1995, 1, 1), dt.date(2001, 12, 31), PARAMS, pitches_like=src))

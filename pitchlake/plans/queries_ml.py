@@ -147,6 +147,24 @@ SELECT label, vec_id, neighbor_rank, neighbor_id, ROUND(distance, 9) AS distance
     .select("label", "vec_id", F.col("neighbor_rank").cast("bigint").alias("neighbor_rank"), "neighbor_id", "distance"), 9))
 
 
+# KNN through metric cells: more rows than a cell holds, whole coordinates (ties are exact and go by id) -----------------
+register(
+    "knn_cells",
+    """WITH e AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(FLOOR(p_retailprice / 10) AS DOUBLE) AS y FROM part),
+p AS (SELECT a.p_partkey, b.p_partkey AS neighbor_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
+      FROM e a JOIN e b ON a.p_partkey <> b.p_partkey),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY distance, neighbor_id) AS neighbor_rank FROM p)
+SELECT p_partkey, neighbor_rank, neighbor_id, ROUND(distance, 9) AS distance FROM r WHERE neighbor_rank <= 5""",
+)(lambda spark, d: _knn_cells(spark, d))
+
+
+def _knn_cells(spark, d):
+    place = F.array(F.col("p_size").cast("double"), F.floor(F.col("p_retailprice") / 10).cast("double"))
+    rows = fx.table(spark, d, "part").select("p_partkey", place.alias("v"))
+    got = knn_ops.knn(rows, id_col="p_partkey", vec_col="v", k=5, metric="euclidean", candidate_block=512, query_block=256)
+    return finalize(got.withColumn("neighbor_rank", F.col("neighbor_rank").cast("bigint")), 9)
+
+
 # M9 / M10 / M13 / M16-M19 / T-5 (rows only; checked against NumPy in the unit tests) -----
 def _emb_pca(spark, d, n_components=8):
     wide, cols = _emb_features(spark, d)

@@ -340,3 +340,21 @@ def min_slice(spark, sf_dir, min_pitches: int | None = None):
     if min_pitches is not None:
         out = out.where(F.col("n_pitches_total") >= min_pitches)
     return finalize(out)
+
+# A8 where a group's values do not fit in one buffer: three groups of thousands of distinct values go by ranks ---------
+_TENTHS = (0.1, 0.25, 0.5, 0.9)
+register(
+    "quantiles_by_rank",
+    f"""SELECT l_returnflag, l_linestatus, COUNT(l_extendedprice) AS n, {", ".join(
+        f"{r(f'quantile_cont(CAST(l_extendedprice AS DOUBLE), {p})', 6)} AS q{round(100 * p)}" for p in _TENTHS)}
+FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)(lambda spark, d: _quantiles_by_rank(spark, d))
+
+
+def _quantiles_by_rank(spark, d):
+    from ..operators import quantiles as qt
+
+    keys = ["l_returnflag", "l_linestatus"]
+    counts = qt.value_counts(fx.table(spark, d, "lineitem"), keys, {"price": "l_extendedprice"})
+    got = qt.quantiles_of_counts(counts, keys, _TENTHS, most=1000)
+    return finalize(got.select(*keys, "n", *[F.col("quantiles")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(_TENTHS)]), 6)
