@@ -494,6 +494,48 @@ def fit_mixture(df: DataFrame, vec_col: str, k: int, **kwargs) -> dict[tuple, Mi
     return {key: m for (key, _k), m in fit_mixtures(df, vec_col, [k], **kwargs).items()}
 
 
+def fit_from(
+    df: DataFrame,
+    vec_col: str,
+    start: dict[tuple, Mixture],
+    passes: int,
+    *,
+    cohort: Sequence[str] = (),
+    reg_covar: float = 1e-6,
+    checkpoint: bool = True,
+) -> DataFrame:
+    """EM from given parameters for a given number of passes, as rows.
+
+    (cohort..., step, component, weight, mean, covariance, mean_log_likelihood): step 0 is the start, step s the
+    parameters after s passes; the likelihood is that of the row's own parameters. ``covariance`` is flat: d x d
+    numbers for full and tied, d for diag, one for spherical. Nothing is drawn, so a fit can be continued from a
+    saved model and followed step by step. One job a pass for all cohorts; cohorts without a start are left out."""
+    if passes < 0:
+        raise ValueError(f"passes must be 0 or more; got {passes}")
+    kinds = {m.covariance_type for m in start.values()}
+    if len(kinds) != 1:
+        raise ValueError(f"one covariance type for all cohorts; got {sorted(kinds)}")
+    kind, ck = kinds.pop(), list(cohort)
+    base, origins = _prepare(df, vec_col, ck, checkpoint, "mixture fitting")
+    keys = [key for key in start if key in origins]
+    d = len(next(iter(origins.values())))
+    runs = {(key, 0): _Run(Mixture(kind, start[key].weights, start[key].means - origins[key], start[key].covariances)) for key in keys}
+    rows = []
+    for step in range(passes + 1):
+        stats = _collect_stats(base, ck, runs, d, kind, hard_centers=False)
+        for (key, rid), (vec, n) in stats.items():
+            m = runs[key, rid].model
+            for j in range(m.k):
+                c = m.covariances if kind == "tied" else m.covariances[j]
+                rows.append((*key, step, j, float(m.weights[j]), [float(v) for v in m.means[j] + origins[key]],
+                             [float(v) for v in np.ravel(c)], float(vec[-1] / n)))
+            runs[key, rid].model = _m_step(vec, m.k, d, n, kind, reg_covar)
+    base.unpersist()
+    names = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in ck)
+    return df.sparkSession.createDataFrame(
+        rows, f"{names}step int, component int, weight double, mean array<double>, covariance array<double>, mean_log_likelihood double")
+
+
 def score(df: DataFrame, vec_col: str, models: dict[tuple, Mixture], cohort: Sequence[str] = ()) -> DataFrame:
     """(cohort..., n, mean_log_likelihood, aic, bic) under the final parameters (one pass)."""
     ck = list(cohort)

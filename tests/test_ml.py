@@ -238,3 +238,32 @@ def test_seeds_come_from_all_rows_and_equal_rows_once(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
     (centres, inertia), = mx.fit_kmeans(df, "v", [2], seed=3).values()
     assert np.allclose(sorted(c.tolist() for c in centres), [[0.0, 0.0], [51.0, 50.0]]) and inertia == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize("kind", ["full", "tied", "diag", "spherical"])
+def test_fit_from_given_parameters_climbs_and_continues(spark, kind):
+    """The likelihood never falls, cohorts run side by side far from the origin, and a fit continues where another stopped."""
+    x, truth = _blobs(n_per=40, centres=2, d=2, std=1.5)
+    rows = [(i, "far" if i % 2 else "near", (v + (1e6 if i % 2 else 0.0)).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, side string, v array<double>").repartition(3)
+    shape = {"full": [np.eye(2) * 9] * 2, "tied": np.eye(2) * 9, "diag": [[9.0, 9.0]] * 2, "spherical": [9.0, 9.0]}[kind]
+
+    def start(shift):
+        return mx.Mixture(kind, np.array([0.5, 0.5]), np.array([x[0], x[-1]]) + shift, np.array(shape))
+
+    starts = {("near",): start(0.0), ("far",): start(1e6)}
+    got = mx.fit_from(df, "v", starts, 6, cohort=["side"]).collect()
+    for side in ("near", "far"):
+        steps = sorted({(r["step"], r["mean_log_likelihood"]) for r in got if r["side"] == side})
+        assert len(steps) == 7 and all(b[1] >= a[1] - 1e-9 for a, b in zip(steps, steps[1:]))
+    last = {(r["side"], r["component"]): r for r in got if r["step"] == 3}
+    cov = {s: np.array([last[s, j]["covariance"] for j in range(2)]) for s in ("near", "far")}
+    reshape = {"full": lambda c: c.reshape(2, 2, 2), "tied": lambda c: c[0].reshape(2, 2), "diag": lambda c: c, "spherical": lambda c: c[:, 0]}[kind]
+    again = {(s,): mx.Mixture(kind, np.array([last[s, j]["weight"] for j in range(2)]), np.array([last[s, j]["mean"] for j in range(2)]), reshape(cov[s])) for s in cov}
+    more = {(r["side"], r["component"]): r for r in mx.fit_from(df, "v", again, 3, cohort=["side"]).collect() if r["step"] == 3}
+    for r in got:
+        if r["step"] == 6:
+            other = more[r["side"], r["component"]]
+            assert np.allclose(r["mean"], other["mean"], rtol=1e-9) and np.allclose(r["covariance"], other["covariance"], rtol=1e-5, atol=1e-6)
+    with pytest.raises(ValueError, match="passes"):
+        mx.fit_from(df, "v", starts, -1, cohort=["side"])
