@@ -211,3 +211,42 @@ def test_id_files_hostile_and_empty(spark, hostile, empty):
     assert idfiles.digests(spark, idfiles.write(empty, scratch_path(spark, "t"), WORD_BPE)).count() == 0
 
 
+
+
+def test_coding_of_batches_equals_library_and_forgets_long_words(tmp_path):
+    """Plain, marked and foreign texts in one batch, nulls and slices; a thousand words of 50 kB leave nothing behind."""
+    import resource
+
+    import pyarrow as pa
+
+    from pitchlake.llm import tokens
+
+    enc = tokens.ChunkEncoder(WORD_BPE, remembered=200)
+    texts = ["", None, " \n\x0b", "Größe don't I'LL 12,5%", "é É\x85x y", "漢字 and ASCII", "ĀŸß l'eau ſs", "a" * 70 + " b", "'s's 'd", "\x00\x1c a"] * 3
+    rng = random.Random(5)
+    texts += [" ".join("".join(rng.choice("abÉß.,'9 \t字") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(60)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts) + 2)), "text": pa.array(["first", "second", *texts])}).slice(2)
+    tokens._ENCODERS[WORD_BPE] = enc
+    got = {i: ids.tolist() for i, ids in tokens.encoded([batch], WORD_BPE, 1)}
+    expected = {i + 2: [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got == expected
+    single = {i: ids.tolist() for i, ids in _one_by_one(tokens, batch)}
+    assert single == expected
+    tokens._ENCODERS.clear()
+
+    enc = tokens.ChunkEncoder(WORD_BPE)
+    letters = [chr(97 + i % 26) for i in range(1000)]
+    enc.encode("x" * 50_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for i, c in enumerate(letters):
+        assert enc.encode(f"{c}{'字' if i % 2 else 'q'}" + "z" * 50_000 + str(i))
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 40  # MB
+    assert len(enc.pieces) + len(enc.others) < 200
+
+
+def _one_by_one(tokens, batch):
+    held, tokens.AT_ONCE = tokens.AT_ONCE, 1
+    try:
+        yield from tokens.encoded([batch], WORD_BPE, 1)
+    finally:
+        tokens.AT_ONCE = held
