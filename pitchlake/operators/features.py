@@ -293,9 +293,10 @@ def aggregate_families(
     families: Sequence[Family],
     *,
     count_name: str = "n_pitches_total",
+    rows_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Every family's features per key."""
-    return aggregated(df, keys, features_of(df, families), F.count(F.lit(1)).alias(count_name))
+    """Every family's features per key (``rows_from``: see :func:`.measures.aggregated`)."""
+    return aggregated(df, keys, features_of(df, families), F.count(F.lit(1)).alias(count_name), rows_from=rows_from)
 
 
 def pitcher_features(
@@ -319,7 +320,7 @@ def pitcher_features(
 
         vocab = type_vocabulary(pitches)
         fams = [*fams, lambda d: type_code_aggregates(vocab)]
-    out = aggregate_families(df, ("pitcher", "year"), fams)
+    out = aggregate_families(df, ("pitcher", "year"), fams, rows_from=pitches)
     out = out.where(F.col("n_pitches_total") >= params.min_pitches_pitcher)
     out = out.withColumnRenamed("pitcher", "player_id").withColumn("role", F.lit("pitcher"))
     if with_pitch_types:
@@ -346,7 +347,7 @@ def batter_features(
     fams.append(lambda d: [F.count(F.when(fl.has_launch(), 1)).alias("_n_batted")])
     if "sprint_speed" in df.columns:
         fams.append(lambda d: [F.avg(F.col("sprint_speed").cast("double")).alias("_pitch_sprint_mean")])
-    out = aggregate_families(df, ("batter", "year"), fams)
+    out = aggregate_families(df, ("batter", "year"), fams, rows_from=pitches)
     out = out.where(
         (F.col("n_pitches_total") >= params.min_pitches_batter)
         & (F.col("_n_batted") >= params.min_batted_ball_batter)

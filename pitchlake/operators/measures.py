@@ -112,13 +112,19 @@ def given(feature: Feature, *needed: Feature) -> Feature:
     return Feature(feature.name, feature.parts + tuple(q for f in needed for q in f.parts), final)
 
 
-def aggregated(df: DataFrame, keys: Sequence[str], features: Sequence[Feature | Iqr | Column], *extra: Column, most: int = 1 << 20) -> DataFrame:
+def aggregated(
+    df: DataFrame,
+    keys: Sequence[str],
+    features: Sequence[Feature | Iqr | Column],
+    *extra: Column,
+    rows_from: DataFrame | None = None,
+    most: int = 1 << 20,
+) -> DataFrame:
     """One row per key with every feature, in order, behind ``extra``.
 
-    Where interquartile ranges are asked for, ``df`` is checkpointed first: its deduplication would run once
-    for each consumer otherwise, and a wide aggregate over the sorted window output is far slower than over
-    stored rows. A key's buffer of values holds at most ``most`` rows; the ranges of larger keys come from
-    value counts (:mod:`.quantiles`), so no key's values have to fit in one task."""
+    A buffer of values for interquartile ranges holds at most ``most`` rows. Keys with more take theirs from value
+    counts (:mod:`.quantiles`) and everything else from plain sums, so no key's values have to fit in one task. Which
+    keys those are is counted first, in ``rows_from`` where ``df`` is costly to count (it may hold more rows)."""
     from ..session import cut_lineage
     from .quantiles import iqrs, match
 
@@ -126,15 +132,13 @@ def aggregated(df: DataFrame, keys: Sequence[str], features: Sequence[Feature |
     ranges = {f.name: f.source for f in features if isinstance(f, Iqr)}
     if not ranges:
         return df.groupBy(*keys).agg(*extra, *columns)
-    df = cut_lineage(df)
-    large = df.groupBy(*keys).count().where(F.col("count") > most).select(*keys)
+    large = (df if rows_from is None else rows_from).groupBy(*keys).count().where(F.col("count") > most).select(*keys)
     if large.isEmpty():
         return df.groupBy(*keys).agg(*extra, *columns)
-    plain = [c for f, c in zip(features, columns) if not isinstance(f, Iqr)]
-    out = df.groupBy(*keys).agg(*extra, *plain)
-    buffers = match(df, large, keys, "left_anti").groupBy(*keys).agg(*[c for f, c in zip(features, columns) if isinstance(f, Iqr)])
-    counted = iqrs(match(df, large, keys, "left_semi"), keys, ranges)
-    found = match(out, buffers.unionByName(counted), keys, "left")
-    before = out.columns[: len(keys) + len(extra)]
-    after = iter(out.columns[len(before):])
-    return found.select(*before, *[f.name if isinstance(f, Iqr) else next(after) for f in features])
+    out = match(df, large, keys, "left_anti").groupBy(*keys).agg(*extra, *columns)
+    hot = cut_lineage(match(df, large, keys, "left_semi"))
+    plain = hot.groupBy(*keys).agg(*extra, *[c for f, c in zip(features, columns) if not isinstance(f, Iqr)])
+    rest = iter(plain.columns[len(keys) + len(extra):])
+    order = [f.name if isinstance(f, Iqr) else next(rest) for f in features]
+    ranged = match(plain, iqrs(hot, keys, ranges), keys, "left")
+    return out.unionByName(ranged.select(*plain.columns[: len(keys) + len(extra)], *order))

@@ -165,3 +165,33 @@ def season_state(spark, d):
         landed = [dt.date.fromisoformat(r[0]) for r in part.select("date").distinct().collect()]
         ss.update(spark, states, "pitcher", read_days, landed, PARAMS)
     return finalize(ss.season(spark, states, "pitcher", dt.date(1995, 1, 1), dt.date(2001, 12, 31), PARAMS, pitches_like=src))
+
+
+# Stale and corrected copies delivered one after the other; landing shuffles them, and the later one counts.
+# Rows without a speed are set aside with their reason while the rest of their day lands
+register(
+    "landed_corrections",
+    f"""{P}, {dedup_cte('pitcher')}
+SELECT year, COUNT(release_speed) AS n_kept, ROUND(AVG(release_speed + 1), 10) AS mean_speed,
+  (SELECT 2 * COUNT(*) FROM pitches q WHERE q.year = d.year AND q.release_speed IS NULL) AS n_quarantined, 'release_speed' AS reason
+FROM d GROUP BY year""".replace(dedup_cte("pitcher"), dedup_cte("pitcher").replace("WHERE pitcher IS NOT NULL", "WHERE pitcher IS NOT NULL AND release_speed IS NOT NULL")),
+)(lambda spark, d: landed_corrections(spark, d))
+
+
+def landed_corrections(spark, d):
+    src = fx.pitches(spark, d).withColumn("month", F.trunc("game_date", "month"))
+    files, bronze, aside = _folder(spark, "delivered"), _folder(spark, "bronze"), _folder(spark, "quarantine")
+    for later in (0, 1):  # two deliveries of every pitch, in folders of their own
+        copy = src.withColumn("release_speed", F.col("release_speed") + later).repartitionByRange(3, "row_tiebreak").sortWithinPartitions("game_date", "row_tiebreak")
+        copy.write.parquet(f"{files}/delivery={later}")
+    landed = lake.with_delivery(spark.read.option("basePath", files).parquet(files)).drop("delivery")
+    status = landing.land_days(landed, date_col="month", start_date="1995-01-01", end_date="2001-12-31", bronze_root=bronze,
+                               required=("pitcher", "release_speed"), quarantine_root=aside)
+    if status["status"] != "ok" or status["rows_landed"] + status["rows_quarantined"] != 2 * src.count():
+        raise ValueError(f"landing: {status}")
+    read = lake.read_bronze_range(spark, bronze, dt.date(1995, 1, 1), dt.date(2001, 12, 31))
+    kept = dedupe_last(read, ("pitcher", "year"), order_cols=("game_date", lake.FILE_ORDER))
+    kept = kept.groupBy("year").agg(F.count("release_speed").alias("n_kept"), F.avg("release_speed").alias("mean_speed"))
+    held = lake.read_partitioned(spark, aside).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_quarantined"), F.max(F.array_join("_reason", ",")).alias("reason"))
+    return finalize(kept.join(held, "year"))

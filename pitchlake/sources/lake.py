@@ -75,14 +75,32 @@ def read_parquet_or_none(spark: SparkSession, path: str, schema=None) -> DataFra
 
 
 FILE_ORDER = "file_order"
+#: where a row stood when it was delivered; landing keeps it in bronze
+DELIVERED = "_delivered"
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
-    """Adds ``file_order``: where a row stands in load order (file path, then row in the file).
+def with_delivery(df: DataFrame) -> DataFrame:
+    """Adds ``_delivered``: when a row's file came, the file, the block and the row's place in it.
+
+    ``df`` must come straight from a file reader. Landing shuffles rows, so their order in a bronze file says
+    nothing; this column does, and stays with them."""
+    row = F.monotonically_increasing_id()  # rises within a block
+    return df.withColumn(DELIVERED, F.struct(
+        F.col("_metadata.file_modification_time").alias("came"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), row.alias("row")))
 
-    ``df`` must come straight from a Parquet reader. The path names the day, so
-    later days come after earlier ones."""
-    return df.withColumn(FILE_ORDER, F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")))
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Adds ``file_order``: where a row stands in load order.
+
+    The file's path comes first (it names the day, so later days come after earlier ones); of one day, rows go by
+    ``_delivered`` where the table has it (rows from before that column come first), then by their place in the file.
+    ``df`` must come straight from a Parquet reader."""
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if DELIVERED not in df.columns:
+        return df.withColumn(FILE_ORDER, F.struct(path.alias("path"), row.alias("row")))
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    return df.withColumn(FILE_ORDER, F.struct(folder.alias("folder"), F.col(DELIVERED).alias("delivered"), path.alias("path"), row.alias("row")))
 
 
 def read_partitioned(spark: SparkSession, root: str, schema=None, *, merge_schema: bool = True) -> DataFrame:

@@ -263,3 +263,36 @@ def test_ids_are_exact(spark):
     df = spark.createDataFrame([(9007199254740993, "9007199254740993", "12.0", 3.0, "x")], "a long, b string, c string, d double, e string")
     r = df.select(*[to_long_id(c).alias(c) for c in df.columns]).first()
     assert tuple(r) == (9007199254740993, 9007199254740993, 12, 3, None)
+
+
+def test_quarantine_and_delivery_order(spark, tmp_path):
+    """Invalid rows are set aside with reason and source, the rest of their day lands; of two deliveries the later counts."""
+    import datetime as dt
+    import time
+
+    from pitchlake.operators.dedupe import dedupe_last
+
+    files, bronze, aside = (str(tmp_path / n) for n in ("files", "bronze", "aside"))
+    columns = "game_pk long, at_bat_number int, pitch_number int, pitcher long, day string, speed double"
+    first = [(1, 1, n, 7, "2024-04-01", 90.0) for n in range(200)] + [(2, 1, 1, None, "2024-04-01", 1.0), (3, 1, 1, None, "2024-04-02", None)]
+    first += [(4, 1, 1, 7, None, 5.0), (5, 1, 1, 7, "2024-04-09", 5.0), (6, 1, 1, 7, "2030-01-01", 5.0)]
+    spark.createDataFrame(first, columns).coalesce(1).write.parquet(f"{files}/z-first")
+    time.sleep(1.1)  # file times may have whole seconds
+    spark.createDataFrame([(1, 1, n, 7, "2024-04-01", 95.0) for n in range(0, 200, 2)], columns).coalesce(1).write.parquet(f"{files}/a-second")
+    landed = lake.with_delivery(spark.read.parquet(f"{files}/z-first", f"{files}/a-second"))
+
+    def land(**more):
+        return landing.land_days(landed, date_col="day", start_date="2024-04-01", end_date="2024-04-03", bronze_root=bronze,
+                                 today=dt.date(2024, 5, 1), required=("pitcher", "speed"), **more)
+
+    refused = land()
+    assert refused["status"] == "partial" and refused["days_error"] == 2 and "rows_landed" not in refused
+    done = land(quarantine_root=aside)
+    assert (done["days_ok"], done["days_error"], done["days_no_data"]) == (1, 1, 1)
+    assert (done["rows_landed"], done["rows_quarantined"]) == (300, 3)
+    held = {(r["game_pk"], r["year"], str(r["date"]), tuple(r["_reason"]), r["_delivered"]["path"].split("/")[-2]) for r in lake.read_partitioned(spark, aside).collect()}
+    assert held == {(2, 2024, "2024-04-01", ("pitcher",), "z-first"), (3, 2024, "2024-04-02", ("pitcher", "speed"), "z-first"), (4, 0, "none", ("day",), "z-first")}
+    read = lake.read_bronze_range(spark, bronze, dt.date(2024, 4, 1), dt.date(2024, 4, 3))
+    assert "_reason" not in read.columns and read.count() == 300
+    kept = {r["pitch_number"]: r["speed"] for r in dedupe_last(read, ("pitcher", "year"), order_cols=(lake.FILE_ORDER,)).collect()}
+    assert kept == {n: 90.0 if n % 2 else 95.0 for n in range(200)}
