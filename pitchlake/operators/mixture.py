@@ -13,8 +13,8 @@ Covariance types: full, tied, diag, spherical. All cohorts and all restarts
   diagonal. Stop when the mean log-likelihood changes by less than ``tol``.
 * Initialisation: K-means -- k-means|| seeding over all rows, refined by Lloyd
   iterations run jointly in the same machinery -- then the
-  M-step of the hard K-means responsibilities (``pyspark.ml`` K-means and plain
-  sampled means are options). Several k can be fitted in the same jobs.
+  M-step of the hard K-means responsibilities (plain sampled means are an option).
+  Several k can be fitted in the same jobs.
 
 The input is checkpointed into ``spark.checkpoint.dir`` first, so iterations
 re-read a short lineage and survive executor loss.
@@ -307,22 +307,6 @@ def _lloyd(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, max_iter: int,
     return inertia
 
 
-def _init_spark_kmeans(base: DataFrame, ck, keys, k: int, seed: int) -> dict[tuple, np.ndarray]:
-    """Alternative initialisation: ``pyspark.ml`` K-means (k-means||) per cohort."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    out = {}
-    for key in keys:
-        cond = F.lit(True)
-        for c, v in zip(ck, key):
-            cond = cond & (F.col(c) == F.lit(v))
-        sub = base.where(cond).select(array_to_vector("_x").alias("features"))
-        km = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, initMode="k-means||").fit(sub)
-        out[key] = np.array(km.clusterCenters(), dtype=float)
-    return out
-
-
 def _collect_stats(base: DataFrame, ck, runs: dict[tuple, _Run], d: int, cov: str, hard_centers: bool):
     """One distributed pass over the data for every active run: per (cohort, run)
     summed sufficient statistics. Runs may differ in k."""
@@ -414,10 +398,11 @@ def fit_mixtures(
     iteration, so a sweep over k costs about as many jobs as its slowest run.
     ``init``: ``kmeans`` (default; k-means|| seeding and Lloyd iterations over all
     rows, run jointly in the same machinery, then the initial M-step from the hard
-    K-means responsibilities), ``kmeans_spark`` (``pyspark.ml`` K-means per
-    cohort) or ``random_from_data`` (the sampled rows as means)."""
+    K-means responsibilities) or ``random_from_data`` (the sampled rows as means)."""
     if covariance_type not in COVARIANCE_TYPES:
         raise ValueError(f"covariance_type must be one of {sorted(COVARIANCE_TYPES)}; got {covariance_type!r}")
+    if init not in ("kmeans", "random_from_data"):
+        raise ValueError(f"init must be kmeans or random_from_data; got {init!r}")
     ks = [int(k) for k in ks]
     if not ks or min(ks) < 1:
         raise ValueError("k must be >= 1")
@@ -434,13 +419,6 @@ def fit_mixtures(
     run_k: dict[int, int] = {}
     seeds = _seeds(base, ck, d, max(ks), n_init, seed) if init == "kmeans" else {}
     for restart in range(n_init):
-        if init == "kmeans_spark":
-            for k in ks:
-                rid = len(run_k)
-                run_k[rid] = k
-                for key, c in _init_spark_kmeans(base, ck, list(sizes), k, seed + restart).items():
-                    runs[(key, rid)] = _Run(Mixture(covariance_type, np.full(k, 1.0 / k), c, np.zeros(1)))
-            continue
         if init == "random_from_data":
             drawn = {key: (rows, None) for key, rows in _seed_rows(base, ck, max(ks), seed + restart).items()}
         else:

@@ -133,51 +133,6 @@ def profile_from_summary(summary: DataFrame, id_col: str, *, min_pitches_per_typ
     return shares, phys, ent
 
 
-def pitch_type_maps(df: DataFrame, id_col: str, *, min_pitches_per_type: int, type_col: str = "pitch_type") -> DataFrame:
-    """A17-A19 as map columns, one row per (id, year) -- no code vocabulary needed:
-    ``pitch_type_entropy``, ``pitch_type_shares`` map<type, share> and
-    ``pitch_type_means`` map<type, struct<n, <measure>_mean...>>.
-
-    One aggregate reduces the pitches to per-(id, year, raw type) sums; one more
-    collects those few rows per player-year (at most one per type, so the list
-    is tiny) and the shares, entropy and per-cleaned-type means are computed with
-    SQL higher-order functions. The summary has a single consumer, so the
-    pitches are scanned and deduplicated once for the whole profile."""
-    summary = type_summary(df, id_col, type_col)
-    item = F.struct(*[F.col(c) for c in summary.columns if c not in (id_col, "year")])
-    per = summary.groupBy(id_col, "year").agg(F.collect_list(item).alias("_t"))
-
-    typed = F.filter("_t", lambda x: x["pitch_type"].isNotNull())
-    total = F.aggregate(typed, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    shares = F.transform(typed, lambda x: F.struct(x["pitch_type"].alias("k"), (x["n"] / total).alias("v")))
-    ent_sum = F.aggregate(shares, F.lit(0.0), lambda a, e: a + e["v"] * F.ln(e["v"]))
-    entropy = F.when(F.size(typed) > 1, -ent_sum).when(F.size(typed) == 1, F.lit(0.0))
-
-    def clean(x):
-        pt = F.upper(F.trim(x["pitch_type"]))
-        return F.when(pt.isNull() | (pt == "") | pt.isin(*fl.JUNK_PITCH_TYPES), F.lit(None)).otherwise(pt)
-
-    codes = F.array_distinct(F.filter(F.transform("_t", clean), lambda c: c.isNotNull()))
-
-    def stats_for(code):
-        members = F.filter("_t", lambda x: clean(x) == code)
-        n = F.aggregate(members, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        fields = [n.alias("n")]
-        for m in PHYSICAL_MEASURES:
-            s_ = F.aggregate(members, F.lit(0.0), lambda a, x: a + F.coalesce(x[f"_s_{m}"], F.lit(0.0)))
-            c_ = F.aggregate(members, F.lit(0).cast("long"), lambda a, x: a + x[f"_c_{m}"])
-            fields.append(F.when(c_ > 0, s_ / c_).alias(f"{m}_mean"))
-        return F.struct(code.alias("k"), F.struct(*fields).alias("v"))
-
-    means = F.filter(F.transform(codes, stats_for), lambda e: e["v"]["n"] >= min_pitches_per_type)
-    return per.select(
-        id_col, "year",
-        entropy.alias("pitch_type_entropy"),
-        F.when(F.size(typed) > 0, F.map_from_entries(shares)).alias("pitch_type_shares"),
-        F.when(F.size(means) > 0, F.map_from_entries(means)).alias("pitch_type_means"),
-    )
-
-
 def type_vocabulary(df: DataFrame, type_col: str = "pitch_type") -> list[tuple[str, str | None]]:
     """(raw code, cleaned code or None) for every non-null raw type: one
     single-column distinct (column-pruned scan, partial aggregation). The
@@ -206,7 +161,7 @@ def type_code_aggregates(vocab: Sequence[tuple[str, str | None]], type_col: str
 
 def maps_from_code_aggregates(df: DataFrame, vocab: Sequence[tuple[str, str | None]], *, min_pitches_per_type: int) -> DataFrame:
     """Turn the conditional aggregates into ``pitch_type_entropy``, ``pitch_type_shares``
-    and ``pitch_type_means`` (same contract as ``pitch_type_maps``)."""
+    (map<type, share>) and ``pitch_type_means`` (map<type, struct<n, <measure>_mean...>>)."""
     raws = [r for r, _c in vocab]
     cleans = sorted({c for _r, c in vocab if c is not None})
     helper = [c for c in df.columns if c.startswith(("_ptn_", "_pcn_", "_pcm_"))]
