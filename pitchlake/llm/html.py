@@ -17,7 +17,12 @@ sections in an article, say nothing.
 
 Null, empty and tagless html: no tags means that the text is one block. Pages
 without text give the empty string. Unclosed elements end where their parent
-ends; a tag cut off by the end of the page is dropped."""
+ends; a tag cut off by the end of the page is dropped. Repeated rows give repeated
+rows; other columns are not read, so their names cannot clash.
+
+Time and memory are linear in the page, also where elements are nested or left open by
+the hundred thousand: paths are numbers, what elements hold is summed once from the
+leaves up, and no search for a closing tag is made twice in vain."""
 
 from __future__ import annotations
 
@@ -69,19 +74,37 @@ THRESHOLD = 0.1
 SHARE = 0.6
 
 
+#: open elements that a beginning one may end, or that shelter them
+_INTERESTING = SCOPES | {n for names in SIBLINGS.values() for n in names}
+
+
 class Element:
-    __slots__ = ("name", "label", "parent", "dead", "named", "selected")
+    __slots__ = ("name", "parent", "path", "depth", "dead", "named", "holds", "open_at")
 
-    def __init__(self, name: str, label: str, parent: "Element | None", dead: bool, named: int = 0):
-        self.name, self.label, self.parent, self.dead, self.named = name, label, parent, dead, named
-        self.selected = 0
+    def __init__(self, name: str, parent: "Element | None", path: int, dead: bool, named: int = 0):
+        self.name, self.parent, self.path, self.dead, self.named = name, parent, path, dead, named
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.holds = 0
+        # the nearest element, itself included, that is looked for when another begins
+        self.open_at = self if parent is None or name in _INTERESTING else parent.open_at
 
 
 class Block:
-    __slots__ = ("element", "text", "links", "path")
+    __slots__ = ("element", "text", "links")
+
+    def __init__(self, element: Element, text: str, links: int):
+        self.element, self.text, self.links = element, text, links
 
-    def __init__(self, element: Element, text: str, links: int, path: str):
-        self.element, self.text, self.links, self.path = element, text, links, path
+    @property
+    def path(self) -> int:
+        return self.element.path
+
+
+def _sum_up(elements: list[Element]) -> None:
+    """Adds what each element holds to its parent; parents come before their children."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.holds += e.holds
 
 
 def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, int, str]:
@@ -108,43 +131,45 @@ def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, i
     return dead, named, " ".join(words)
 
 
-def _spared(blocks: list[Block]) -> list[Block]:
+def _spared(blocks: list[Block], elements: list[Element]) -> list[Block]:
     """The blocks outside elements that are named as no article is.
 
     Where only a word of a longer name says so, an element that holds most of the
     page's text is spared; where nothing is left, so is any that holds most of it."""
 
-    def names(b: Block):
-        e = b.element
-        while e is not None:
-            if e.named:
-                yield e
-            e = e.parent
+    def worst() -> dict[Element, int]:
+        """The strongest name of each element and those around it."""
+        found: dict[Element, int] = {}
+        for e in elements:
+            found[e] = e.named if e.parent is None else max(e.named, found[e.parent])
+        return found
 
     def spare(most: int) -> list[Block]:
-        size: dict[int, int] = {}
-        elements: dict[int, Element] = {}
-        total = 0
+        total, strongest = 0, worst()
+        for e in elements:
+            e.holds = 0
         for b in blocks:
-            if all(e.named <= most for e in names(b)):
+            if strongest[b.element] <= most:
                 total += len(b.text)
-                for e in names(b):
-                    elements[id(e)] = e
-                    size[id(e)] = size.get(id(e), 0) + len(b.text)
-        for k, n in size.items():
-            if 2 * n > total:
-                elements[k].named = 0
-        return [b for b in blocks if not any(names(b))]
+                b.element.holds += len(b.text)
+        _sum_up(elements)
+        for e in elements:
+            if 2 * e.holds > total and e.named:
+                e.named = 0
+        strongest = worst()
+        return [b for b in blocks if not strongest[b.element]]
 
     return spare(1) or spare(2)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page in order, those of unwanted elements left out."""
-    root = Element("", "", None, False)
-    stack, out = [root], []
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of a page in order, those of unwanted elements left out, and all elements, parents first."""
+    root = Element("", None, 0, False)
+    stack, out, elements = [root], [], [root]
     text: list[str] = []
-    links, in_link, at, paths = 0, 0, 0, {id(root): ""}
+    links, in_link, at = 0, 0, 0
+    paths: dict[tuple[int, str], int] = {}
+    open_names: dict[str, int] = {}
     n_articles = 0
 
     def flush() -> None:
@@ -154,7 +179,7 @@ def blocks_of(page: str) -> list[Block]:
             if not top.dead:
                 joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
                 if joined:
-                    out.append(Block(top, joined, links, paths[id(top)]))
+                    out.append(Block(top, joined, links))
             text.clear()
         links = 0
 
@@ -163,13 +188,12 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         while len(stack) > depth:
             gone = stack.pop()
-            paths.pop(id(gone), None)
+            open_names[gone.name] -= 1
             n_articles -= gone.name in ARTICLES
-            keep.append(gone)  # so that no later element gets the same id()
         in_link = 0
 
-    keep: list[Element] = []
     lowered = None
+    unclosed: set[str] = set()
     while True:
         m = TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -187,12 +211,15 @@ def blocks_of(page: str) -> list[Block]:
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                lowered = page.lower() if lowered is None else lowered
-                end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else re.compile(f"</{name}", re.I).search(page, at)
-                end = end if isinstance(end, int) else end.start() if end else -1
+                end = -1
+                if name not in unclosed:
+                    lowered = page.lower() if lowered is None else lowered
+                    end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else re.compile(f"</{name}", re.I).search(page, at)
+                    end = end if isinstance(end, int) else end.start() if end else -1
                 if end < 0:
                     if name in RAW_TEXT:
                         break
+                    unclosed.add(name)
                     continue  # only the tag is left out
                 close = page.find(">", end)
                 at = close + 1 if close >= 0 else len(page)
@@ -209,10 +236,10 @@ def blocks_of(page: str) -> list[Block]:
                 in_link = 0 if closing else 1
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    pop_to(depth)
-                    break
+            if open_names.get(name):
+                while stack[-1].name != name:
+                    pop_to(len(stack) - 1)
+                pop_to(len(stack) - 1)
             else:
                 flush()
             continue
@@ -222,24 +249,28 @@ def blocks_of(page: str) -> list[Block]:
         if name in P_ENDERS and stack[-1].name == "p":
             pop_to(len(stack) - 1)
         if name in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in SIBLINGS[name]:
-                    pop_to(depth)
-                elif stack[depth].name in SCOPES:
+            near = stack[-1].open_at
+            while near is not root:
+                if near.name in SIBLINGS[name]:
+                    pop_to(near.depth)
+                elif near.name in SCOPES:
                     break
+                near = near.parent.open_at
         parent = stack[-1]
         unwanted, named, words = _unwanted(name, attributes, n_articles > 0)
-        here = Element(name, words, parent, parent.dead or unwanted, named)
+        path = paths.setdefault((parent.path, f"{name}.{words}" if words else name), len(paths) + 1)
+        here = Element(name, parent, path, parent.dead or unwanted, named)
         n_articles += name in ARTICLES
-        paths[id(here)] = f"{paths[id(parent)]}/{name}.{words}" if words else f"{paths[id(parent)]}/{name}"
+        open_names[name] = open_names.get(name, 0) + 1
+        elements.append(here)
         stack.append(here)
-    pop_to(0)
-    return _spared(out)
+    pop_to(1)
+    return _spared(out, elements), elements
 
 
-def ratios(blocks: list[Block]) -> dict[str, float]:
+def ratios(blocks: list[Block]) -> dict[int, float]:
     """The fused ratio of every path, smoothed along the page."""
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for b in blocks:
         t = total.setdefault(b.path, [0, 0, 0, 0])
         t[0] += len(b.text)
@@ -248,7 +279,7 @@ def ratios(blocks: list[Block]) -> dict[str, float]:
         t[3] += 1
     by_path = {p: (size / n * (1 - links / size), marks / n * (1 - links / size)) for p, (size, marks, links, n) in total.items()}
     kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
-    smoothed: dict[str, list[float]] = {}
+    smoothed: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
         size = marks = weight = 0.0
         for d, k in enumerate(kernel, -RADIUS):
@@ -263,41 +294,34 @@ def ratios(blocks: list[Block]) -> dict[str, float]:
 
 def main_text(page: str | None) -> str:
     """The article of a page; blocks are joined by a line feed."""
-    blocks = blocks_of(page or "")
+    blocks, elements = blocks_of(page or "")
     if not blocks:
         return ""
     fused = ratios(blocks)
     least = THRESHOLD * max(fused.values())
     whole = 0
+    for e in elements:
+        e.holds = 0
     for b in blocks:
         if fused[b.path] >= least and 2 * b.links <= len(b.text):
             whole += len(b.text)
-            e = b.element
-            while e is not None:
-                e.selected += len(b.text)
-                e = e.parent
+            b.element.holds += len(b.text)
     if not whole:
         return ""
-    inside: dict[int, int] = {}
+    _sum_up(elements)
     best, best_rank = None, (False, -1)
-    for b in blocks:
-        e, chain = b.element, []
-        while e is not None:
-            chain.append(e)
-            e = e.parent
-        for depth, e in enumerate(reversed(chain)):
-            if id(e) not in inside:
-                inside[id(e)] = depth
-                if e.selected >= SHARE * whole and e.name not in LEAVES and (e.name in ARTICLES, depth) > best_rank:
-                    best, best_rank = e, (e.name in ARTICLES, depth)
+    for e in elements:
+        if e.holds >= SHARE * whole and e.name not in LEAVES and (e.name in ARTICLES, e.depth) > best_rank:
+            best, best_rank = e, (e.name in ARTICLES, e.depth)
     # a page's body may hold anything, an element that was singled out only the article and lists of links
     narrow = best is not None and best.name not in ("", "html", "body")
+    inside: set[Element] = set()
+    for e in elements:
+        if e is best or e.parent in inside:
+            inside.add(e)
     kept = []
     for b in blocks:
-        e = b.element
-        while e is not None and e is not best:
-            e = e.parent
-        if e is best and (best_rank[0] or 2 * b.links <= len(b.text) and (narrow or fused[b.path] >= least or b.element.name in HEADINGS)):
+        if b.element in inside and (best_rank[0] or 2 * b.links <= len(b.text) and (narrow or fused[b.path] >= least or b.element.name in HEADINGS)):
             kept.append(b.text)
     return "\n".join(kept)
 

@@ -227,3 +227,28 @@ def test_fingerprints_hostile_and_empty(spark, hostile, empty):
     assert merkle.compared(empty).count() == 0
     one = merkle.compared(spark.createDataFrame([(5, "abc"), (None, None)], "doc_id long, text string")).collect()
     assert len(one) == 2
+
+
+@pytest.mark.parametrize("page,expected", [
+    ("<div>" * 100_000 + "x", "x"),
+    ("<div>some text" * 100_000, None),
+    ("<div class=ad>t " * 100_000, None),
+    ("<svg>" * 100_000 + "after", "after"),
+    ("<div>" * 100_000 + "in</b1></nav>" * 100_000, None),
+    ("<li><ul>" + "<div>" * 100_000 + "<li>a</li>" * 100_000, None),
+    ("<table><tr>" + "<td>a" * 100_000, None),
+    ("<p>a</div>" * 100_000, None),
+], ids=["nested", "nested text", "named", "unclosed raw", "unmatched", "siblings", "cells", "paragraphs"])
+def test_a_hundred_thousand_levels_and_tags(page, expected):
+    """Linear time and memory; a quadratic step would take many minutes here."""
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    text = html.main_text(page)
+    assert time.process_time() - began < 20
+    assert text == expected if expected is not None else text is not None
+    tracemalloc.start()
+    html.main_text(page[: len(page) // 4])
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
