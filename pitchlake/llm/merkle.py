@@ -13,12 +13,14 @@ letter) are hashed too. The likeness of two texts is 1 where the roots are equal
 otherwise the Dice coefficient of their sets of phrase hashes.
 
 Null texts are empty; the empty text has one empty paragraph. In
-:func:`with_next`, rows follow falling id (null ids last), equal ids a hash of
-their text, and the row after the last is the first. An empty table gives an
-empty result."""
+:func:`with_next`, rows follow falling id (a null id counts as the least), equal ids
+a hash of their text, and the row after the last is the first; repeated rows come once each.
+Columns other than id and text are not read, so their names cannot clash. An empty
+table gives an empty result."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ from .common import id_text
 #: where a phrase ends
 PHRASE_END = r"\n|(?<=[.,;:!?dglnz])[ \t]+"
 SECTION_END = "0123"
+#: what a null id counts as
+LEAST = -(2**63)
+MAX_RANGES = 1 << 16
 
 
 def paragraph_hashes(text: Column) -> Column:
@@ -68,29 +73,37 @@ def changed(tree_a: Column, tree_b: Column) -> Column:
     return F.when(tree_a["root"] == tree_b["root"], F.array().cast("array<int>")).otherwise(F.array_compact(numbered))
 
 
+def _range_of(first: list, at: Column, tie: Column) -> Column:
+    """Number of the last range that begins at or before (at, tie), by binary search."""
+    ids, ties = (F.lit(np.array(part, dtype=np.int64)) for part in zip(*first))
+    steps = F.lit(np.array([1 << k for k in reversed(range(len(first).bit_length()))], dtype=np.int64)).cast("array<int>")
+
+    def further(low: Column, step: Column) -> Column:
+        to = low + step
+        return F.when((F.get(ids, to) < at) | ((F.get(ids, to) == at) & (F.get(ties, to) <= tie)), to).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def with_next(docs: DataFrame, per_bucket: int = 1024) -> DataFrame:
     """doc_id, text and the text of the next row by falling id.
 
-    Ids are cut into ranges that hold ``per_bucket`` rows on average. Within a
-    range a window finds the next row; the last row of a range takes the head of
-    the next range that has rows. Those ranges are found on one row per range,
-    again in two steps, so no window holds more than a small part of all rows."""
-    span = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (span.lo, span.hi) if span.lo is not None else (0, 0)
-    width = max(1, (hi - lo + 1) * per_bucket // max(span.n, 1))
-    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(lo - 1).cast("decimal(20,0)"))
-    placed = docs.select("doc_id", "text", F.floor((key - F.lit(lo).cast("decimal(20,0)")) / F.lit(width)).cast("long").alias("bucket"))
-    tie = F.xxhash64("text")
-    heads = placed.groupBy("bucket").agg(F.max_by("text", F.struct(F.coalesce("doc_id", F.lit(-(2**63))), tie)).alias("head"))
-    heads = heads.withColumn("region", F.floor(F.col("bucket") / per_bucket))
-    regions = heads.groupBy("region").agg(F.max("bucket").alias("top"))
-    falling = Window.orderBy(F.desc("region"))  # a row for each per_bucket² documents
-    regions = regions.select("region", F.coalesce(F.lead("top").over(falling), F.max("top").over(Window.partitionBy(F.lit(0)))).alias("below"))
-    links = heads.select("bucket", "region", F.lead("bucket").over(Window.partitionBy("region").orderBy(F.desc("bucket"))).alias("beside"))
-    links = links.join(regions, "region").select("bucket", F.coalesce("beside", "below").alias("after"))
-    after = links.join(heads.select(F.col("bucket").alias("after"), "head"), "after").select("bucket", "head")
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc(tie))
-    inner = placed.withColumn("beside", F.lead("text").over(order))
+    Ranges are cut at quantiles of id and hash of the text, so they hold about ``per_bucket``
+    rows however the ids are spread (more beyond 65,536 ranges, which bound what reaches the
+    driver: the least and greatest key of each). Only ids and hashes are shuffled for it. In a
+    range a window finds the next row, and its last row takes the greatest of the range below."""
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LEAST)).alias("at"), F.xxhash64("text").alias("tie"))
+    keys = docs.select("at", "tie")
+    n_ranges = min(MAX_RANGES, -(-keys.count() // per_bucket) or 1)
+    cut = keys.repartitionByRange(n_ranges, "at", "tie").groupBy(F.spark_partition_id().alias("range"))
+    cut = sorted(cut.agg(F.min(F.struct("at", "tie")).alias("first"), F.max(F.struct("at", "tie")).alias("top")).select("first", "top").collect())
+    first, top = ([r[i] for r in cut] or [(LEAST, LEAST)] for i in (0, 1))
+    at, tie = F.col("at"), F.col("tie")
+    placed = docs.withColumn("bucket", _range_of(first, at, tie))
+    top_at, top_tie = (F.get(F.lit(np.array(part, dtype=np.int64)), F.col("bucket")) for part in zip(*top))
+    heads = placed.filter((at == top_at) & (tie == top_tie)).groupBy("bucket").agg(F.max("text").alias("head"))
+    after = heads.select(((F.col("bucket") + 1) % len(first)).alias("bucket"), "head")
+    inner = placed.withColumn("beside", F.lead("text").over(Window.partitionBy("bucket").orderBy(F.desc("at"), F.desc("tie"))))
     return inner.join(after, "bucket").select("doc_id", "text", F.coalesce("beside", "head").alias("next_text"))
 
 

@@ -212,6 +212,39 @@ def test_fingerprints_equal_plain(odd, monkeypatch, per_bucket):
             assert near == pytest.approx(1.0 if text == other else 2 * len(a & b) / (len(a) + len(b)))
 
 
+@pytest.mark.parametrize("per_bucket", [1024, 4, 1])
+@pytest.mark.parametrize("ids", [
+    [*range(50), 10**15],
+    [*range(30), *range(10**12, 10**12 + 30), -(2**63), 2**63 - 1],
+    [7],
+    [5] * 20 + [6, None, None],
+], ids=["far off", "clusters", "single", "repeated"])
+def test_next_row_whatever_the_spread_of_ids(spark, ids, per_bucket):
+    rows = [(x, f"text {i // 2}") for i, x in enumerate(ids)]
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = merkle.with_next(docs, per_bucket).withColumn("tie", merkle.F.xxhash64("text")).collect()
+    least = -(2**64)
+    order = sorted(got, key=lambda r: (least if r.doc_id is None else r.doc_id, r.tie), reverse=True)
+    texts = [r.text for r in order]
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((d or -1, t) for d, t in rows)
+    pairs = sorted((r.text, r.next_text) for r in got)
+    assert pairs == sorted(zip(texts, texts[1:] + texts[:1]))
+
+
+def test_far_off_ids_do_not_fill_one_window(spark, monkeypatch):
+    """Ranges hold about as many rows as asked for, of ids in dense clusters and of repeated ids too."""
+    cut = []
+    found = merkle._range_of
+    monkeypatch.setattr(merkle, "_range_of", lambda first, at, tie: cut.append(first) or found(first, at, tie))
+    for doc_id in ("IF(id = 0, 1000000000000000, id)", "IF(id % 3 = 0, NULL, id)"):
+        docs = spark.range(5000).selectExpr(f"{doc_id} AS doc_id", "string(id) AS text")
+        assert merkle.with_next(docs, 100).count() == 5000
+        place = found(cut[-1], merkle.F.coalesce("doc_id", merkle.F.lit(merkle.LEAST)), merkle.F.xxhash64("text"))
+        sizes = [r["count"] for r in docs.groupBy(place.alias("range")).count().collect()]
+        assert sum(sizes) == 5000 and len(sizes) == len(cut[-1]) > 30 and max(sizes) <= 300
+
+
 def test_differing_paragraphs_are_located(spark):
     lines = [f"line {i}, of a text" for i in range(40)]
     other = list(lines)
