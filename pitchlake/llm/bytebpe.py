@@ -13,9 +13,12 @@ bytes take n log n steps at worst (the sorting of buckets), also where one match
 is a whole long document.
 
 Results of matches are remembered per Python worker; of two generations the
-older goes when the younger is full, so the memory is bounded.
+older goes when the younger is full, so the memory is bounded. Texts are cut, and new
+matches merged, some at a time: by number and by bytes. A match is coded whole, so
+beyond these bounds memory grows with the longest match and the longest text only.
 
-Null and empty texts have no tokens. All 256 single bytes must be in the
+Null and empty texts have no tokens, repeated rows come once each, columns other than
+id and text are not read (so their names cannot clash), and an empty table gives an empty result. All 256 single bytes must be in the
 vocabulary, so every text can be coded; decoding gives back its bytes."""
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import batched, id_text, remembers, rows
+from .common import batched, id_text, remembers, rows, slices
 
 REMEMBERED = 250_000
-#: texts whose new matches are merged together
-AT_ONCE = 256
+#: texts that are cut into matches at a time, by number and by UTF-8 bytes (one text at least)
+AT_ONCE, BYTES_AT_ONCE = 256, 2 << 20
+#: bytes of new matches that share a queue (one match at least)
+MERGED_BYTES = 256 << 10
 #: longer matches are coded each time, so that the memory stays bounded in bytes too
 REMEMBER_BYTES = 48
 
@@ -144,8 +150,9 @@ class ByteBPE:
             else:
                 new.append(m)
                 pieces.append(piece)
-        for m, piece, ids in zip(new, pieces, self.merge(pieces)):
-            (self.known if len(piece) <= REMEMBER_BYTES else more)[m] = array("I", ids).tobytes()
+        for part in slices(list(map(len, pieces)), len(pieces) or 1, MERGED_BYTES):
+            for m, piece, ids in zip(new[part], pieces[part], self.merge(pieces[part])):
+                (self.known if len(piece) <= REMEMBER_BYTES else more)[m] = array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -186,8 +193,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         def out():
             for b in batches:
-                for lo in range(0, b.num_rows, AT_ONCE):
-                    part = b.slice(lo, AT_ONCE)
+                for at in slices(pc.binary_length(b.column("text")).to_pylist(), AT_ONCE, BYTES_AT_ONCE):
+                    part = b.slice(at.start, at.stop - at.start)
                     yield from zip(part.column("doc_id").to_pylist(), bpe.encode(part.column("text").to_pylist()))
 
         yield from batched(out(), schema)

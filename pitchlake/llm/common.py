@@ -62,6 +62,18 @@ def rows(batches: Iterable[pa.RecordBatch], *names: str, at_once: int = 256) ->
             yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
+def slices(sizes: list[int], most: int, max_bytes: int) -> Iterator[slice]:
+    """Runs of at most ``most`` items whose sizes sum to at most ``max_bytes``; a larger item is a run of its own."""
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if i > lo and (i - lo >= most or held + size > max_bytes):
+            yield slice(lo, i)
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield slice(lo, len(sizes))
+
+
 _REMEMBERS: dict[str, Callable[[], None]] = {}
 
 

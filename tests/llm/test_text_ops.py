@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 
 from pitchlake.llm import bytebpe, idfiles, packing, quality, tokens
-from pitchlake.llm.common import scratch_path
+from pitchlake.llm.common import scratch_path, slices
 
 from conftest import SF001
 
@@ -177,6 +177,33 @@ def test_bpe_long_and_odd_matches():
             assert np.frombuffer(ids, dtype="<u4").tolist() == own.encode_ordinary(t)
 
 
+def test_bpe_memory_is_bounded_by_bytes():
+    """New matches share a queue up to so many bytes, however many a text has."""
+    import tracemalloc
+
+    rng, bpe = random.Random(5), bytebpe.ByteBPE(MULTI, P.PATTERN)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2000, 4000))) for _ in range(2000)]
+    assert [s.stop - s.start for s in slices([5, 5, 20, 1, 1, 1, 1], 3, 10)] == [2, 1, 3, 1] and not list(slices([], 3, 10))
+
+    def peak(n):
+        tracemalloc.start()
+        made = [zlib.crc32(ids) for ids in bpe.encode([" ".join(texts[:n])])]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return made, most
+
+    (one,), small = peak(250)
+    assert one == zlib.crc32(np.array(tiktoken_encoding().encode_ordinary(" ".join(texts[:250])), dtype="<u4").tobytes())
+    assert peak(500)[1] < 1.6 * small + 8_000_000 and small < 120_000_000
+
+
+def test_bpe_hostile_values(hostile):
+    """Repeated rows, null ids and clashing names: every row has the ids of its own text."""
+    own = tiktoken_encoding()
+    expected = Counter((r.doc_id, np.array(own.encode_ordinary(r.text or ""), dtype="<u4").tobytes()) for r in hostile.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, bytes(r.ids)) for r in bytebpe.encode(hostile, MULTI, P.PATTERN).collect()) == expected
+
+
 def test_bpe_hostile_and_empty(hostile, empty):
     assert bytebpe.encode(hostile, MULTI, P.PATTERN).count() == hostile.count()
     assert bytebpe.encode(empty, MULTI, P.PATTERN).count() == 0
