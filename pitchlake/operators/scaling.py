@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .gold import ID_COLUMNS, numeric_columns
 
@@ -171,26 +172,86 @@ def fit_pca(
     grams = gram_by_cohort(vec, "_x", len(cols), cohort, {k: (v["mean"], v["scale"]) for k, v in st.items()})
     d = len(cols)
     for key, s in st.items():
-        n = s["n"]
-        g = grams.get(key, np.zeros((d, d)))
-        cov = g / max(n - 1, 1)
-        w, v = np.linalg.eigh(cov)
-        order = np.argsort(w)[::-1]
-        w, v = np.clip(w[order], 0.0, None), v[:, order]
-        max_rank = min(d, max(1, n - 1)) if max_rank_rule else d
-        k = min(int(n_components), max_rank)
-        if k < 1:
-            raise ValueError(f"Cannot run PCA: n_components={n_components}, max_rank={max_rank}")
-        comps = v[:, :k].T.copy()
-        for r in range(k):  # deterministic sign: largest-magnitude loading positive
-            if comps[r, np.argmax(np.abs(comps[r]))] < 0:
-                comps[r] *= -1
-        total = float(np.sum(w))
-        evr = w[:k] / total if total > 0 else np.zeros(k)
-        model.params[key] = {"n": n, "mean": s["mean"], "scale": s["scale"], "components": comps, "evr": evr, "ev": w[:k]}
+        model.params[key] = _principal(grams.get(key, np.zeros((d, d))), s, n_components, max_rank_rule)
     return model
 
 
+def _principal(gram: np.ndarray, stats: dict, n_components: int, max_rank_rule: bool = True) -> dict:
+    """Leading components of one cohort from the Gram matrix of its standardised rows."""
+    n, d = stats["n"], len(gram)
+    w, v = np.linalg.eigh(gram / max(n - 1, 1))
+    order = np.argsort(w)[::-1]
+    w, v = np.clip(w[order], 0.0, None), v[:, order]
+    max_rank = min(d, max(1, n - 1)) if max_rank_rule else d
+    k = min(int(n_components), max_rank)
+    if k < 1:
+        raise ValueError(f"Cannot run PCA: n_components={n_components}, max_rank={max_rank}")
+    comps = v[:, :k].T.copy()
+    for r in range(k):  # deterministic sign: largest-magnitude loading positive
+        if comps[r, np.argmax(np.abs(comps[r]))] < 0:
+            comps[r] *= -1
+    total = float(np.sum(w))
+    evr = w[:k] / total if total > 0 else np.zeros(k)
+    return {"n": n, "mean": stats["mean"], "scale": stats["scale"], "components": comps, "evr": evr, "ev": w[:k]}
+
+
+# ------------------------------------------------------------------ many cohorts, each with features of its own
+
+
+def stacked(frames: dict[tuple, DataFrame], features: dict[tuple, Sequence[str]], cohort: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows of all frames: cohort columns, those of ``keep`` that exist, and ``_f``, the frame's own features.
+
+    ``_f`` has one width for all: a shorter one ends in zeros, and the last element is always one of them."""
+    width, out = 1 + max(len(features[key]) for key in frames), None
+    for key, df in frames.items():
+        values = [F.col(c).cast("double") for c in features[key]]
+        vector = F.array(*values, *[F.lit(0.0)] * (width - len(values))).alias("_f")
+        part = df.select(*[F.lit(v).alias(c) for c, v in zip(cohort, key)], *[c for c in keep if c in df.columns and c not in cohort], vector)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def stacked_moments(rows: DataFrame, features: dict[tuple, Sequence[str]], cohort: Sequence[str]) -> dict[tuple, dict]:
+    """Per cohort of ``stacked`` rows: n, count of present values, mean and scale of its own features (two passes for all)."""
+    from .moments import column_moments
+
+    width, out = 1 + max(len(f) for f in features.values()), {}
+    for key, m in column_moments(rows, "_f", width, cohort).items():
+        d = len(features[key])
+        scale = np.where((m["std"] > 0) & np.isfinite(m["std"]), m["std"], 1.0)
+        out[key] = {"n": int(m["count"][-1]), "count": m["count"][:d], "mean": m["mean"][:d], "scale": scale[:d]}
+    return out
+
+
+def fit_pca_stacked(rows: DataFrame, features: dict[tuple, Sequence[str]], n_components: dict[tuple, int], moments: dict[tuple, dict], cohort: Sequence[str]) -> dict[tuple, PcaModel]:
+    """A model per cohort of ``stacked`` rows without missing values, all from one pass; equal to ``fit_pca`` of each alone."""
+    width = len(rows.select("_f").first()[0])
+    padded = {key: (np.pad(m["mean"], (0, width - len(m["mean"]))), np.pad(m["scale"], (0, width - len(m["scale"])), constant_values=1.0)) for key, m in moments.items()}
+    models = {}
+    for key, whole in gram_by_cohort(rows, "_f", width, cohort, padded).items():
+        d = len(features[key])
+        models[key] = PcaModel(list(features[key]), [], {(): _principal(whole[:d, :d], moments[key], n_components[key])})
+    return models
+
+
+def transform_stacked(rows: DataFrame, models: dict[tuple, PcaModel], cohort: Sequence[str], out_col: str = "_pca") -> DataFrame:
+    """``stacked`` rows with their projection by the model of their cohort (row-parallel)."""
+    ck, schema = list(cohort), T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    params = {key: tuple(m.params[()][p] for p in ("mean", "scale", "components")) for key, m in models.items()}
+
+    def run(batches):
+        for pdf in batches:
+            out = [None] * len(pdf)
+            for key, at in pdf.groupby(ck, sort=False, dropna=False).indices.items() if len(pdf) else ():
+                mean, scale, components = params[key]
+                x = np.vstack(pdf["_f"].to_numpy()[at]).astype(float)[:, : len(mean)]
+                for i, row in zip(at, (x - mean) / scale @ components.T):
+                    out[i] = row
+            yield pdf.assign(**{out_col: out})
+
+    return rows.mapInPandas(run, schema)
+
+
 def transform(df: DataFrame, model: PcaModel, out_col: str = "pca") -> DataFrame:
     """Project rows with a fitted scaler + PCA. Missing feature columns raise;
     NULL features raise at the caller's ``assert_no_missing``."""

@@ -1,8 +1,9 @@
 """Gold -> clusters (M9-M13, M20) and gold -> neighbours.
 
-``fit_cohort`` is the per-(role, year) unit: standardise (population std) ->
-PCA -> Gaussian mixture (best of ``n_init``) -> assignments + quality scores +
-metadata. Each step is distributed; only parameters reach the driver.
+For each (role, year) cohort: standardise (population std) -> PCA -> Gaussian
+mixture (best of ``n_init``) -> assignments + quality scores + metadata.
+``fit_cohorts`` takes all cohorts through each step in the same jobs; only
+parameters reach the driver.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from ..operators import knn as knn_ops
 from ..operators import metrics as mt
 from ..operators import mixture as mx
 from ..operators import scaling as sc
-from ..operators.gold import assert_no_missing, missing_value_report
+from ..operators.gold import assert_no_missing
 from ..session import cut_lineage
 from ..sources import lake
 from .gold import roles_for
 
 MIN_SAMPLES = 3
+COHORT = ("role", "year")
 METRICS = ("minkowski", "euclidean", "manhattan", "chebyshev")
 
 
@@ -73,7 +75,7 @@ def cohort_metadata(role: str, year: int, n: int, spec: ClusterSpec, pca: sc.Pca
     """The cohort's JSON document. Its key names are a fixed contract."""
     fitted = pca.params[()]
     features = list(pca.feature_columns)
-    document = {"role": role, "year": int(year), "n_samples": int(n), **{f"{k}": v for k, v in asdict(spec).items() if k != "covariance_type"}}
+    document = {"role": role, "year": int(year), "n_samples": int(n), **{k: v for k, v in asdict(spec).items() if k != "covariance_type"}}
     document |= {"n_features_used": len(features), "feature_columns": features, "feature_columns_sha256_16": feature_hash(features)}
     document |= {"clustering_index_columns": list(index), "clustering_method": "gaussian_mixture"}
     ratios = [float(x) for x in fitted["evr"]]
@@ -84,49 +86,93 @@ def cohort_metadata(role: str, year: int, n: int, spec: ClusterSpec, pca: sc.Pca
 
 def fit_cohort(df: DataFrame, *, role: str, year: int, config: ClusterSpec, id_col: str = "player_id"):
     """(assignments, metadata, (PCA model, mixture)) of one cohort; ValueError names every fault of its input."""
-    features = sc.model_feature_columns(df)
-    missing, n = missing_value_report(df, features, with_count=True) if features else ({}, df.count())
-    if faults := spec_faults(config, features, n, missing):
-        raise ValueError(f"{role} {year}: " + "; ".join(faults))
-    pca = sc.fit_pca(df, features, config.pca_n_components)
-    points = cut_lineage(sc.transform(df, pca, "_pca"))
-    gmm = mx.fit_mixture(
-        points, "_pca", config.n_clusters, covariance_type=config.covariance_type, n_init=config.n_init, seed=config.random_state, checkpoint=False
-    )
-    labelled = mx.predict(points, "_pca", gmm, out_col="cluster_id").persist()
-    try:
-        likelihood = mx.score(points, "_pca", gmm).first()
-        shape = mt.silhouette(labelled, id_col=id_col, vec_col="_pca", label_col="cluster_id").first() if n > config.n_clusters else None
-        scores = {
-            "gmm_aic": float(likelihood["aic"]),
-            "gmm_bic": float(likelihood["bic"]),
-            "silhouette_score": None if shape is None else shape["silhouette"],
-            "davies_bouldin_score": mt.davies_bouldin(labelled, "_pca", "cluster_id").first()["davies_bouldin"],
-        }
-    finally:
-        labelled.unpersist()
-    index = [c for c in sc.INDEX_COLUMNS if c in df.columns]
-    return labelled.select(*index, *features, "cluster_id"), cohort_metadata(role, year, n, config, pca, gmm[()], index, scores), (pca, gmm[()])
+    result = fit_cohorts({(role, year): df}, {(role, year): config}, id_col=id_col)[(role, year)]
+    if isinstance(result, Exception):
+        raise result
+    return result
 
 
-def fit_cohorts(frames: dict[tuple, DataFrame], configs: dict[tuple, ClusterSpec], *, max_workers: int = 4):
-    """``fit_cohort`` for many (role, year) cohorts. The fits are independent, so
-    they are submitted from a small driver thread pool and Spark runs their
-    (small) jobs concurrently. Returns {key: result or exception}."""
-    from concurrent.futures import ThreadPoolExecutor
+def fit_cohorts(frames: dict[tuple, DataFrame], configs: dict[tuple, ClusterSpec], *, id_col: str = "player_id") -> dict[tuple, object]:
+    """What ``fit_cohort`` gives, for many (role, year) cohorts in the same jobs: {key: result or exception}.
 
-    def one(key):
+    The rows of all cohorts are one table, each with a vector of its cohort's own features. Checks, moments, components
+    and projections take one pass each whatever the number of cohorts; those of one spec share every pass of the
+    mixture fit, and one that has converged leaves it. Where a shared fit fails, its cohorts are fitted one by one,
+    so that only the failing ones are reported."""
+    if not frames:
+        return {}
+    features = {key: sc.model_feature_columns(df) for key, df in frames.items()}
+    rows = cut_lineage(sc.stacked(frames, features, COHORT, dict.fromkeys((id_col, *sc.INDEX_COLUMNS))))
+    moments = sc.stacked_moments(rows, features, COHORT)
+    results: dict[tuple, object] = {}
+    for key, names in features.items():
+        m = moments.get(key, {"n": 0, "count": [0] * len(names)})
+        missing = {c: m["n"] - int(k) for c, k in zip(names, m["count"]) if k < m["n"]}
+        if faults := spec_faults(configs[key], names, m["n"], missing):
+            results[key] = ValueError(f"{key[0]} {key[1]}: " + "; ".join(faults))
+    sound = [key for key in frames if key not in results]
+    if not sound:
+        return results
+    rows = _of(rows, sound, frames)
+    pcas = sc.fit_pca_stacked(rows, features, {key: configs[key].pca_n_components for key in sound}, {key: moments[key] for key in sound}, COHORT)
+    points = cut_lineage(sc.transform_stacked(rows, pcas, COHORT))
+    alike: dict[tuple, list[tuple]] = {}
+    for key in sound:
+        alike.setdefault((configs[key], pcas[key].n_components()), []).append(key)
+    for (spec, _), keys in alike.items():
+        part = _of(points, keys, sound)
         try:
-            role, year = key
-            return key, fit_cohort(frames[key], role=role, year=year, config=configs[key])
-        except Exception as exc:  # recorded per cohort
-            return key, exc
+            fits = _fit_alike(part, spec, keys, moments, id_col)
+        except Exception as shared:
+            fits = {keys[0]: shared} if len(keys) == 1 else {}
+            for key in keys if len(keys) > 1 else ():
+                try:
+                    fits |= _fit_alike(_of(part, [key], keys), spec, [key], moments, id_col)
+                except Exception as own:  # reported for this cohort
+                    fits[key] = own
+        for key, fit in fits.items():
+            if not isinstance(fit, Exception):
+                labelled, gmm, scores = fit
+                types = frames[key].schema
+                index = [c for c in sc.INDEX_COLUMNS if c in frames[key].columns]
+                own = [F.col("_f")[i].cast(types[c].dataType).alias(c) for i, c in enumerate(features[key])]
+                assignments = labelled.select(*[F.col(c).cast(types[c].dataType).alias(c) for c in index], *own, "cluster_id")
+                fit = assignments, cohort_metadata(*key, moments[key]["n"], spec, pcas[key], gmm, index, scores), (pcas[key], gmm)
+            results[key] = fit
+    return results
+
+
+def _of(rows: DataFrame, keys, among) -> DataFrame:
+    """The rows of these cohorts; all of them where there are no others."""
+    if len(keys) == len(among):
+        return rows
+    return rows.where(F.struct(*COHORT).isin([F.struct(*[F.lit(v) for v in key]) for key in keys]))
 
-    keys = sorted(frames)
-    if len(keys) <= 1 or max_workers <= 1:
-        return dict(one(k) for k in keys)
-    with ThreadPoolExecutor(max_workers=min(max_workers, len(keys))) as pool:
-        return dict(pool.map(one, keys))
+
+def _fit_alike(points: DataFrame, spec: ClusterSpec, keys: Sequence[tuple], moments: Mapping[tuple, dict], id_col: str) -> dict[tuple, tuple]:
+    """{cohort: (its labelled rows, mixture, scores)} of cohorts that share a spec."""
+    gmms = mx.fit_mixture(
+        points, "_pca", spec.n_clusters, cohort=COHORT, covariance_type=spec.covariance_type, n_init=spec.n_init, seed=spec.random_state, checkpoint=False
+    )
+    labelled = mx.predict(points, "_pca", gmms, COHORT, out_col="cluster_id").persist()
+    by_key = lambda df: {tuple(r[c] for c in COHORT): r for r in df.collect()}
+    try:
+        likelihood = by_key(mx.score(points, "_pca", gmms, COHORT))
+        shaped = [key for key in keys if moments[key]["n"] > spec.n_clusters]
+        shape = by_key(mt.silhouette(_of(labelled, shaped, keys), id_col=id_col, vec_col="_pca", label_col="cluster_id", cohort=COHORT)) if shaped else {}
+        spread = by_key(mt.davies_bouldin(labelled, "_pca", "cluster_id", COHORT))
+    finally:
+        labelled.unpersist()
+    out = {}
+    for key in keys:
+        scores = {
+            "gmm_aic": float(likelihood[key]["aic"]),
+            "gmm_bic": float(likelihood[key]["bic"]),
+            "silhouette_score": shape[key]["silhouette"] if key in shape else None,
+            "davies_bouldin_score": spread[key]["davies_bouldin"],
+        }
+        out[key] = (_of(labelled, [key], keys), gmms[key], scores)
+    return out
 
 
 def build_clustering(
@@ -137,7 +183,6 @@ def build_clustering(
     years,
     role_filter: str = "all",
     specs: Specs,
-    max_workers: int = 4,
 ) -> dict:
     """Every cohort found; per-cohort failures are collected, the rest continue."""
     roles = roles_for(role_filter)
@@ -153,7 +198,7 @@ def build_clustering(
             frames[(role, year)] = cohort.withColumn("role", F.lit(role)).withColumn("year", F.lit(year))
         except Exception as exc:
             errors.append({"role": role, "year": year, "error": str(exc)})
-    for (role, year), res in sorted(fit_cohorts(frames, configs, max_workers=max_workers).items()):
+    for (role, year), res in sorted(fit_cohorts(frames, configs).items()):
         if isinstance(res, Exception):
             errors.append({"role": role, "year": year, "error": str(res)})
             continue

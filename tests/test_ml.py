@@ -9,7 +9,7 @@ from pitchlake.operators import metrics as mt
 from pitchlake.operators import mixture as mx
 from pitchlake.operators import scaling as sc
 from pitchlake.operators import tuning as tn
-from pitchlake.plans.clustering import ClusterSpec, fit_cohort, spec_of
+from pitchlake.plans.clustering import ClusterSpec, fit_cohort, fit_cohorts, spec_of
 
 
 def _blobs(n_per=75, centres=4, d=6, seed=42, std=0.6):
@@ -192,6 +192,55 @@ def test_fit_cohort_end_to_end(spark):
     assert meta["silhouette_score"] > 0.5 and meta["davies_bouldin_score"] > 0
 
 
+def _cohorts(spark):
+    """Four cohorts that differ in features, size and place; one of them has a missing value."""
+    frames = {}
+    for i, (role, year, d) in enumerate([("batter", 2023, 5), ("batter", 2024, 4), ("pitcher", 2023, 5), ("pitcher", 2024, 3)]):
+        x, _ = _blobs(n_per=20 + i, centres=3, d=d)
+        df = _frame(spark, x + 10 * i).withColumn("role", F.lit(role)).withColumn("year", F.lit(year))
+        frames[role, year] = df.withColumnRenamed("f1", f"own_{i}")
+    frames["pitcher", 2023] = frames["pitcher", 2023].withColumn("f0", F.when(F.col("player_id") > 0, F.col("f0")))
+    frames["batter", 2024] = frames["batter", 2024].drop("n_pitches_total")
+    return frames
+
+
+def test_all_cohorts_in_the_same_jobs(spark):
+    """Each cohort gets what it gets alone; a faulty one is reported and stops no other."""
+    frames = _cohorts(spark)
+    specs = {key: ClusterSpec(2, 3, n_init=2) if key[0] == "batter" else ClusterSpec(2, 2, n_init=1, covariance_type="diag") for key in frames}
+    together = fit_cohorts(frames, specs)
+    assert set(together) == set(frames)
+    assert isinstance(together["pitcher", 2023], ValueError) and "missing values: f0 (1)" in str(together["pitcher", 2023])
+    for key in set(frames) - {("pitcher", 2023)}:
+        assign, meta, (pca, gmm) = together[key]
+        alone = fit_cohort(frames[key], role=key[0], year=key[1], config=specs[key])
+        own = sc.fit_pca(frames[key], sc.model_feature_columns(frames[key]), 2)
+        assert pca.feature_columns == own.feature_columns and np.allclose(pca.params[()]["components"], own.params[()]["components"], atol=1e-9)
+        assert np.allclose(gmm.means, alone[2][1].means, atol=1e-8) and gmm.n_iter == alone[2][1].n_iter
+        assert assign.columns == alone[0].columns and ("n_pitches_total" in assign.columns) == (key != ("batter", 2024))
+        assert [f.dataType for f in assign.schema] == [f.dataType for f in alone[0].schema]
+        assert sorted(map(tuple, assign.collect())) == sorted(map(tuple, alone[0].collect()))
+        features = sc.model_feature_columns(frames[key])
+        assert sorted(map(tuple, assign.select("player_id", *features).collect())) == sorted(map(tuple, frames[key].select("player_id", *features).collect()))
+        for name in ("gmm_aic", "gmm_bic", "silhouette_score", "davies_bouldin_score", "n_samples"):
+            assert meta[name] == pytest.approx(alone[1][name], rel=1e-9)
+    assert fit_cohorts({}, {}) == {}
+
+
+def test_a_failing_fit_is_reported_alone(spark, monkeypatch):
+    frames = {key: df for key, df in _cohorts(spark).items() if key[0] == "batter"}
+    fit = mx.fit_mixture
+
+    def fails(df, *args, **kwargs):
+        if df.where("year = 2024").count():
+            raise np.linalg.LinAlgError("not positive definite")
+        return fit(df, *args, **kwargs)
+
+    monkeypatch.setattr(mx, "fit_mixture", fails)
+    done = fit_cohorts(frames, {key: ClusterSpec(2, 3, n_init=1) for key in frames})
+    assert isinstance(done["batter", 2024], np.linalg.LinAlgError) and done["batter", 2023][1]["n_samples"] == 60
+
+
 def test_sweeps_and_best(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(80, 3))
