@@ -286,6 +286,21 @@ def missing_value_report(df: DataFrame, cols: Sequence[str] | None = None, *, wi
     return (report, int(row["_rows"])) if with_count else report
 
 
+def missing_by_cohort(frames: dict[tuple, DataFrame]) -> dict[tuple, dict[str, int]]:
+    """P30 for many cohorts in one job: {cohort: {numeric column: rows without a value}}, only where there are any."""
+    keys, every = list(frames), None
+    for i, key in enumerate(keys):
+        cols = [c for c in numeric_columns(frames[key]) if c not in ("role", "year")]
+        counts = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias("n")) for c in cols]
+        if counts:
+            one = frames[key].agg(F.filter(F.array(*counts), lambda x: x["n"] > 0).alias("bad")).select(F.lit(i).alias("at"), F.inline("bad"))
+            every = one if every is None else every.unionByName(one)
+    out: dict[tuple, dict[str, int]] = {}
+    for r in every.collect() if every is not None else ():
+        out.setdefault(keys[r["at"]], {})[r["column"]] = r["n"]
+    return out
+
+
 def assert_no_missing(df: DataFrame, cols: Sequence[str] | None = None, what: str = "gold features") -> None:
     bad = missing_value_report(df, cols)
     if bad:

@@ -49,8 +49,9 @@ def build_silver_to_gold(
         # per-type map columns -> pitch_type_<PT>_share / pt_<PT>_* columns (small table)
         silver = widen_maps(silver)
         gold = gd.preprocess_cohorts(silver, config)
+        if bad := gd.missing_by_cohort(gold.frames):
+            raise ValueError("NaN values remain in numeric gold features: " + "; ".join(f"{key}: {sorted(cols)}" for key, cols in sorted(bad.items())))
         for key, frame in gold.frames.items():
-            gd.assert_no_missing(frame, [c for c in gd.numeric_columns(frame) if c not in ("role", "year")])
             lake.write_partitioned(frame, gold_root, ("role", "year"))
             done.append({"role": key[0], "year": int(key[1]), "rows": gold.sizes[key]})
             documents.append(gd.cohort_metadata(gold, key, config))

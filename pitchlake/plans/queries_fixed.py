@@ -113,6 +113,42 @@ def _loading_sql(j: int) -> str:
 register("project_fixed_model", f"WITH {_E} SELECT vec_id, {_loading_sql(1)} AS z0, {_loading_sql(2)} AS z1 FROM e")(_fixed_projection)
 
 
+# The similarity job over two cohorts, each with the saved model that lies beside it
+_Z = ", ".join(f"list_sum(list_transform(range({D}), lambda i: (v[i + 1] - {_MEAN_SQL.format(j=0)}) / (1 + (i % 3) / 4) * {_MEAN_SQL.format(j=j)})) AS z{j}" for j in (1, 2))
+register(
+    "similarity_saved_model",
+    f"""WITH {_E}, z AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'batter' ELSE 'pitcher' END AS role, {_Z} FROM e),
+p AS (SELECT a.role, a.vec_id, b.vec_id AS other, sqrt(pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2)) AS distance
+      FROM z a JOIN z b ON a.role = b.role AND a.vec_id <> b.vec_id),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY role, vec_id ORDER BY distance, other) AS neighbor_rank FROM p)
+SELECT vec_id AS player_id, role, CAST(2024 AS INT) AS year, CAST(neighbor_rank AS INT) AS neighbor_rank, other AS neighbor_player_id, ROUND(distance, 9) AS distance
+FROM n WHERE neighbor_rank <= 5""",
+)(lambda spark, d: similarity_saved_model(spark, d))
+
+
+def similarity_saved_model(spark, d):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import lake
+    from .clustering import build_similarity
+
+    wide, cols = _emb_features(spark, d)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/similar-{uuid.uuid4().hex}"
+    role = F.when(F.col("vec_id") % 2 == 0, "batter").otherwise("pitcher")
+    gold = wide.select(F.col("vec_id").alias("player_id"), role.alias("role"), F.lit(2024).alias("year"), *cols)
+    lake.write_partitioned(gold, f"{root}/gold", ("role", "year"))
+    scale = np.array([1 + (i % 3) / 4 for i in range(D)])
+    for name in ("batter", "pitcher"):
+        model = sc.PcaModel(cols, [], {(): {"n": 2, "mean": MEANS[0], "scale": scale, "components": MEANS[1:], "evr": np.ones(2), "ev": np.ones(2)}})
+        model.save(spark, f"{root}/models/role={name}/year=2024/pca")
+    done = build_similarity(spark, gold_root=f"{root}/gold", model_root=f"{root}/models", out_root=f"{root}/out", years=[2024], k_neighbors=5)
+    if done["status"] != "ok":
+        raise ValueError(f"similarity: {done}")
+    near = lake.read_partitioned(spark, f"{root}/out/neighbors")
+    return finalize(near.select("player_id", "role", "year", F.col("neighbor_rank").cast("int").alias("neighbor_rank"), "neighbor_player_id", "distance"), 9)
+
+
 # M6 / M7: what holds for any right principal components, from the fitted model and the projected rows
 register(
     "pca_invariants",

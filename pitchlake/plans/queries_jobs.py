@@ -195,3 +195,56 @@ def landed_corrections(spark, d):
     held = lake.read_partitioned(spark, aside).groupBy("year").agg(
         F.count(F.lit(1)).alias("n_quarantined"), F.max(F.array_join("_reason", ",")).alias("reason"))
     return finalize(kept.join(held, "year"))
+
+
+# Seven position boards come as CSV with untidy headers and drifting columns, land by year as data
+# sets of their own, and are read back over all years and united
+register(
+    "position_boards",
+    f"""{fx.oracle_ctes('field_board')}
+SELECT 3 + file_order % 7 AS position, year, player_id, outs_above_average,
+  CASE WHEN (3 + file_order % 7) % 2 = 1 THEN actual_success_rate_formatted END AS actual_success_rate_formatted
+FROM field_board""",
+)(lambda spark, d: position_boards(spark, d))
+
+HEADERS = {"year": "Year", "player_id": " Player ID", "outs_above_average": "Outs Above Average", "actual_success_rate_formatted": "Actual Success Rate (formatted)"}
+
+
+def position_boards(spark, d):
+    board, files, root = fx.field_board(spark, d), _folder(spark, "csv"), _folder(spark, "boards")
+    first, last = board.agg(F.min("year"), F.max("year")).first()
+    names = {pos: f"oaa_{pos}" for pos in range(3, 10)}
+    delivered = {}
+    for pos, name in names.items():
+        columns = [F.col(c).alias(h) for c, h in HEADERS.items() if pos % 2 or c != "actual_success_rate_formatted"]
+        own = board.where(F.col("file_order") % 7 == pos - 3).select(*columns)
+        own.write.option("header", True).csv(lake.join_path(files, name))
+        delivered[name] = landing.read_leaderboard_csv(spark, lake.join_path(files, name))
+    status = landing.land_years(delivered, first_year=first, last_year=last, root=root)
+    if status["status"] == "error":  # partial where a year lacks some of the boards
+        raise ValueError(f"boards: {status}")
+    landed = {pos: lake.read_leaderboard_years(spark, root, name, first, last).drop(lake.FILE_ORDER) for pos, name in names.items()}
+    types = {"year": board.schema["year"].dataType, "player_id": board.schema["player_id"].dataType, "outs_above_average": board.schema["outs_above_average"].dataType}
+    united = landing.union_position_boards(landed).withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+    return united.select(F.col("position").cast("long").alias("position"), *types, F.col("actual_success_rate_formatted").cast("string"))
+
+
+# 2.11a: a delivery and a later one that corrects the odd pitches, taken up by the stream in a run each; the last copy of each pitch counts
+register(
+    "stream_corrections",
+    f"""{P}, s AS (SELECT date_trunc('month', game_date) AS month, game_pk, at_bat_number, pitch_number, MAX(release_speed) AS speed
+      FROM pitches WHERE game_date IS NOT NULL GROUP BY ALL)
+SELECT CAST(month AS DATE) AS month, game_pk, at_bat_number, pitch_number, ROUND(speed + pitch_number % 2, 10) AS speed FROM s""",
+)(lambda spark, d: stream_corrections(spark, d))
+
+
+def stream_corrections(spark, d):
+    from ..streaming.bronze_stream import land_stream, pitch_stream
+
+    key = ("game_pk", "at_bat_number", "pitch_number")
+    src = fx.pitches(spark, d).groupBy(F.trunc("game_date", "month").alias("month"), *key).agg(F.max("release_speed").alias("speed"))
+    files, bronze, progress = _folder(spark, "delivered"), _folder(spark, "bronze"), _folder(spark, "progress")
+    for run, delivery in enumerate((src, src.where("pitch_number % 2 = 1").withColumn("speed", F.col("speed") + 1))):
+        delivery.repartition(3, *key).write.parquet(f"{files}/run={run}")
+        land_stream(pitch_stream(spark, f"{files}/*", src.schema), bronze_root=bronze, checkpoint_location=progress, date_col="month", key_cols=key).awaitTermination()
+    return finalize(lake.read_partitioned(spark, bronze).select("month", *key, "speed"))

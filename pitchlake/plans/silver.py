@@ -173,11 +173,9 @@ def build_bronze_to_silver(
                 return stopped("error", f"rates of {role} outside [0, 1]: " + ", ".join(f"{r['column']} in {r['count']} rows" for r in bad))
         rows, years = 0, set()
         for df in tables.values():
-            counts = {int(r["year"]): int(r["count"]) for r in df.groupBy("year").count().collect()}
-            if counts:
-                lake.write_partitioned(df, silver_root, ("role", "year"))
-                rows += sum(counts.values())
-                years.update(counts)
+            done = lake.write_partitioned(df, silver_root, ("role", "year"), observe={"rows": F.count(F.lit(1)), "years": F.collect_set("year")})
+            rows += done["rows"]
+            years.update(int(y) for y in done["years"])
     finally:
         for df in tables.values():
             df.unpersist()

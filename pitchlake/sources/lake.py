@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Leaderboard dataset names.
@@ -157,23 +158,28 @@ def write_partitioned(
     *,
     compression: str = "snappy",
     fmt: str = "parquet",
-) -> None:
-    """Dynamic partition overwrite.
+    observe: Mapping[str, Column] | None = None,
+) -> dict[str, Any]:
+    """Dynamic partition overwrite; gives the ``observe`` aggregates over the written rows.
 
     Rows are clustered by the partition columns with the ``rebalance`` hint: each
     output partition is written by few tasks (no small-file explosion), and AQE
     splits a skewed one (a day or season holding a large share of the rows)
-    over several tasks instead of funnelling it through one.
+    over several tasks instead of funnelling it through one. Aggregates are taken
+    by the writing tasks, beyond the last shuffle, so a repeated stage counts no row twice.
     """
+    rows, seen = df.hint("rebalance", *partition_cols), Observation()
+    if observe:
+        rows = rows.observe(seen, *[c.alias(name) for name, c in observe.items()])
     (
-        df.hint("rebalance", *partition_cols)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")  # per write: safe with concurrent jobs
         .option("compression", compression)
         .partitionBy(*partition_cols)
         .format(fmt)
         .save(root)
     )
+    return dict(seen.get) if observe else {}
 
 
 def drop_file_partition_columns(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:

@@ -94,3 +94,11 @@ def test_nan_check_raises(spark):
         gd.assert_no_missing(df)
     assert gd.missing_value_report(df.fillna(0.0)) == {}
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_missing_values_of_all_cohorts_in_one_job(spark):
+    a = spark.createDataFrame([(1, "x", 1.0, 2), (2, "y", None, 3), (3, "z", float("nan"), None)], "player_id long, role string, a double, b int")
+    b = spark.createDataFrame([(1, 5.0)], "player_id long, c double")
+    none = spark.createDataFrame([("only text",)], "role string")
+    assert gd.missing_by_cohort({("batter", 1): a, ("batter", 2): b, ("pitcher", 1): none}) == {("batter", 1): {"a": 2, "b": 1}}
+    assert gd.missing_by_cohort({}) == {} and gd.missing_by_cohort({("batter", 2): b.limit(0)}) == {}

@@ -296,3 +296,15 @@ def test_quarantine_and_delivery_order(spark, tmp_path):
     assert "_reason" not in read.columns and read.count() == 300
     kept = {r["pitch_number"]: r["speed"] for r in dedupe_last(read, ("pitcher", "year"), order_cols=(lake.FILE_ORDER,)).collect()}
     assert kept == {n: 90.0 if n % 2 else 95.0 for n in range(200)}
+
+
+def test_writes_report_what_they_wrote(spark, tmp_path):
+    """Observed aggregates are those of the rows written, whatever the partitions; an empty write reports none."""
+    df = spark.range(1000).selectExpr("id", "'pitcher' AS role", "cast(2020 + id % 3 AS int) AS year").repartition(7)
+    seen = {"rows": F.count(F.lit(1)), "years": F.collect_set("year")}
+    done = lake.write_partitioned(df, str(tmp_path / "t"), ("role", "year"), observe=seen)
+    assert done["rows"] == 1000 and sorted(done["years"]) == [2020, 2021, 2022]
+    assert lake.read_partitioned(spark, str(tmp_path / "t")).count() == 1000
+    none = lake.write_partitioned(df.limit(0), str(tmp_path / "u"), ("role", "year"), observe=seen)
+    assert none["rows"] == 0 and none["years"] == []
+    assert lake.write_partitioned(df, str(tmp_path / "t"), ("role", "year")) == {}
