@@ -25,8 +25,9 @@ probability under one in a hundred thousand.
 
 Null, empty and blank texts have empty sets and link with nothing. Rows with
 null ids are not linked: their component is null and they are kept. Rows with
-equal ids get one component; where their texts differ, each text counts. An
-empty table gives an empty result."""
+equal ids get one component; where their texts differ, each text counts. Columns
+other than id and text are not read, so their names cannot clash. An empty table
+gives an empty result."""
 
 from __future__ import annotations
 
@@ -48,17 +49,19 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 #: share of equal signature values from which a pair is confirmed; 4.4 standard deviations below a similarity of 0.75
 LIKELY = 0.625
 BLOCK = 2048
-REMEMBERED = 250_000
+#: words whose hashes are remembered: their number, and the bytes of each at most
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
 
 
 class _Words(dict):
-    """Hashes of words; remembers a bounded number."""
+    """Hashes of words; remembers a bounded number of short ones."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 

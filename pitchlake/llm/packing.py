@@ -9,8 +9,9 @@ merged into full ones; at most one unfinished window a partition is left, and
 those are merged in groups of ``merge_group`` partitions. What then remains is
 cut at powers of two, which need no padding.
 
-Empty texts hold just the end id. Null ids are carried as they are. An empty
-table gives no pieces."""
+Null and empty texts hold just the end id. Null ids are carried as they are, repeated
+rows are packed each on its own, and columns other than id and text are not read, so
+their names cannot clash. An empty table gives no pieces."""
 
 from __future__ import annotations
 

@@ -9,8 +9,11 @@ words in content lines decides whether the document is kept. Simple base rules
 (too few words, too many repeated words) reject on their own.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are
-judged each on its own. Without labelled rows all weights are zero; ties go to
-content."""
+judged each on its own; the fit takes one text of an id (the least) and one label (the
+least), so repeats do not widen its bound. Null ids are judged, and never fitted to.
+Columns other than id and text are not read, so their names cannot clash. Without
+labelled rows all weights are zero; ties go to content. An empty table gives an
+empty result."""
 
 from __future__ import annotations
 
@@ -196,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000, id_col: st
     picked = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .dropna()
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
@@ -209,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000, id_col: st
         yield from batched(out(), schema)
 
     held = id_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")  # at most max_labelled rows
+    held = held.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # and now at most one text for each
     got = sorted((r.doc_id, r.label, bytes(r.features)) for r in held.mapInArrow(lines, "doc_id long, label int, features binary").collect())
     return train([(np.frombuffer(f, dtype=np.uint8).reshape(-1, len(EDGES)), int(y > 0)) for _, y, f in got])
 

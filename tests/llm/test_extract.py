@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -176,6 +177,13 @@ def test_redaction(spark, hostile, empty):
     assert pii.personal_data(empty).count() == 0 and pii.redact(empty, model).count() == 0
 
 
+def test_personal_data_hostile_values(hostile):
+    """Repeated rows, null ids and clashing names: every row has the base spans of its own text."""
+    got = Counter((r.doc_id, r.base_sha256) for r in pii.personal_data(hostile).collect())
+    plain = lambda t: hashlib.sha256(pii.listed(plain_spans(t or "")).encode()).hexdigest()
+    assert got == Counter((r.doc_id, plain(r.text)) for r in hostile.select("doc_id", "text").collect())
+
+
 # -- fingerprints ----------------------------------------------------------
 
 
@@ -255,6 +263,12 @@ def test_differing_paragraphs_are_located(spark):
     assert r.at == [17] and len(set(r.a.sections) - set(r.b.sections)) == 1
 
 
+def test_fingerprints_hostile_values(hostile):
+    """Repeated rows, null ids and clashing names: every row has the root of its own text."""
+    got = Counter((r.doc_id, r.n_chars, r.fingerprint) for r in merkle.compared(hostile).collect())
+    assert got == Counter((r.doc_id, len(r.text or ""), plain_root(r.text or "")) for r in hostile.select("doc_id", "text").collect())
+
+
 def test_fingerprints_hostile_and_empty(spark, hostile, empty):
     assert merkle.compared(hostile).count() == hostile.count()
     assert merkle.compared(empty).count() == 0

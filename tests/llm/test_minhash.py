@@ -144,3 +144,12 @@ def test_sets_follow_ascii_rules():
     assert minhash.shingles("A B c d e").tolist() == minhash.shingles("a b C\nd\x0be").tolist()
     assert minhash.shingles("É b c d e").tolist() != minhash.shingles("é b c d e").tolist()
     assert len(minhash.shingles("a\xa0b c")) == 1 and len(minhash.shingles(" \t")) == 0
+
+
+def test_long_words_are_not_remembered():
+    """Words of any length are hashed; the memory holds short ones only, so it is bounded in bytes."""
+    minhash._WORDS.clear()
+    text = " ".join(f"{i:06d}" + "x" * 50_000 for i in range(100))
+    assert len(minhash.shingles(text)) == 96 and not minhash._WORDS
+    assert minhash.shingles(text).tolist() == minhash.shingles(text).tolist()
+    assert len(minhash.shingles("a b c d e f")) == 2 and len(minhash._WORDS) == 6

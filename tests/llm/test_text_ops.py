@@ -93,6 +93,26 @@ def test_quality_hostile_and_empty(spark, hostile, empty):
     assert quality.keep(empty, field).count() == 0
 
 
+def test_quality_fit_takes_one_row_of_an_id(spark, monkeypatch):
+    """Repeated ids and labels leave the sample as it is: one text and one label of an id."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda sample: seen.append([(x.tolist(), y) for x, y in sample]))
+    once = [(i, f"words of text {i}\n\n###") for i in range(8)]
+    docs = spark.createDataFrame(once + [(3, "zzz later text")] * 50 + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(2, 1)] * 5 + [(4, 0)] * 5, "doc_id long, quality int")
+    plain = spark.createDataFrame(once, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    for bound in (8, 3):
+        quality.fit(docs, labels, max_labelled=bound)
+        quality.fit(*plain, max_labelled=bound)
+        assert seen[-2] == seen[-1] and len(seen[-1]) == bound
+
+
+def test_quality_hostile_values(hostile):
+    """Repeated rows, null ids and clashing names: every row has the measures of its own text."""
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judged(hostile, quality.train([])).collect())
+    assert got == Counter((r.doc_id, *plain_measures(r.text or "")) for r in hostile.select("doc_id", "text").collect())
+
+
 # -- packing ---------------------------------------------------------------
 
 
