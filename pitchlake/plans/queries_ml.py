@@ -236,10 +236,12 @@ register("similarity_neighbors")(lambda spark, d: _similarity(spark, d))
 
 def _similarity(spark, d):
     from ..operators import gold as gd
+    from ..session import cut_lineage
     from .queries_gold import pitcher_silver
 
     silver = pitcher_silver(spark, d)
     base, _, _ = gd.prepare(silver, gd.GoldConfig())
+    base = cut_lineage(base)  # the model, the projection and the search read it many times
     feats = sc.model_feature_columns(base)
     model = sc.fit_pca(base, feats, 5, ["role", "year"])
     proj = sc.transform(base, model, "pca")
