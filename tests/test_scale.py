@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,38 @@ def test_silhouettes_deal_one_query_block_over_tasks(spark):
     assert dealt == pytest.approx(whole, abs=1e-12)
 
 
+def test_two_blocks_meet_once_for_both():
+    rng = np.random.default_rng(8)
+    x, lab = rng.normal(size=(900, 4)), rng.integers(0, 3, 900)
+    ids = np.r_[np.arange(300), np.arange(10, 610)]  # ids of both blocks, and ids that come twice in one
+    ids[-5:] = 7
+
+    def block(at, pre):
+        n = len(at)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), pa.array(x[at].ravel()))
+        labels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(lab[at]))
+        return {pre + name: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values) for name, values in (("_id", pa.array(ids[at])), ("_v", vectors), ("_ls", labels))}
+
+    schema = pa.schema([("_id", pa.int64()), ("_labelling", pa.int32()), ("_own", pa.int64()), ("_other", pa.int64()), ("_sum", pa.float64()), ("_cnt", pa.int64())])
+    one, two = np.arange(300), np.arange(300, 900)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for a, b, twice in ((one, two, True), (two, two, False)):
+        held = {**block(a, ""), **block(b, "c"), "_twice": pa.array([twice])}
+        batch = pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
+        got, want = {}, {}
+        for out in metrics._distance_sums([], schema)([batch]):
+            for r in out.to_pylist():
+                key = (r["_id"], r["_own"], r["_other"])
+                total, n = got.get(key, (0.0, 0))
+                got[key] = total + r["_sum"], n + r["_cnt"]
+        for i, others in [(i, b) for i in a] + ([(i, a) for i in b] if twice else []):
+            for label in range(3):
+                near = others[(lab[others] == label) & (ids[others] != ids[i])]
+                total, n = want.get((ids[i], lab[i], label), (0.0, 0))
+                want[ids[i], lab[i], label] = total + d[i, near].sum(), n + len(near)
+        assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v[0], rel=1e-12), v[1]) for k, v in want.items())
+
+
 def test_all_labels_in_one_pass(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "id long, v array<double>")
     centres = {f"k{k}": {(): np.array([[20.0 * j / k, 0.0] for j in range(k)])} for k in (2, 3, 5)}
