@@ -101,3 +101,55 @@ def test_silhouettes_of_many_labellings(spark):
         assert got[name]["silhouette"] == pytest.approx(np.mean(s), abs=1e-12)
         one = mt.silhouette(df, id_col="id", vec_col="v", label_col=name).first()
         assert one["silhouette"] == pytest.approx(np.mean(s), abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "minkowski"])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_neighbours_are_found_in_many_tiles(monkeypatch, metric, bounded):
+    monkeypatch.setattr(kn, "TILE", (32, 50))
+    monkeypatch.setattr(kn, "TILE_SUMS", (16, 64))
+    x = np.random.default_rng(11).normal(size=(300, 24))
+    x[250:270] = x[:20]
+    ids = np.arange(300)
+    d = np.array([cells.of_pairs(np.repeat(x[i:i + 1], 300, axis=0), x, metric, 3.0) for i in ids])
+    d[ids, ids] = np.inf
+    want = kn.top_k_per_row(d, ids, 5)
+    tau = want[2].reshape(300, 5)[:, -1] if bounded else None
+    got = kn.nearest(x, x, ids, 5, metric, 3.0, lambda s, e: ids[s:e, None] == ids[None, :], tau)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got))
+    if bounded:
+        tau[::7] = np.inf  # rows that have no bound yet
+        some = kn.nearest(x[:90], x[100:], ids[100:], 5, metric, 3.0, None, np.minimum(tau[:90], d[:90, 100:].max()))
+        for i in range(90):
+            near = sorted((v, j + 100) for j, v in enumerate(d[i, 100:]) if v <= tau[i])[:5]
+            assert [(v, ids[100 + j]) for v, j in zip(some[2][some[0] == i], some[1][some[0] == i])] == near
+
+
+def test_whole_steps_lose_no_pair():
+    rng = np.random.default_rng(12)
+    q, c = rng.standard_t(2, size=(40, 40)), rng.standard_t(2, size=(70, 40))
+    for metric in ("manhattan", "chebyshev"):
+        d = cells.pairwise(q, c, metric, 1.0)
+        bound = np.quantile(d, 0.02, axis=1)
+        steps = cells.Whole(q, c, metric)
+        at = steps.within(slice(0, 40), slice(0, 70), bound)
+        assert set(np.flatnonzero(d <= bound[:, None])) <= set(at) and len(at) < d.size / 2
+
+
+def test_a_cell_is_sent_once_to_a_group_of_blocks(spark, monkeypatch):
+    x = np.random.default_rng(13).normal(size=(500, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found, original = {}, kn._beyond
+
+    def counted(blocks, pairs, *more):
+        out = original(blocks, pairs, *more)
+        found["pairs"], found["sent"] = pairs.count(), out.count()
+        return out
+
+    monkeypatch.setattr(kn, "_beyond", counted)
+    for group in (1 << 16, 100):
+        monkeypatch.setattr(kn, "GROUP", group, raising=False)
+        got = kn.knn(df, id_col="id", vec_col="v", k=4, metric="manhattan", candidate_block=20, query_block=20, fan=8)
+        assert {(r["id"], r["neighbor_rank"], r["neighbor_id"], round(r["distance"], 9)) for r in got.collect()} == _plain(list(range(500)), x, 4, "manhattan", 1)
+        if group > 500:
+            assert found["sent"] < found["pairs"] / 2
