@@ -136,6 +136,26 @@ def test_whole_steps_lose_no_pair():
         assert set(np.flatnonzero(d <= bound[:, None])) <= set(at) and len(at) < d.size / 2
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e12])
+def test_chebyshev_neighbours_come_from_boxes(monkeypatch, scale):
+    rng = np.random.default_rng(14)
+    c = np.round(rng.normal(size=(1500, 12)), 1) * scale  # many equal coordinates, on cuts and ends of boxes
+    c[1400:] = c[:100]
+    q, ids, taken = c[:1100], rng.permutation(1500), []
+    d = cells.pairwise(q, c, "chebyshev", np.inf)
+    tau = np.sort(d, axis=1)[:, 9]
+    monkeypatch.setattr(kn, "of_pairs", lambda a, *more: taken.append(len(a)) or cells.of_pairs(a, *more))
+    monkeypatch.setattr(kn, "Whole", None)
+    got = kn.nearest(q, c, ids, 10, "chebyshev", 2.0, None, tau)
+    assert all(np.array_equal(a, b) for a, b in zip(kn.top_k_per_row(d, ids, 10), got))
+    assert sum(taken) < d.size / 8
+    mine = np.arange(1500)
+    d[mine[:1100], mine[:1100]] = np.inf
+    if scale < 1e9:  # a bound of its own, without the rows themselves
+        got = kn.nearest(q, c, ids, 10, "chebyshev", 2.0, lambda s, e: mine[:1100][s:e, None] == mine[None, :])
+        assert all(np.array_equal(a, b) for a, b in zip(kn.top_k_per_row(d, ids, 10), got))
+
+
 def test_a_cell_is_sent_once_to_a_group_of_blocks(spark, monkeypatch):
     x = np.random.default_rng(13).normal(size=(500, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
