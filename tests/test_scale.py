@@ -32,6 +32,40 @@ def test_many_player_seasons_are_shuffled_once(spark, monkeypatch, most):
     if most > 70:
         plan = once._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+        # sorted once, also for the quartiles; no text goes through the shuffle
+        assert plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
+        dealt = plan.split("Exchange hashpartitioning")[1].split("Project [")[1].splitlines()[0]
+        assert "_flags_0" in dealt and not any(f"{c}#" in dealt.split("_flags_0")[1] for c in ("description", "stand", "launch_angle"))
+
+
+@pytest.mark.parametrize("role", ["pitcher", "batter"])
+def test_many_player_seasons_with_missing_values_and_columns(spark, monkeypatch, role):
+    rng, rows = np.random.default_rng(21), []
+    texts = {"description": ["Swinging_Strike", "foul", "ball", "hit_into_play", None], "pitch_type": ["FF", " sl", "UN", None], "type": ["S", "x ", None],
+             "stand": ["R", "l ", "S", None], "bb_type": ["Popup", "fly_ball", " ", None]}
+    numbers = ["release_speed", "release_spin_rate", "release_extension", "pfx_x", "pfx_z", "plate_x", "plate_z", "sz_bot", "sz_top", "launch_speed", "launch_angle",
+               "hc_x", "hc_y", "iso_value", "estimated_slg_using_speedangle", "woba_value", "estimated_woba_using_speedangle", "delta_run_exp", "sprint_speed"]
+    for i in range(400):
+        player, year = [(None, 2024), (1, None), (1, 2024), (2, 2024), (3, 2025)][i % 5] if i != 7 else (4, 2024)
+        row = {"pitcher": player, "batter": player, "year": year, "game_pk": i // 9, "at_bat_number": i % 2, "pitch_number": 1 if i % 3 else None,
+               "game_date": dt.date(2024, 4, 1), "row_tiebreak": i % 4, "zone": [None, 5, 9, 12][rng.integers(4)]}
+        row |= {n: v[rng.integers(len(v))] for n, v in texts.items()}
+        row |= {n: None if rng.random() < 0.2 else float(rng.normal(30, 60)) for n in numbers}
+        rows.append(tuple(row.values()))
+    ids = ", ".join(["pitcher long, batter long, year int, game_pk long, at_bat_number int, pitch_number int, game_date date, row_tiebreak long, zone int",
+                     *[f"{n} string" for n in texts], *[f"{n} double" for n in numbers]])
+    src = spark.createDataFrame(rows, ids)
+    params = ft.FeatureParams(min_pitches_pitcher=1, min_pitches_batter=1, min_batted_ball_batter=0)
+    make = (lambda d: ft.pitcher_features(d, params, with_pitch_types=False)) if role == "pitcher" else (lambda d: ft.batter_features(d, params))
+    few = ["sz_bot", "sz_top", "stand", "bb_type", "delta_run_exp", "sprint_speed", "type"]
+    plain = [_rows(make(d)) for d in (src, src.drop(*few))]
+    monkeypatch.setattr(ft, "MANY", 1)
+    found = [make(d) for d in (src, src.drop(*few))]
+    assert [_rows(d) for d in found] == plain and len(plain[0]) >= 4
+    if role == "pitcher":  # with the counts by type, which read the pitch type itself
+        typed = ft.pitcher_features(src, params)
+        assert _rows(typed.drop("pitch_type_entropy", "pitch_type_shares", "pitch_type_means")) == plain[0]
+    assert all("_flags_0" in d._jdf.queryExecution().executedPlan().toString() for d in found)
 
 
 def test_correlations_run_the_plan_of_their_rows_once(spark):
