@@ -24,6 +24,10 @@ A word's form is its most frequent neighbour where that is at least ``ratio`` ti
 frequent; counts at least double along a chain of forms, so pointer jumping finds
 the roots in a few rounds.
 
+Every join here has two sides that grow with the vocabulary, so all are sort-merge joins by hint
+(:func:`_met`). Spark sees neither what an explode makes of a row nor what compressed files and shuffles
+hold, so left to itself it sends tables of gigabytes through the driver as broadcasts.
+
 Null texts have no words. Null ids count as the empty string in the check sum that
 drops characters. Repeated rows count each time, ties are settled by code-point order,
 columns other than id and text are not read (so their names cannot clash), and an empty
@@ -104,6 +108,11 @@ def word_counts(
     return counted.filter(F.char_length("word") >= min_chars).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join, with both sides dealt by key and sorted, however small Spark takes them to be."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _entries(words: DataFrame) -> DataFrame:
     """For each word and trie: the nodes from the word's half on, the character that follows each, and at the last one the word."""
     schema = pa.schema([
@@ -163,7 +172,7 @@ def tries(words: DataFrame) -> DataFrame:
     )
     nodes = nodes.withColumn("branches", F.coalesce(F.col("low") < F.col("high"), F.lit(False)))
     nodes = nodes.select("trie", "pos", "node", "left", "branches", F.col("claim").alias("least")).filter(F.col("branches") | (F.col("left").bitwiseAND(1) == 1))
-    kept = steps.drop("next").join(nodes, ["trie", "pos", "node"])
+    kept = _met(steps.drop("next"), nodes, ["trie", "pos", "node"])
     place = F.struct("pos", "node", "left", "branches", (F.col("claim") == F.col("least")).alias("stands"))
     path = F.sort_array(F.collect_list(place)).alias("path")
     return kept.groupBy("trie", "key", "length").agg(F.max("word").alias("word"), path).select("trie", "word", "length", "path")
@@ -198,7 +207,7 @@ def first_edits(paths: DataFrame, edge: DataFrame) -> DataFrame:
         F.when(replaces, F.concat(begin, F.col("first"), rest)),
         F.when(skips, F.concat(begin, rest)),
     )
-    joined = own.join(edge, ["trie", "node"]).filter(replaces | skips)
+    joined = _met(own, edge, ["trie", "node"]).filter(replaces | skips)
     states = joined.select("trie", "word", F.explode(F.array_compact(made)).alias("other"), (pos + size).alias("pos"), F.col("child").alias("node"))
     # the word less its last character may be a word itself: a skip with nothing left to follow
     last = paths.select("trie", "word", "length", F.explode(F.filter("path", lambda p: (p["pos"] == F.col("length") - 1) & (p["left"].bitwiseAND(1) == 1))).alias("at"))
@@ -209,7 +218,7 @@ def first_edits(paths: DataFrame, edge: DataFrame) -> DataFrame:
 def next_level(states: DataFrame, edge: DataFrame) -> DataFrame:
     """Each state that is not at its word's end, past the edge that begins with its next character."""
     going = states.filter(F.col("pos") < F.char_length("other")).withColumn("first", F.substring("other", F.col("pos") + 1, F.lit(1)))
-    joined = going.join(edge, ["trie", "node", "first"])
+    joined = _met(going, edge, ["trie", "node", "first"])
     same = F.substring("other", F.col("pos") + 1, F.col("size")) == F.col("label")
     joined = joined.filter(same & _ends(F.char_length("other") - F.col("pos") - F.col("size")))
     return joined.select("trie", "word", "other", (F.col("pos") + F.col("size")).alias("pos"), F.col("child").alias("node"))
@@ -238,9 +247,9 @@ def neighbours(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, ratio: int = 2) -> DataFrame:
     """word, n, n_near, and form with form_n where a neighbour is ``ratio`` times as frequent."""
-    near = neighbours(words).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    near = _met(neighbours(words), words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = _met(words, best, "word", "left")
     fits = -F.col("best.less") >= ratio * F.col("n")
     return joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -257,9 +266,9 @@ def grouped(
     roots = known.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:  # the distance to the root doubles each round; it is at most log2 of the largest count
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        stepped = roots.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        stepped = _met(roots, further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         stepped = written(stepped, "roots")
         roots = stepped.select("word", "root")
         if stepped.filter("moved").isEmpty():
             break
-    return known.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _met(known, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -92,3 +92,24 @@ def test_query_equals_plain(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     found = got(QUERIES["op11_spelling_variants"](spark, "/root/testdata/sf0.001"))
     assert len(found) > 300 and set(found) == plain(rows)
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """With Spark's own broadcast threshold, words as few as these: no join may send a side to the driver."""
+    plans, keep = [], variants.written
+
+    def plan_of(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def recorded(df, name):
+        plans.append((name, plan_of(df)))
+        return keep(df, name)
+
+    monkeypatch.setattr(variants, "written", recorded)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    rows = [(i, "abcde abcde abcdf abcd abcdef abcdef abcdef abcdef bbbbb bbbbc " * (1 + i % 2)) for i in range(6)]
+    found = variants.grouped(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=4, one_in=1_000_003)
+    plans.append(("grouped", plan_of(found)))
+    assert {"paths", "states", "forms", "roots", "grouped"} <= {n for n, p in plans if "SortMergeJoin" in p}
+    assert [n for n, p in plans if "Broadcast" in p] == []
