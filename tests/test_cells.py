@@ -173,3 +173,25 @@ def test_a_cell_is_sent_once_to_a_group_of_blocks(spark, monkeypatch):
         assert {(r["id"], r["neighbor_rank"], r["neighbor_id"], round(r["distance"], 9)) for r in got.collect()} == _plain(list(range(500)), x, 4, "manhattan", 1)
         if group > 500:
             assert found["sent"] < found["pairs"] / 2
+
+
+def test_euclidean_balls_rule_out_minkowski_pairs(monkeypatch):
+    """Beyond the own cell few pairs get their powers summed up; the neighbours are those of all pairs."""
+    rng, summed, keep = np.random.default_rng(4), [], cells._each_dimension
+    monkeypatch.setattr(cells, "_each_dimension", lambda q, columns, *given, **more: summed.append(len(q) * columns.shape[1]) or keep(q, columns, *given, **more))
+    q, c = rng.normal(size=(700, 64)), rng.normal(size=(6000, 64))
+    c[:700] = q + 0.02 * rng.normal(size=(700, 64))
+    c[700:720], q[3] = c[3], c[3]  # ties go by id
+    far, lattice = q.copy(), np.round(c)
+    far[5] += 1e6
+    for a, b, p, most in ((q, c, 3.0, 0.2), (q, c, 2.5, 0.2), (q, c, 1.5, 2.0), (np.round(q), lattice, 3.0, 2.0), (far, c + 1e5, 3.0, 2.0)):
+        ids = rng.permutation(len(b))
+        d = cells.pairwise(a, b, "minkowski", p)
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :5]
+        tau = np.take_along_axis(d, order[:, 4:], axis=1)[:, 0] * np.where(np.arange(len(a)) % 2, 1 + 1e-9, 1.02)
+        summed.clear()
+        i, j, found = kn.nearest(a, b, ids, 5, "minkowski", p, None, tau)
+        assert sum(summed) <= most * d.size
+        within = np.take_along_axis(d, order, axis=1) <= tau[:, None]
+        assert np.array_equal(i, np.repeat(np.arange(len(a)), within.sum(axis=1))) and np.array_equal(j, order[within])
+        assert np.allclose(found, np.take_along_axis(d, order, axis=1)[within], rtol=1e-12)
