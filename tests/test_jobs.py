@@ -308,3 +308,57 @@ def test_writes_report_what_they_wrote(spark, tmp_path):
     none = lake.write_partitioned(df.limit(0), str(tmp_path / "u"), ("role", "year"), observe=seen)
     assert none["rows"] == 0 and none["years"] == []
     assert lake.write_partitioned(df, str(tmp_path / "t"), ("role", "year")) == {}
+
+
+def test_short_order_is_the_same_order_in_numbers(spark, tmp_path):
+    """Names of files become ranks; rows from before deliveries were kept come first, and the last copy stays the last."""
+    from pitchlake.operators.dedupe import dedupe_last
+
+    files, root = str(tmp_path / "files"), str(tmp_path / "bronze")
+    rows = [(g, 1, 1, 7, dt.date(1996, 6, 1 + g % 3), float(g)) for g in range(40)]
+    src = spark.createDataFrame(rows, "game_pk long, at_bat_number int, pitch_number int, pitcher long, day date, speed double")
+    for k in (10, 9):  # by name the first comes first, by time the second does not
+        src.where(f"game_pk % 4 <> {k % 2}").withColumn("speed", F.col("speed") + k).repartition(3).write.parquet(f"{files}/delivery={k}")
+    landed = lake.with_delivery(spark.read.option("basePath", files).parquet(files)).drop("delivery")
+    landing.land_days(landed, date_col="day", start_date="1996-06-01", end_date="1996-06-03", bronze_root=root)
+    early = src.where("game_pk % 5 = 0").withColumns({"speed": F.lit(-1.0), "year": F.lit(1996), "date": F.col("day").cast("string")})
+    early.write.mode("append").partitionBy("year", "date").parquet(root)  # no delivery
+    read = lake.read_bronze_range(spark, root, dt.date(1996, 6, 1), dt.date(1996, 6, 3))
+    short = lake.with_short_order(read)
+    assert short.columns == read.columns and "string" not in short.schema[lake.FILE_ORDER].dataType.simpleString()
+    ordered = [[tuple(r) for r in df.orderBy(lake.FILE_ORDER).select("game_pk", "speed", "date").collect()] for df in (read, short)]
+    assert len(ordered[0]) == 68 and ordered[0] == ordered[1]
+    last = [sorted(tuple(r) for r in dedupe_last(df, ("pitcher", "year"), order_cols=(lake.FILE_ORDER,), ties=ties).select("game_pk", "speed").collect()) for df, ties in ((read, True), (short, False))]
+    assert len(last[0]) == 40 and last[0] == last[1]
+    plain = lake.with_file_order(spark.read.parquet(files))  # without deliveries
+    ordered = [[tuple(r) for r in df.orderBy(lake.FILE_ORDER).select("game_pk", "speed").collect()] for df in (plain, lake.with_short_order(plain))]
+    assert len(ordered[0]) == 60 and ordered[0] == ordered[1]
+
+
+def test_many_rows_land_in_runs_of_days(spark, tmp_path, monkeypatch):
+    """Each run is a write with a shuffle of its own; days, rows and counts are those of one write."""
+    rows = [(d, i, None if i % 7 == 0 else 1.0) for d in range(1, 29) for i in range(10)] + [(3, i, 2.0) for i in range(200)]
+    rows = spark.createDataFrame(rows, "d int, i int, speed double").withColumn("day", F.date_add(F.lit(dt.date(1996, 5, 31)), F.col("d")))
+    rows = rows.unionByName(rows.limit(1).withColumns({"day": F.lit(None).cast("date"), "speed": F.lit(None).cast("double")})).checkpoint()
+    writes, keep = [], lake.write_partitioned
+
+    def recorded(df, root, *given, **more):
+        writes.append(root)
+        conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = spark.conf.get(conf)
+        keep(df, root, *given, **more)
+        assert spark.conf.get(conf) == before
+
+    def land(name):
+        root, aside = str(tmp_path / name), str(tmp_path / f"{name}-aside")
+        status = landing.land_days(rows, date_col="day", start_date="1996-06-01", end_date="1996-06-30", bronze_root=root, required=("speed",), quarantine_root=aside)
+        found = [sorted(map(str, lake.read_partitioned(spark, r).select("year", "date", "i", "speed").collect())) for r in (root, aside)]
+        return status, found, writes.count(root)
+
+    monkeypatch.setattr(lake, "write_partitioned", recorded)
+    one = land("one")
+    monkeypatch.setattr(landing, "AT_ONCE", 10, raising=False)
+    many = land("many")
+    assert one[0]["rows_landed"] == 424 and one[0]["rows_quarantined"] == 57 and one[2] == 1
+    assert many[:2] == one[:2] and 3 <= many[2] <= landing.RUNS + 2
+    assert landing._runs([(2, 5), (1, 5), (3, 20), (4, 1)], 10) == [(1, 2), (3, 3), (4, 4)]
